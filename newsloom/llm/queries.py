@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import minhash
+from newsloom.llm import decontaminate, minhash, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_minhash": minhash.op7_minhash}
+    return {
+        "op7_minhash": minhash.op7_minhash,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_packing": packing.op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
