@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import common
@@ -114,7 +114,7 @@ def _sketch_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _band_batches(bands: int, rows: int):
-    """One row per class and band: (key, node)."""
+    """One row per class and band: (key, band, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,8 @@ def _band_batches(bands: int, rows: int):
             for r in range(rows):
                 key = mix(key * _M2 + m[:, r : bands * rows : rows])
             nodes = batch.column(0).take(pa.array(np.repeat(np.arange(len(m)), bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), nodes], ["key", "node"])
+            band = np.tile(np.arange(bands, dtype=np.int32), len(m))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), nodes], ["key", "band", "node"])
 
     return run
 
@@ -135,26 +136,53 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree, pa.int32())], ["a", "b", "agree"])
 
 
-def _tile_pairs(least: int):
-    """Of one tile: pairs of different components whose sketches agree in ``least`` coordinates."""
+def _fine_batches(k: int, t: int):
+    """(node, text) -> (node, a longer sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            fine = [sketch(shingle_hashes(common.words(x), k, hashes), t).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["node", "fine"])
+
+    return run
+
+
+def _tile_pairs(least: int, fine_least: int, bands: int):
+    """Of one tile: pairs of different components whose sketches agree enough, each at its first shared band only."""
 
     def run(tile: pa.Table) -> pa.Table:
-        left = np.array(tile.column("side").to_pylist()) != 1
-        right = np.array(tile.column("side").to_pylist()) != 0
-        nodes, labels = np.array(tile.column("node").to_pylist(), object), np.array(tile.column("label").to_pylist(), object)
-        m = _sketch_matrix(tile.column("sketch").combine_chunks())
+        tile = tile.combine_chunks()
+        side = tile.column("side").to_numpy()
+        nodes, labels = tile.column("node").to_pylist(), np.unique(tile.column("label").to_pylist(), return_inverse=True)[1]
+        m, fine = (_sketch_matrix(tile.column(c).chunk(0)) for c in ("sketch", "fine"))
+        band = tile.column("band")[0].as_py()
+        right = np.flatnonzero(side != 0)
         out_a, out_b = [], []
-        for i in np.flatnonzero(left):
-            at = np.flatnonzero(right & (labels != labels[i]))
-            at = at[(m[at] == m[i]).sum(1) >= least]
-            for j in at:
-                out_a.append(min(nodes[i], nodes[j]))
-                out_b.append(max(nodes[i], nodes[j]))
+        for i in np.flatnonzero(side != 1):
+            at = right[labels[right] != labels[i]]
+            if side[i] == 2:
+                at = at[(side[at] != 2) | (at > i)]
+            same = m[at] == m[i]
+            near = same.sum(1) >= least
+            at, same = at[near], same[near]
+            if not len(at):
+                continue
+            at = at[same.reshape(len(at), bands, -1).all(2).argmax(1) == band]
+            at = at[(fine[at] == fine[i]).sum(1) >= fine_least]
+            out_a += [min(nodes[i], nodes[j]) for j in at]
+            out_b += [max(nodes[i], nodes[j]) for j in at]
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
     return run
 
 
+def least_agreement(t: int, percent: int) -> int:
+    """Coordinates in which a pair at the similarity agrees but for five standard deviations."""
+    p = percent / 100
+    return max(0, int(t * p - 5 * (t * p * (1 - p)) ** 0.5))
+
+
 def _verify_batches(k: int, percent: int):
     """(a, b, text of a, text of b) -> pairs whose full shingle sets reach the similarity."""
 
@@ -213,22 +241,24 @@ def near_duplicates(
     rows: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-    pivot_rounds: int = 2,
+    pivot_rounds: int = 3,
+    fine: int = 640,
     tile: int = 1024,
+    with_hash: bool = False,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; ``with_hash`` adds the hash of its text.
 
     Documents with ``100 * |A & B| >= percent * |A | B|`` on word k-shingle sets are linked; a component's id is its
     least doc_id, and kept says that the row carries it. A pair at the similarity 0.8 shares no band with probability
-    (1 - 0.8**5)**32 < 4e-6; the sketch filter asks for agreement of ``percent`` - 25 points of the coordinates and
-    loses such a pair with probability < 2e-9 (Hoeffding, 160 coordinates).
+    (1 - 0.8**5)**32 < 4e-6; sketch filters (of 160, and later of ``fine``, coordinates) are set five standard deviations
+    below the similarity and lose such a pair with a probability of about 1e-6.
 
     Null, empty and blank texts have n_shingles 0, link with nothing and are kept. A row without doc_id links with
     nothing, has a null component_id and is kept. Rows that repeat a doc_id are judged each by its own text. Equal rows
     give equal results. An empty table gives none. Other columns are ignored, whatever their names.
     """
     t = bands * rows
-    least = t * max(percent - 25, 0) // 100
+    least = least_agreement(t, percent)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = "doc_id long, text_hash long, digest binary, n_shingles long, sketch binary"
@@ -237,7 +267,7 @@ def near_duplicates(
     classes = alive.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("rep"))
     classes = common.materialise(classes.select("node", "rep.*"), "classes")
     sketches = classes.select("node", "sketch")
-    keys = sketches.mapInArrow(_band_batches(bands, rows), "key long, node binary")
+    keys = sketches.mapInArrow(_band_batches(bands, rows), "key long, band int, node binary")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = common.materialise(keys.join(shared, "key", "left_semi"), "keys")
     # Texts of the classes that share a key with another; only these are ever compared.
@@ -256,28 +286,33 @@ def near_duplicates(
 
     edges: DataFrame | None = None
     labels: DataFrame | None = None
-    members = keys.withColumn("label", F.col("node"))
+    members = keys.withColumns({"label": F.col("node"), "degree": F.lit(0).cast("long")})
+    # Pivots: the least node of a key, then the node with most links so far, then the last label.
+    orders = (F.struct(F.lit(0), -F.col("degree"), "node"), F.struct(-F.col("degree"), "node"), F.struct(F.lit(0), F.col("degree"), "node"))
     for turn in range(pivot_rounds):
-        pick = F.min if turn % 2 == 0 else F.max
-        pivots = members.groupBy("key").agg(pick(F.struct("label", "node")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        by = orders[min(turn, len(orders) - 1)]
+        pivots = members.groupBy("key").agg(F.min_by(F.struct("label", "node"), by).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         pivots = pivots.where("lo <> hi").select("key", F.col("p.node").alias("b"), F.col("p.label").alias("label_b"))
         pairs = members.withColumnRenamed("node", "a").join(pivots, "key").where("label <> label_b").select("a", "b").distinct()
         best = with_sketches(pairs).groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
         found = common.materialise(verified(best), "edges")
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges)
-        members = common.materialise(_labelled(keys, labels), "members")
+        members = common.materialise(_labelled(keys, labels, edges), "members")
     # What is left: keys with several components, compared in tiles.
     mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(mixed, "key").withColumn("block", block)
-    dealt = dealt.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    mixed_members = common.materialise(members.join(mixed, "key").withColumn("block", block), "mixed")
+    finer = texts.join(mixed_members.select("node").distinct(), "node", "left_semi").select("node", "text")
+    finer = common.materialise(finer.mapInArrow(_fine_batches(k, fine), "node binary, fine binary").join(sketches, "node"), "fine")
+    dealt = mixed_members.select("key", "band", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(
-        "key", "node", "label", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"),
+        "key", "band", "node", "label", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-    ).join(sketches, "node")
-    rest = dealt.groupBy("key", "ti", "tj").applyInArrow(_tile_pairs(least), "a binary, b binary").distinct()
+    ).join(finer, "node")
+    tiles = dealt.groupBy("key", "ti", "tj").applyInArrow(_tile_pairs(least, least_agreement(fine, percent), bands), "a binary, b binary")
+    rest = tiles.distinct()
     rest = common.materialise(verified(rest), "edges")
     if not rest.isEmpty():
         labels = connected_components(edges.unionByName(rest))
@@ -286,15 +321,44 @@ def near_duplicates(
     named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = common.materialise(named.join(least_id, "component").select(F.col("node").alias("digest"), "component_id"), "named")
-    rows_ = sketched.select("doc_id", "digest", "n_shingles")
-    linked = rows_.where("digest is not null and doc_id is not null").join(named, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = rows_.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    also = ["text_hash"] if with_hash else []
+    linked = sketched.where("digest is not null and doc_id is not null").join(named, "digest").select("doc_id", *also, "n_shingles", "component_id")
+    alone = sketched.where("digest is null or doc_id is null").select("doc_id", *also, "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _labelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    out = keys.join(labels.withColumnRenamed("id", "node"), "node", "left")
-    return out.select("key", "node", F.coalesce("component", "node").alias("label"))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the least id. Columns and names stay.
+
+    Rows without words, and rows without an id, are all kept. Of rows that repeat an id as well as the words one is kept.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, with_hash=True, **options)
+    i, h = (common.unique_name(docs, x) for x in ("kept_id", "kept_hash"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    text_hash = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    rest = docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(i)) & (text_hash == F.col(h)), "left_anti")
+    # Only ids that occur more than once can still stand twice for a group.
+    again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = common.materialise(again.select(F.col("doc_id").alias(i)).distinct(), "again")
+    if again.isEmpty():
+        return rest
+    twice = F.col(f"`{id_col}`").cast("long") == F.col(i)
+    words = common.unique_name(docs, "kept_words")
+    joined = F.trim(F.regexp_replace(F.translate(F.col(f"`{text_col}`").cast("string"), common.ASCII_UPPER, common.ASCII_LOWER), r"[\x20\x09-\x0D]+", " "))
+    # Of one id, rows linked to each other share the component, so one of them may stay; the least words by hash.
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(words))
+    some = rest.join(again, twice, "left_semi").withColumn(words, F.xxhash64(joined))
+    blank = some.where(joined == "").drop(words)
+    best = some.where(joined != "").withColumn(i, place).where(F.col(i) == 1).drop(words, i)
+    return rest.join(again, twice, "left_anti").unionByName(best).unionByName(blank)
+
+
+def _labelled(keys: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Keys' members with their component and their number of verified links."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    known = labels.withColumnRenamed("id", "node").join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left")
+    out = keys.join(known, "node", "left")
+    return out.select("key", "band", "node", F.coalesce("component", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, minhash, mixing, packing
+import corpus_pipeline
+from newsloom.llm import decontaminate, langid, minhash, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_langid": langid.op2_langid,
         "op7_minhash": minhash.op7_minhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
