@@ -3,8 +3,9 @@
 Every window of ``window`` consecutive item words (a shorter item is one window) goes into a broadcast hash table. Its
 key is the hash of the window's first four words (its first two or one, if it is shorter); each document position
 probes the table inside one generated stage, and a position whose anchor hits compares the whole window word by word.
-So documents are scanned once without a shuffle, and only confirmed hits leave the scan, combined per document before
-they are shuffled. The broadcast holds at most ``broadcast_windows`` windows; a larger benchmark is split by hash into
+Anchors fold case by ``lower``, which no pair of words equal after A-Z folding can tell apart; only confirmed hits fold
+exactly. So documents are scanned once without a shuffle. A sentinel position for each row brings its word count along,
+and all that a document yields is combined before it is shuffled. The broadcast holds at most ``broadcast_windows`` windows; a larger benchmark is split by hash into
 parts of that bound and the documents are scanned once for each part.
 """
 
@@ -15,39 +16,55 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import common
 
-#: What separates words once A-Z are lower-cased.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words, A-Z being letters too.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SENTINEL = 0x5E17A5E17A5E17A5
 _UNIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def normal_words(text: Column) -> Column:
-    """The words of a text: A-Z lower-cased, runs of other than ASCII separators. Null for null."""
-    return F.array_remove(F.split(F.translate(text, common.ASCII_UPPER, common.ASCII_LOWER), SEPARATORS), "")
+def raw_words(text: Column) -> Column:
+    """The words of a text as they stand: runs of other than ASCII separators. None for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
-def _pairs(hashes: Column, step: int) -> Column:
-    """Hashes of runs twice as long, from hashes of runs of ``step`` words."""
-    n = F.greatest(F.size(hashes) - step, F.lit(0))
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, step + 1, n), lambda x, y: F.xxhash64(x, y))
+def folded(words: Column) -> Column:
+    return F.transform(words, lambda w: F.translate(w, common.ASCII_UPPER, common.ASCII_LOWER))
 
 
-def _anchors(words: Column, length: int) -> Column:
-    """For each position the hash of the ``length`` (1, 2 or 4) words from there on."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _word_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _first_anchor(words: Column, length: int) -> Column:
+    """The hash of the first ``length`` (1, 2 or 4) words, put together pairwise."""
+    level = [_word_hash(F.element_at(words, i + 1)) for i in range(length)]
+    while len(level) > 1:
+        level = [F.xxhash64(x, y) for x, y in zip(level[::2], level[1::2], strict=True)]
+    return level[0]
+
+
+def _with_anchors(df: DataFrame, words: str, length: int, out: str) -> DataFrame:
+    """Add for each position the hash of the ``length`` (1, 2 or 4) words from there on.
+
+    Each doubling is a projection of its own, or its input would be computed for every time it is named. The last
+    positions, which have fewer words, hash what there is and match no window.
+    """
+    df = df.withColumn(out, F.transform(words, _word_hash))
     for step in (1, 2)[: {1: 0, 2: 1, 4: 2}[length]]:
-        hashes = _pairs(hashes, step)
-    return hashes
+        df = df.withColumn(out, F.zip_with(out, F.slice(out, step + 1, F.size(out)), lambda x, y: F.xxhash64(x, y)))
+    return df
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """anchor, a (its length), win (array of words), items (array of ids as strings): one row per distinct window."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), normal_words(F.col(text_col).cast("string")).alias("ws"))
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), folded(raw_words(F.col(text_col).cast("string"))).alias("ws"))
     items = items.where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
     wins = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("win"))
     wins = wins.groupBy("win").agg(F.collect_set("item").alias("items"))
     wins = wins.withColumn("a", F.when(F.size("win") >= 4, 4).when(F.size("win") >= 2, 2).otherwise(1))
-    hashed = F.when(F.col("a") == 4, F.element_at(_anchors(F.col("win"), 4), 1)).when(F.col("a") == 2, F.element_at(_anchors(F.col("win"), 2), 1)).otherwise(F.xxhash64(F.element_at("win", 1)))
+    win = F.col("win")
+    hashed = F.when(F.col("a") == 4, _first_anchor(win, 4)).when(F.col("a") == 2, _first_anchor(win, 2)).otherwise(_first_anchor(win, 1))
     return wins.select(hashed.alias("anchor"), "a", "win", "items")
 
 
@@ -70,28 +87,39 @@ def contamination(
     """
     spark = docs.sparkSession
     wins = common.materialise(benchmark_windows(benchmark, window), "windows")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), normal_words(F.col(text_col).cast("string")).alias("ws"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), raw_words(F.col(text_col).cast("string")).alias("ws"))
     lengths = {r.a: r.n for r in wins.groupBy("a").agg(F.count("*").alias("n")).collect()}  # three rows at most
+    # The sentinel: an anchor of its own that matches an empty window, once in each row, in the first pass only.
+    sentinel = spark.range(1).select(F.lit(_SENTINEL).alias("anchor"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
+    passes = [(a, part, -(-n // broadcast_windows)) for a, n in sorted(lengths.items(), reverse=True) for part in range(-(-n // broadcast_windows))] or [(4, 0, 1)]
     hits = None
-    for a, n in sorted(lengths.items()):
-        parts = -(-n // broadcast_windows)
-        grams = base.where(F.size("ws") >= a).select("doc_id", "text_hash", "ws", F.posexplode(_anchors(F.col("ws"), a)).alias("pos", "anchor"))
-        for part in range(parts):
-            of = F.broadcast(wins.where((F.col("a") == a) & (F.pmod(F.xxhash64("anchor"), F.lit(parts)) == part)).drop("a"))
-            found = grams.join(of, "anchor").where(F.slice("ws", F.col("pos") + 1, F.size("win")) == F.col("win"))
-            found = found.select("doc_id", "text_hash", F.struct("pos", (F.col("pos") + F.size("win")).alias("end")).alias("span"), "items")
-            hits = found if hits is None else hits.unionByName(found)
-    counts = base.select("doc_id", "text_hash", F.greatest(F.size("ws"), F.lit(0)).cast("long").alias("n_words"))
-    empty = "array<struct<pos:int,end:int>>"
-    if hits is None:
-        merged = counts.withColumns({"spans": F.array().cast(empty), "items": F.array().cast("array<string>")})
-    else:
-        # All hits of a document lie in one task, so this aggregate is complete before the shuffle.
-        hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        hits = common.materialise(hits, "hits")
-        d, h = F.col("c.doc_id"), F.col("h.doc_id")
-        merged = counts.alias("c").join(hits.alias("h"), d.eqNullSafe(h) & (F.col("c.text_hash") == F.col("h.text_hash")), "left")
-        merged = merged.select("c.doc_id", "c.text_hash", "n_words", F.coalesce("spans", F.array().cast(empty)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    for turn, (a, part, parts) in enumerate(passes):
+        of = wins.where(F.col("a") == a).drop("a")
+        if parts > 1:
+            of = of.where(F.pmod(F.xxhash64("anchor"), F.lit(parts)) == part)
+        anchored = _with_anchors(base, "ws", a, "anchors")
+        if turn == 0:
+            of, anchored = of.unionByName(sentinel), anchored.withColumn("anchors", F.array_append("anchors", F.lit(_SENTINEL)))
+        # From the generator on, no expression may leave generated code: each position would copy its document's words.
+        grams = anchored.select("doc_id", "text_hash", "ws", F.posexplode_outer("anchors").alias("pos", "anchor"))
+        of = of.select("anchor", "win", "items", F.array_join("win", " ").alias("win_text"))
+        here = F.array_join(F.slice("ws", F.col("pos") + 1, F.size("win")), " ")
+        found = grams.join(F.broadcast(of), "anchor").where(F.translate(here, common.ASCII_UPPER, common.ASCII_LOWER) == F.col("win_text"))
+        real = F.size("win") > 0
+        found = found.select(
+            "doc_id", "text_hash",
+            F.when(real, F.struct("pos", (F.col("pos") + F.size("win")).alias("end"))).alias("span"),
+            F.when(real, F.col("items")).alias("items"),
+            F.when(~real, F.size("ws")).alias("n_words"),
+        )
+        hits = found if hits is None else hits.unionByName(found)
+    # All that one pass finds in a document lies in one task, so it is combined before the shuffle.
+    merged = hits.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_set("span")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.max("n_words").cast("long").alias("n_words"),
+        F.count("n_words").cast("int").alias("times"),
+    )
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
@@ -103,9 +131,10 @@ def contamination(
         "doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        *(["spans"] if spans else []),
+        *(["spans"] if spans else []), "times",
     )
-    return out
+    # A row for each of the rows that are alike.
+    return out.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("times")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
