@@ -17,6 +17,7 @@ executor leaves one whole file. A manifest of one row per shard goes back to the
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -115,48 +116,77 @@ class ShardFile:
         return self.read(int(self.docs["first"][i]), stop)
 
 
+def bytes_to_letters() -> list[str]:
+    """The printable letter that byte-level tokenizers write for each byte: itself where it prints, else 256 and up."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+#: A word of Latin-1 letters and the punctuation after it. Such letters are composed already and lower-case one by one.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_BYTE_LETTERS = {b: c for b, c in enumerate(bytes_to_letters())}
+
+
+class _ChunkIds(dict):
+    """Chunk -> its ids as bytes, remembered up to ``limit`` chunks.
+
+    A plain word goes to the library's own model without normaliser and splitter, which change nothing in it but its
+    case; everything else goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, kind: np.dtype, plain: bool, limit: int):
+        super().__init__()
+        self._tokenizer, self._model, self._kind, self._plain, self._limit = tokenizer, tokenizer.model, kind, plain, limit
+        self._tails: dict[str, bytes] = {"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._kind).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        plain = self._plain and len(text) <= 64 and _PLAIN.fullmatch(text)
+        if plain:
+            head, tail = plain.groups()
+            if tail not in self._tails:
+                if len(self._tails) > 10_000:
+                    self._tails = {"": b""}
+                self._tails[tail] = self._whole(tail)
+            letters = head.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = np.array([t.id for t in self._model.tokenize(letters)], self._kind).tobytes() + self._tails[tail]
+        else:
+            ids = self._whole(text)
+        if len(self) >= self._limit:
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of a text through the tokenizers library, remembered by chunk.
+    """Ids of a text through the tokenizers library.
 
     ``by_chunk`` may be set where no token of the tokenizer spans white space and white space itself has no token: the
     ids of a text are then those of its chunks, one after another. Chunks split at ASCII white space only; any other
-    white space stays inside a chunk, for the library to see.
+    white space stays inside a chunk, for the library to see. ``plain`` may be set, too, where the tokenizer lower-cases,
+    keeps runs of letters and runs of punctuation apart and maps bytes to letters.
     """
 
-    def __init__(self, path: str, by_chunk: bool, end_id: int, limit: int = 250_000):
+    def __init__(self, path: str, by_chunk: bool, end_id: int, plain: bool = True, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._by_chunk, self._limit, self._end = by_chunk, limit, end_id
         self.vocabulary = max(self._tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-        self._type = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self._end_bytes = np.array([end_id], self._type).tobytes()
-        self._known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
-        return [np.array(e.ids, self._type).tobytes() for e in encode(texts, add_special_tokens=False)]
+        self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self._end = np.array([end_id], self.dtype).tobytes()
+        self._ids = _ChunkIds(self._tokenizer, self.dtype, plain, limit) if by_chunk else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids and the end id, as bytes of ``dtype``."""
-        if not self._by_chunk:
-            return [x + self._end_bytes for x in self._ids([t or "" for t in texts])]
-        out = []
-        for text in texts:
-            chunks = text.encode().split() if text else []  # splits at exactly 09-0D and 20
-            known = self._known
-            if new := [c for c in set(chunks) if c not in known]:
-                if len(known) + len(new) > self._limit:
-                    known.clear()
-                    new = list(set(chunks))
-                for i in range(0, len(new), 4096):
-                    known.update(zip(new[i : i + 4096], self._ids([c.decode() for c in new[i : i + 4096]]), strict=True))
-            out.append(b"".join(map(known.__getitem__, chunks)) + self._end_bytes)
-        return out
-
-    @property
-    def dtype(self) -> np.dtype:
-        return self._type
+        if self._ids is None:
+            found = self._tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.dtype).tobytes() + self._end for e in found]
+        get = self._ids.__getitem__
+        return [b"".join(map(get, t.encode().split())) + self._end if t else self._end for t in texts]
 
 
 def _filesystem(uri: str):

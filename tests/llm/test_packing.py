@@ -60,3 +60,15 @@ def test_round_trip_equals_the_library(spark, tmp_path, by_chunk, file_ids):
 
 def test_empty_table(spark):
     assert packing.tokens_round_trip(spark.createDataFrame([], SCHEMA), packing.tokenizer_path()).count() == 0
+
+
+def test_chunks_equal_whole_texts():
+    import pyarrow.dataset as ds
+    from tokenizers import Tokenizer
+
+    texts = [t for t in ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table(columns=["text"])["text"].to_pylist() if t][:400]
+    texts += ["Don't 'S it's L'ÉTÉ, naïve... ÿ Ÿ ß ẞ ª º ×÷ a.b, (x). 12th 5,000!? é É̂ x y z q <|endoftext|>, a<|startoftext|>b " + "Ab" * 50, "\x85 \x1c İSTANBUL ΣΑΣ"]
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    encoder = packing.Encoder(packing.tokenizer_path(), True, 1, limit=3000)
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, encoder.dtype)[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids
