@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from newsloom.llm import decontaminate, langid, minhash, mixing, packing
+from newsloom.llm import decontaminate, langid, licenses, minhash, mixing, packing, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": langid.op2_langid,
+        "op4_licenses": licenses.op4_licenses,
+        "op6_token_counts": unigram.op6_token_counts,
         "op7_minhash": minhash.op7_minhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op4_licenses": licenses.OP4_SQL, "op8_mixing": mixing.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
