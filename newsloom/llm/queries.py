@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from newsloom.llm import decontaminate, langid, licenses, minhash, mixing, packing, unigram
+from newsloom.llm import decontaminate, langid, licenses, minhash, mixing, packing, quality, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": langid.op2_langid,
+        "op3_quality": quality.op3_quality,
         "op4_licenses": licenses.op4_licenses,
         "op6_token_counts": unigram.op6_token_counts,
         "op7_minhash": minhash.op7_minhash,
