@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from newsloom.llm import decontaminate, langid, licenses, minhash, mixing, packing, quality, unigram
+from newsloom.llm import decontaminate, langid, licenses, lm, minhash, mixing, packing, quality, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm": lm.op1_lm,
         "op2_langid": langid.op2_langid,
         "op3_quality": quality.op3_quality,
         "op4_licenses": licenses.op4_licenses,
