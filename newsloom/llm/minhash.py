@@ -8,11 +8,11 @@ minimums does (Chernoff bounds hold). ``t * ln t`` elements fill the bins in abo
 
 Plan. One Arrow pass gives each document a digest of its word sequence and a sketch. Exact copies collapse to one
 class by digest before anything is paired. Each band of ``rows`` coordinates of a class is a key. Keys are never
-expanded into all their pairs: members pair with a pivot of their key, each member's best pair is verified on full
-shingle sets, and components absorb the group. After these rounds only keys that still hold several components are
-compared member by member, in tiles of a bounded size that tasks share, and a tile returns nothing but pairs whose
-sketches agree and whose components differ. All of these are verified, so every candidate pair of the banding is
-either verified or already joined through verified links. Components are computed on tables, never on the driver.
+expanded into all their pairs: members pair with pivots of their keys, each member's best pair is verified on full
+shingle sets, and components absorb the group. After two rounds only keys that still hold several components are
+compared member by member, in tiles of a bounded size that tasks share. A tile settles pairs of short texts on their
+sets, one link for each other component, and of longer texts returns those whose longer sketches agree, to be verified.
+So every candidate pair of the banding is either verified or already joined through verified links. Components are computed on tables, never on the driver.
 """
 
 from __future__ import annotations
@@ -137,28 +137,44 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fine_batches(k: int, t: int):
-    """(node, text) -> (node, a longer sketch)."""
+    """(node, text) -> (node, its size, and a longer sketch or, if that is no longer, the set itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            fine = [sketch(shingle_hashes(common.words(x), k, hashes), t).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["node", "fine"])
+            sets = [shingle_hashes(common.words(x), k, hashes) for x in batch.column(1).to_pylist()]
+            fine = [x.tobytes() if 4 * len(x) <= 2 * t else sketch(x, t).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(fine, pa.binary())], ["node", "size", "fine"])
 
     return run
 
 
-def _tile_pairs(least: int, fine_least: int, bands: int):
-    """Of one tile: pairs of different components whose sketches agree enough, each at its first shared band only."""
+def _tile_pairs(least: int, fine: int, fine_least: int, bands: int, percent: int):
+    """Of one tile: pairs of different components that may be similar, each at its first shared band only.
+
+    Two short texts bring their sets, so their pair is settled here (sure); others are candidates by their sketches.
+    """
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
-        side = tile.column("side").to_numpy()
+        side, size = tile.column("side").to_numpy(), tile.column("size").to_numpy()
         nodes, labels = tile.column("node").to_pylist(), np.unique(tile.column("label").to_pylist(), return_inverse=True)[1]
-        m, fine = (_sketch_matrix(tile.column(c).chunk(0)) for c in ("sketch", "fine"))
+        m = _sketch_matrix(tile.column("sketch").chunk(0))
+        blobs = tile.column("fine").to_pylist()
+        short = 4 * size <= 2 * fine
+        longer = np.zeros((len(nodes), fine), np.uint16)
+        for i in np.flatnonzero(~short):
+            longer[i] = np.frombuffer(blobs[i], np.uint16)
+        # One number for each shingle of the tile's short texts, so that intersections are counts.
+        flat = np.concatenate([np.frombuffer(blobs[i], np.uint64) for i in np.flatnonzero(short)] or [np.empty(0, np.uint64)])
+        owner = np.repeat(np.flatnonzero(short), size[short])
+        names, number = np.unique(flat, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        by_shingle, begins = owner[order], np.searchsorted(number[order], np.arange(len(names) + 1))
+        stops = np.cumsum(np.where(short, size, 0))
         band = tile.column("band")[0].as_py()
         right = np.flatnonzero(side != 0)
-        out_a, out_b = [], []
+        out: list[tuple[int, int, bool]] = []
         for i in np.flatnonzero(side != 1):
             at = right[labels[right] != labels[i]]
             if side[i] == 2:
@@ -169,10 +185,18 @@ def _tile_pairs(least: int, fine_least: int, bands: int):
             if not len(at):
                 continue
             at = at[same.reshape(len(at), bands, -1).all(2).argmax(1) == band]
-            at = at[(fine[at] == fine[i]).sum(1) >= fine_least]
-            out_a += [min(nodes[i], nodes[j]) for j in at]
-            out_b += [max(nodes[i], nodes[j]) for j in at]
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+            exact = at[short[at]] if short[i] else at[:0]
+            if len(exact):
+                own = number[stops[i] - size[i] : stops[i]]
+                both = np.bincount(np.concatenate([by_shingle[begins[x] : begins[x + 1]] for x in own]), minlength=len(nodes))[exact]
+                linked = exact[100 * both >= percent * (size[i] + size[exact] - both)]
+                # One link to each other component says all.
+                out += [(i, j, True) for j in linked[np.unique(labels[linked], return_index=True)[1]]]
+            rest = at[~short[at] & ~short[i]]
+            out += [(i, j, False) for j in rest[(longer[rest] == longer[i]).sum(1) >= fine_least]]
+            out += [(i, j, False) for j in at[short[at] != short[i]]]
+        pairs = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), sure) for i, j, sure in out]
+        return pa.table({"a": pa.array([x for x, _, _ in pairs], pa.binary()), "b": pa.array([x for _, x, _ in pairs], pa.binary()), "sure": pa.array([x for _, _, x in pairs], pa.bool_())})
 
     return run
 
@@ -210,8 +234,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = common.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen = mark(current)
     for _ in range(max_rounds):
-        if current.isEmpty():
+        if not seen[0]:
             break
         # Large star: every neighbour larger than u is linked to the least of u's neighbourhood.
         near = both(current)
@@ -221,10 +247,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = common.materialise(small.where("a <> b").distinct(), "cc")
-        same = after.count() == current.count() and after.join(current, ["a", "b"], "left_anti").isEmpty()
         common.release(current)
-        current = after
-        if same:
+        current, before, seen = after, seen, mark(after)
+        if seen == before:
             break
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
@@ -241,7 +266,6 @@ def near_duplicates(
     rows: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-    pivot_rounds: int = 3,
     fine: int = 640,
     tile: int = 1024,
     with_hash: bool = False,
@@ -284,38 +308,42 @@ def near_duplicates(
         pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches(k, percent), "a binary, b binary")
 
-    edges: DataFrame | None = None
-    labels: DataFrame | None = None
-    members = keys.withColumns({"label": F.col("node"), "degree": F.lit(0).cast("long")})
-    # Pivots: the least node of a key, then the node with most links so far, then the last label.
-    orders = (F.struct(F.lit(0), -F.col("degree"), "node"), F.struct(-F.col("degree"), "node"), F.struct(F.lit(0), F.col("degree"), "node"))
-    for turn in range(pivot_rounds):
-        by = orders[min(turn, len(orders) - 1)]
-        pivots = members.groupBy("key").agg(F.min_by(F.struct("label", "node"), by).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        pivots = pivots.where("lo <> hi").select("key", F.col("p.node").alias("b"), F.col("p.label").alias("label_b"))
-        pairs = members.withColumnRenamed("node", "a").join(pivots, "key").where("label <> label_b").select("a", "b").distinct()
-        best = with_sketches(pairs).groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-        found = common.materialise(verified(best), "edges")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = connected_components(edges)
-        members = common.materialise(_labelled(keys, labels, edges), "members")
+    def best_links(pairs: DataFrame) -> DataFrame:
+        """Of each node's pivots the one whose sketch agrees most, if the texts are similar indeed."""
+        best = with_sketches(pairs.distinct()).groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+        return common.materialise(verified(best), "edges")
+
+    # First three pivots for each key, alike for all its members; then, in keys that still hold several components, the
+    # node with most links so far.
+    pivots = keys.groupBy("key").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node")))).alias("b"))
+    edges = best_links(keys.join(pivots, "key").select(F.col("node").alias("a"), F.explode("b").alias("b")).where("a <> b"))
+    labels = connected_components(edges)
+    members = common.materialise(_labelled(keys, labels, edges), "members")
+    hubs = members.groupBy("key").agg(F.max_by(F.struct("label", "node"), F.struct("degree", "node")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    hubs = hubs.where("lo <> hi").select("key", F.col("p.node").alias("b"), F.col("p.label").alias("label_b"))
+    more = best_links(members.withColumnRenamed("node", "a").join(hubs, "key").where("label <> label_b").select("a", "b"))
+    stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    labels = connected_components(stars.unionByName(more))
+    members = common.materialise(_labelled(keys, labels, more), "members")
     # What is left: keys with several components, compared in tiles.
     mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     mixed_members = common.materialise(members.join(mixed, "key").withColumn("block", block), "mixed")
     finer = texts.join(mixed_members.select("node").distinct(), "node", "left_semi").select("node", "text")
-    finer = common.materialise(finer.mapInArrow(_fine_batches(k, fine), "node binary, fine binary").join(sketches, "node"), "fine")
+    finer = common.materialise(finer.mapInArrow(_fine_batches(k, fine), "node binary, size long, fine binary").join(sketches, "node"), "fine")
     dealt = mixed_members.select("key", "band", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(
         "key", "band", "node", "label", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     ).join(finer, "node")
-    tiles = dealt.groupBy("key", "ti", "tj").applyInArrow(_tile_pairs(least, least_agreement(fine, percent), bands), "a binary, b binary")
-    rest = tiles.distinct()
-    rest = common.materialise(verified(rest), "edges")
+    tiles = dealt.groupBy("key", "ti", "tj").applyInArrow(_tile_pairs(least, fine, least_agreement(fine, percent), bands, percent), "a binary, b binary, sure boolean")
+    tiles = common.materialise(tiles, "tiles")
+    rest = verified(tiles.where("not sure").select("a", "b").distinct()).unionByName(tiles.where("sure").select("a", "b").distinct())
+    rest = common.materialise(rest, "edges")
     if not rest.isEmpty():
-        labels = connected_components(edges.unionByName(rest))
+        stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        labels = connected_components(stars.unionByName(rest))
     # The least doc_id of each component, carried back to every row through its digest.
     named = classes.select("node", "doc_id").join(labels.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"))

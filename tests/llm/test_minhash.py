@@ -57,10 +57,11 @@ def test_equals_brute_force(spark, k, tile):
     assert got == brute(rows, k, 80)
 
 
-def test_tiles_alone_find_every_link(spark):
+@pytest.mark.parametrize("fine", [160, 640])
+def test_small_tiles_find_every_link(spark, fine):
     rows = variants(seed=5, families=6)
     df = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k=5, pivot_rounds=1, tile=8).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k=5, fine=fine, tile=8).collect()), key=str)
     assert got == brute(rows, 5, 80)
 
 
