@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from newsloom.llm import decontaminate, langid, licenses, lm, minhash, mixing, packing, quality, unigram
+from newsloom.llm import ann, decontaminate, langid, licenses, lm, minhash, mixing, packing, quality, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": langid.op2_langid,
         "op3_quality": quality.op3_quality,
         "op4_licenses": licenses.op4_licenses,
+        "op5_ann": ann.op5_ann,
         "op6_token_counts": unigram.op6_token_counts,
         "op7_minhash": minhash.op7_minhash,
         "op8_mixing": mixing.op8_mixing,
