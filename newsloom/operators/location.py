@@ -57,7 +57,7 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
         parts += [F.when(F.contains("ul", F.lit(h)), 20).otherwise(0) for h, d in profile.url_hints if d == district]
         if gazetteer is not None:
             one = lambda x: F.when(F.contains(F.col("tl"), x["name"]), 80).when(F.contains(F.col("fl"), x["name"]), 30).otherwise(0)
-            own = F.filter("names", lambda x, d=district: x["district"] == d)
+            own = F.filter("names", _of(district))
             parts.append(F.aggregate(own, F.lit(0), lambda s, x: s + one(x)))
         score = reduce(lambda a, b: a + b, parts, F.lit(0)).cast("long")
         found.append(F.struct(F.lit(district).alias("district"), F.lit(i).alias("ord"), score.alias("score")))
@@ -67,6 +67,10 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
 BROADCAST_NAMES = 5_000
 
 
+def _of(district: str):
+    return lambda x: x["district"] == district
+
+
 def best_district(scores: DataFrame) -> DataFrame:
     """id, district, score: the largest score, of equals the first district."""
     return scores.groupBy("id").agg(F.max_by(F.struct("district", "score"), F.struct("score", -F.col("ord"))).alias("b")).select("id", "b.*")
