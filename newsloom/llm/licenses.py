@@ -4,7 +4,7 @@ A unit is a line of a document, or the whole document (unit 0). Units and templa
 everything but a-z and 0-9 is a separator. The Dice coefficient of two bigram sets A and B is 2|A & B| / (|A| + |B|), so
 it can reach ``t`` only if |A| lies between |B| t / (2 - t) and |B| (2 - t) / t; units outside the bounds of every
 template are gone before a bigram is made, and the bounds of each template prune the rest at the join. Bigrams probe a
-broadcast table of the templates' bigrams (its size is that of the template list, which is checked), and units meet
+broadcast table of the templates' bigrams, by 64-bit hashes (its size is that of the template list, which is checked), and units meet
 templates only through a bigram they share.
 """
 
@@ -46,10 +46,13 @@ def unit_words(text: Column) -> Column:
 
 
 def _bigrams(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Add the distinct word bigrams; texts of fewer than two words have none."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(F.col(words), 1, n), F.slice(F.col(words), 2, n), lambda a, b: F.concat_ws(" ", a, b))
-    return df.withColumn(out, F.array_distinct(pairs))
+    """Add 64-bit hashes of the distinct word bigrams; texts of fewer than two words have none.
+
+    Where a text ends, the last word meets nothing; that pair is dropped by its place before repeats are.
+    """
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn(out, pairs)
+    return df.withColumn(out, F.array_distinct(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))))
 
 
 def _size_bounds(n: Column, threshold: float) -> tuple[Column, Column]:
@@ -76,14 +79,18 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, threshold: floa
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("text_hash", F.xxhash64("text"))
     base = base.withColumn("lines", F.split("text", "\n"))
+    # No filter stands above a costly column and generators are outer ones: Catalyst would push a filter (or one that it
+    # infers) below the column and compute it twice. Units out of bounds become null arrays instead.
     # The whole text, and the lines if there are several; a single line would be the whole text again.
-    units = base.select("doc_id", "text_hash", F.posexplode(F.when(F.size("lines") > 1, F.concat(F.array("text"), "lines")).otherwise(F.array("text"))).alias("unit", "line"))
-    # A unit of m distinct bigrams has more than m words, and two characters each at least: too short is told by length.
-    units = units.where(F.length("line") >= 2 * (limits[0] or 1))
-    units = units.select("doc_id", "text_hash", "unit", unit_words(F.col("line")).alias("ws")).where(F.size("ws") > (limits[0] or 1))
-    units = _bigrams(units, "ws", "grams").select("doc_id", "text_hash", "unit", F.size("grams").alias("n"), "grams")
-    units = units.where(F.col("n").between(limits[0] or 1, limits[1] or 0))
-    hits = units.select("doc_id", "text_hash", "unit", "n", F.explode("grams").alias("gram")).join(templates, "gram").where("n between lo and hi")
+    base = base.withColumn("units", F.when(F.size("lines") > 1, F.concat(F.array("text"), "lines")).otherwise(F.array("text")))
+    least, most = limits[0] or 1, limits[1] or 0
+    units = base.select("doc_id", "text_hash", F.posexplode_outer("units").alias("unit", "line"))
+    # A unit of m distinct bigrams has more than m words, of one character and a separator at least.
+    units = units.where(F.length("line") >= 2 * least).select("doc_id", "text_hash", "unit", unit_words(F.col("line")).alias("ws"))
+    units = _bigrams(units.withColumn("ws", F.when(F.size("ws") > least, F.col("ws"))), "ws", "grams")
+    units = units.select("doc_id", "text_hash", "unit", F.coalesce(F.size("grams"), F.lit(0)).alias("n"), "grams")
+    units = units.withColumn("grams", F.when(F.col("n").between(least, most), F.col("grams")))
+    hits = units.select("doc_id", "text_hash", "unit", "n", F.explode_outer("grams").alias("gram")).join(templates, "gram").where("n between lo and hi")
     # A unit lies in one task, so it is counted before the shuffle. Rows alike in id and text are counted as ``times``.
     both, dice = F.size(F.collect_set("gram")), 2 * F.col("both") / (F.col("n") + F.col("m"))
     scored = hits.groupBy("doc_id", "text_hash", "unit", "n", "license_id", "m").agg(both.alias("both"), (F.count("*") / both).cast("int").alias("times"))
