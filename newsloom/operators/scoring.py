@@ -1,7 +1,7 @@
 """Rule-based scoring of texts into categories.
 
 Keywords count as beginnings of words (up to a longest suffix) or as phrases of whole words. Both are equi-joins with
-the lexicon: words are exploded with their beginnings of admissible length, runs of single-spaced words as they are, so
+the lexicon: words are exploded with their beginnings of lengths that keywords have, runs of single-spaced words as they are, so
 the cost is linear in the text and does not depend on the lexicon's size. A lexicon of (category, keyword, weight) rows
 is broadcast only up to a checked number of rows. Rules add to scores by guards over the text.
 """
@@ -33,7 +33,9 @@ def keyword_hits(docs: DataFrame, lexicon: DataFrame, profile: Profile, id_col:
     """
     lex = lexicon.select("category", "keyword", F.col("weight").cast("long").alias("weight"), tr_lower(F.col("keyword")).alias("k"))
     lex = lex.where(F.col("k").rlike(f"^[{profile.letters}]+( [{profile.letters}]+)*$")).withColumn("words", F.size(F.split("k", " ")))
-    lengths = sorted(r.words for r in lex.select("words").distinct().collect())  # a few small numbers
+    shapes = lex.select("words", F.length("k").alias("len")).distinct().collect()  # a few small numbers
+    lengths = sorted({r.words for r in shapes})
+    sizes = F.array(*[F.lit(n) for n in sorted({r.len for r in shapes if r.words == 1})]).cast("array<int>")
     never = F.create_map(*[F.lit(x) for kv in profile.never.items() for x in kv]) if profile.never else F.lit(None).cast("map<string,string>")
     lex = lex.withColumn("never", F.try_element_at(never, F.col("k")))
     if lexicon.count() <= BROADCAST_KEYWORDS:
@@ -43,19 +45,20 @@ def keyword_hits(docs: DataFrame, lexicon: DataFrame, profile: Profile, id_col:
     found = []
     for n in lengths or [1]:
         if n == 1:
-            grams = words.select("id", "field", F.explode("ws").alias("token")).where("token <> '|'")
-            grams = grams.groupBy("id", "field", "token").agg(F.count("*").alias("n"))
-            first = F.greatest(F.length("token") - profile.longest_suffix, F.lit(1))
-            grams = grams.select("id", "field", "token", "n", F.explode(F.sequence(first, F.length("token"))).alias("len"))
-            grams = grams.select("id", "field", "token", "n", F.expr("substring(token, 1, len)").alias("k"))
+            grams = words.select("id", "field", F.explode_outer("ws").alias("token")).where("token <> '|'")
+            fits = F.filter(sizes, lambda n: (n <= F.length("token")) & (n >= F.length("token") - profile.longest_suffix))
+            grams = grams.select("id", "field", "token", F.explode_outer(fits).alias("len"))
+            grams = grams.select("id", "field", "token", F.expr("substring(token, 1, len)").alias("k"))
         else:
-            at = F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1)))
-            runs = words.select("id", "field", F.explode(F.transform(at, lambda i: F.array_join(F.slice("ws", i, n), " "))).alias("k"))
-            grams = runs.groupBy("id", "field", "k").agg(F.count("*").alias("n")).select("id", "field", F.lit("").alias("token"), "n", "k")
+            # Runs grow by one word a projection; a slice for each position would copy the whole text each time.
+            runs = words.withColumn("run", F.col("ws"))
+            for k in range(1, n):
+                runs = runs.withColumn("run", F.zip_with("run", F.slice("ws", k + 1, F.size("ws")), lambda x, y: F.concat(x, F.lit(" "), y)))
+            grams = runs.select("id", "field", F.lit("").alias("token"), F.explode_outer("run").alias("k"))
         hits = grams.join(lex.where(F.col("words") == n), "k").where(F.col("never").isNull() | ~F.startswith(F.col("token"), F.col("never")))
-        found.append(hits.select("id", "category", "keyword", "weight", "field", "n"))
+        found.append(hits.select("id", "category", "keyword", "weight", "field"))
     hits = reduce(DataFrame.unionByName, found)
-    of = lambda f: F.sum(F.when(F.col("field") == f, F.col("n")).otherwise(0)).alias(f"n_{f}")
+    of = lambda f: F.count_if(F.col("field") == f).alias(f"n_{f}")
     return hits.groupBy("id", "category", "keyword", "weight").agg(of("title"), of("body"))
 
 

@@ -490,7 +490,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sentence_split")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).select("doc_id", F.posexplode(summaries.sentences(F.col("body"))).alias("pos", "sentence"))
+    return articles(spark, sf_dir).select("doc_id", F.posexplode_outer(summaries.sentences(F.col("body"))).alias("pos", "sentence")).where("sentence is not null")
 
 
 @query("summary")

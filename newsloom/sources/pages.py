@@ -146,7 +146,7 @@ def _absolute(hrefs: pd.Series, base: pd.Series) -> pd.Series:
 
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, pos, href: links of each page as written, without empty ones, fragments and scripts."""
-    links = pages.select(F.col(id_col).alias("id"), F.posexplode(_hrefs(F.col(html_col))).alias("pos", "href"))
+    links = pages.select(F.col(id_col).alias("id"), F.posexplode_outer(_hrefs(F.col(html_col))).alias("pos", "href"))
     return links.where((F.trim("href") != "") & ~F.startswith("href", F.lit("#")) & ~F.startswith(F.lower("href"), F.lit("javascript:")))
 
 
@@ -186,7 +186,7 @@ def link_profile(links: DataFrame, host: str, segments: tuple[int, ...] = (5, 6)
 
 def class_topk(pages: DataFrame, k: int = 10, html_col: str = "html") -> DataFrame:
     """class, n: the most frequent CSS classes."""
-    return pages.select(F.explode(_classes(F.col(html_col))).alias("class")).groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(k)
+    return pages.select(F.explode_outer(_classes(F.col(html_col))).alias("class")).where("class is not null").groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(k)
 
 
 def expand_pagination(urls: DataFrame, most: int = 3, url_col: str = "url") -> DataFrame:
