@@ -96,7 +96,12 @@ def extract_location(docs: DataFrame, profile: Profile, gazetteer: DataFrame | N
     out = docs.select(F.col(id_col).alias("id"), raw.alias("raw"), tr_lower(F.col(title_col)).alias("tl"), category.alias("category")).join(best, "id", "left")
     out = out.withColumn("fl", tr_lower(F.col("raw")))
     out = out.withColumn("veto", foreign_veto(F.col("tl"), F.col("fl"), F.col("district"), profile))
-    matched = lambda p, g: py_trim(F.regexp_extract("raw", _FLAGS + p, g))
+
+    def matched(pattern: str, group: int) -> Column:
+        """A pattern that begins with an open block costs 40 steps a character: look for its fixed end first."""
+        end = re.split(r"\\s\+", pattern, maxsplit=1)[-1]
+        return F.when(F.col("raw").rlike(_FLAGS + end), py_trim(F.regexp_extract("raw", _FLAGS + pattern, group))).otherwise("")
+
     out = out.withColumns({"block": matched(NEIGHBOURHOOD, 1), "mah": matched(NEIGHBOURHOOD, 0), "street": matched(STREET, 0)})
     if gazetteer is not None:
         listed = gazetteer.agg(F.collect_list(F.struct(tr_lower(F.col("name")).alias("name"), "district")).alias("names"))
