@@ -8,8 +8,9 @@ ranked by Pareto's quantity (Rosen 1997)  Q = [U / (1 - U)] / [p / (1 - p)]  wit
 and the lowest ranks are taken until the source's remaining words are used up: a sample of fixed size in words.
 
 No source is sorted in one task. The cut is found by two levels of 4096 bins of Q / (1 + Q), summed before the
-shuffle; only the documents of one second-level bin are ordered. What is left at the cut is filled by the next
-``fill`` documents in rank order that still fit.
+shuffle; only the documents of one second-level bin are ordered. What is left at the cut is filled by all later
+documents, in rank order, that still fit: in rounds, each of which finds by bins how many of those no longer than the
+room left fit together, orders the next ``fill`` of them, and leaves fewer candidates, until none fits.
 """
 
 from __future__ import annotations
@@ -99,26 +100,48 @@ def decisions(
         found = found.groupBy("skey").agg(F.min(F.struct(bin_col, (F.col("room") - F.col("upto") + F.col("words")).alias("left"))).alias("x"))
         return found.select("skey", F.col(f"x.{bin_col}").alias(out), F.col("x.left").alias("room"))
 
-    first = crossing(binned.groupBy("skey", "b1").agg(F.sum("size").alias("words")), room, "b1", "c1")
-    first = _bounded(common.materialise(first, "mix-cut"), BROADCAST_SOURCES)
-    inside = binned.join(first.select("skey", "c1"), "skey").where("b1 = c1")
-    second = crossing(inside.groupBy("skey", "b2").agg(F.sum("size").alias("words")), first.select("skey", "room"), "b2", "c2")
-    second = _bounded(common.materialise(second, "mix-cut"), BROADCAST_SOURCES)
-    last = inside.join(second.select("skey", "c2"), "skey").where("b2 = c2").groupBy("skey", "v").agg(F.sum("size").alias("words"))
-    last = crossing(last, second.select("skey", "room"), "v", "cut")  # documents before v = cut are in
-    last = _bounded(common.materialise(last, "mix-cut"), BROADCAST_SOURCES)
-    # Documents from the cut on, in rank order, as long as they fit.
-    after = ranked.where("v is not null").join(last, "skey").where("v >= cut")
-    place = F.row_number().over(Window.partitionBy("skey").orderBy("v", "digest"))
-    after = after.withColumn("place", place).where(F.col("place") <= fill)
-    offered = after.groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("place", "size", "digest"))).alias("offer"), F.first("room").alias("room"), F.first("cut").alias("cut"))
-    state = F.struct(F.col("room").cast("double").alias("left"), F.array().cast("array<string>").alias("taken"))
-    fits = lambda s, x: (x["size"] <= s["left"]) & ~F.array_contains(s["taken"], x["digest"])
-    step = lambda s, x: F.when(fits(s, x), F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["taken"], F.array(x["digest"])).alias("taken"))).otherwise(s)
-    offered = offered.select("skey", "cut", F.aggregate("offer", state, step, lambda s: s["taken"]).alias("extra"))
-    offered = _bounded(common.materialise(offered, "mix-fill"), BROADCAST_SOURCES)
-    one_more = F.col("v").isNotNull() & (F.col("cut").isNull() | (F.col("v") < F.col("cut")) | F.array_contains("extra", F.col("digest")))
-    out = ranked.join(offered, "skey", "left")
+    def cuts(binned: DataFrame, room: DataFrame) -> DataFrame:
+        """skey, cut, room: documents before v = cut fit together, those at it do not. Sources that fit whole are not listed."""
+        first = crossing(binned.groupBy("skey", "b1").agg(F.sum("size").alias("words")), room, "b1", "c1")
+        first = _bounded(common.materialise(first, "mix-cut"), BROADCAST_SOURCES)
+        inside = binned.join(first.select("skey", "c1"), "skey").where("b1 = c1")
+        second = crossing(inside.groupBy("skey", "b2").agg(F.sum("size").alias("words")), first.select("skey", "room"), "b2", "c2")
+        second = _bounded(common.materialise(second, "mix-cut"), BROADCAST_SOURCES)
+        last = inside.join(second.select("skey", "c2"), "skey").where("b2 = c2").groupBy("skey", "v").agg(F.sum("size").alias("words"))
+        last = crossing(last, second.select("skey", "room"), "v", "cut")
+        return _bounded(common.materialise(last, "mix-cut"), BROADCAST_SOURCES)
+
+    last = cuts(binned, room)
+    # Documents from the cut on that still fit; rows equal in id and text are one of their words together.
+    after = binned.join(last, "skey").where("v >= cut and size <= room")
+    after = after.groupBy("skey", "digest", "v", "b1", "b2", "room").agg(F.sum("size").alias("size")).where("size <= room")
+    after = common.materialise(after, "mix-after")
+    extra = None
+    while not after.isEmpty():
+        rooms = after.groupBy("skey").agg(F.first("room").alias("room"))
+        cut = cuts(after.drop("room"), rooms)
+        whole = after.drop("room").join(cut.select("skey", "cut"), "skey", "left").where("cut is null or v < cut").select("skey", "digest")
+        place = F.row_number().over(Window.partitionBy("skey").orderBy("v", "digest"))
+        offered = after.drop("room").join(cut, "skey").where("v >= cut and size <= room").withColumn("place", place).where(F.col("place") <= fill)
+        offered = offered.groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("v", "digest", "size"))).alias("offer"), F.first("room").alias("room"))
+        state = F.struct(F.col("room").cast("double").alias("left"), F.array().cast("array<string>").alias("taken"))
+        step = lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["taken"], F.array(x["digest"])).alias("taken"))).otherwise(s)
+        end = F.element_at("offer", -1)
+        offered = offered.select("skey", F.aggregate("offer", state, step).alias("s"), end["v"].alias("end_v"), end["digest"].alias("end_digest"))
+        offered = _bounded(common.materialise(offered.select("skey", "s.left", "s.taken", "end_v", "end_digest"), "mix-fill"), BROADCAST_SOURCES)
+        taken = common.materialise(whole.unionByName(offered.select("skey", F.explode("taken").alias("digest"))), "mix-taken")
+        extra = taken if extra is None else extra.unionByName(taken)
+        rest = after.drop("room").join(offered.select("skey", F.col("left").alias("room"), "end_v", "end_digest"), "skey")
+        rest = rest.where("(v > end_v or v = end_v and digest > end_digest) and size <= room").drop("end_v", "end_digest")
+        rest = common.materialise(rest, "mix-after")
+        common.release(after)
+        after = rest
+    out = ranked.join(last.select("skey", "cut"), "skey", "left")
+    if extra is None:
+        out = out.withColumn("extra", F.lit(False))
+    else:
+        out = out.join(_bounded(extra.withColumn("extra", F.lit(True)), BROADCAST_SOURCES), ["skey", "digest"], "left")
+    one_more = F.col("v").isNotNull() & (F.col("cut").isNull() | (F.col("v") < F.col("cut")) | F.coalesce("extra", F.lit(False)))
     copies = (F.col("certain") + F.when(F.coalesce(one_more, F.lit(False)), 1).otherwise(0)).cast("long")
     return out.select("doc_id", "digest", "source", "size", "source_size", "target", copies.alias("copies"))
 

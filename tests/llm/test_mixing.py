@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -80,3 +81,45 @@ def test_empty_and_wordless(spark):
     assert mixing.decisions(spark.createDataFrame([], SCHEMA)).count() == 0
     one = mixing.decisions(spark.createDataFrame([(1, None, None, "", "", 0.0)], SCHEMA)).collect()
     assert one[0]["copies"] == 0 and one[0]["target"] == 0
+
+
+def brute_force(rows, rate, target):
+    """Words taken of one source, greedily in rank order over all documents, with expected copies below 1."""
+    ranked = []
+    for doc_id, text, _ in rows:
+        digest = hashlib.md5(f"{doc_id}|{text}".encode()).hexdigest()
+        u = (int(digest[:13], 16) + 0.5) / float(1 << 52)
+        odds = (u / (1 - u)) / (rate / (1 - rate))
+        ranked.append((odds / (1 + odds), digest, doc_id, len(text.split())))
+    left, taken = target, set()
+    for _, _, doc_id, size in sorted(ranked):
+        if size <= left:
+            left -= size
+            taken.add(doc_id)
+    return taken, min(ranked)[2]
+
+
+def test_room_after_a_long_document_is_filled(spark):
+    short, other = [(i, "w " * 50, "a") for i in range(300)], [(i, "w " * 50, "b") for i in range(1000, 1380)]
+    for long_id in range(2000, 4000):  # one that ranks first
+        rows = [*short, (long_id, "w " * 20_000, "a")]
+        taken, first = brute_force(rows, 18_000 / 35_000, 18_000)
+        if first == long_id:
+            break
+    assert first == long_id and len(taken) == 300
+    got = mixing.decisions(spark.createDataFrame(rows + other, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in got if r["source"] == "a" and r["copies"]} == taken
+    assert {r["target"] for r in got if r["source"] == "a"} == {18_000.0}
+
+
+def test_filling_takes_as_many_rounds_as_it_needs(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([1, 3, 7, 50, 400, 3000]), "a") for i in range(1500)]
+    size = sum(len(r[1].split()) for r in rows)
+    rows.append((5000, "w " * (size // 2), "a"))
+    size += size // 2
+    other = [(9000, "w " * size, "b")]
+    target = 2 * size / 3
+    taken, _ = brute_force(rows, target / size, target)
+    got = mixing.decisions(spark.createDataFrame(rows + other, "doc_id long, text string, source string"), fill=2).collect()
+    assert {r["doc_id"] for r in got if r["source"] == "a" and r["copies"]} == taken
