@@ -27,19 +27,30 @@ from newsloom.llm import common
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
+LONGEST_GRAM, PIECE = 4, 60
 
 
 def text_words(text: str | None) -> Counter:
-    """Lower-cased runs of letters and their counts."""
+    """Lower-cased runs of letters and their counts.
+
+    Runs of more than ``PIECE`` letters, as in scripts without spaces, count as pieces of so many at most, which overlap
+    by three letters so that no n-gram is lost.
+    """
     bag = Counter(_LETTERS.findall(text.lower())) if text else Counter()
+    overlap = LONGEST_GRAM - 1
+    if max(map(len, bag), default=0) > PIECE:
+        for w in [w for w in bag if len(w) > PIECE]:
+            n = bag.pop(w)
+            for i in range(0, len(w) - overlap, PIECE - overlap):
+                bag[w[i : i + PIECE]] += n
     for w in [w for w in bag if not w.isalpha() and not any(map(str.isalpha, w))]:  # runs of other numerals
         del bag[w]
     return bag
 
 
-def gram_ids(words: list[str], longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def gram_ids(words: list[str], longest: int = LONGEST_GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each character n-gram of each word, and each word's number of n-grams."""
-    codes = [np.frombuffer(f"\x02{w[:60]}\x03".encode("utf-32-le", "replace"), np.uint32) for w in words]
+    codes = [np.frombuffer(f"\x02{w}\x03".encode("utf-32-le", "replace"), np.uint32) for w in words]
     lengths = np.array([len(c) for c in codes], np.int64)
     flat = np.concatenate(codes).astype(np.uint64) if codes else np.empty(0, np.uint64)
     word = np.repeat(np.arange(len(words)), lengths)

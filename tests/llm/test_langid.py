@@ -74,3 +74,17 @@ def test_nothing_learned(spark):
     assert langid.predict(empty, model).count() == 0
     row = langid.predict(spark.createDataFrame([(1, "abc", None, "", 0.0)], SCHEMA), model, keep=["doc_id"]).collect()[0]
     assert tuple(row)[1:3] == ("und", 0.0)
+
+
+def test_long_runs_are_read_whole(model):
+    rng = random.Random(6)
+    run = "".join(prose("xx", 60, rng).split())[:60] + "".join(prose("yy", 400, rng).split())
+    bag = langid.text_words(run + " " + run)
+    assert max(map(len, bag)) <= 60
+    have = {w[i : i + 4] for w in bag for i in range(len(w) - 3)}
+    assert have >= {run[i : i + 4] for i in range(len(run) - 3)} and min(bag.values()) == 2
+    pi, _ = langid.infer(langid.WordTable(model), [bag])
+    assert pi[0].argmax() == model.languages.index("yy") and pi[0].max() > 0.8
+    for n in range(60, 180):
+        pieces = langid.text_words("".join(chr(0x4E00 + i) for i in range(n)))
+        assert {c for w in pieces for c in w} == {chr(0x4E00 + i) for i in range(n)} and min(map(len, pieces)) > 3
