@@ -453,8 +453,9 @@ query("page_links")(linked)
 
 @query("collect_links")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = t(spark, sf_dir, "pages").withColumn("base", F.lit("https://site.example"))
-    return pages.collect_links(listed, ".", "base")
+    part = lambda n: F.coalesce(F.regexp_extract("url", "^([a-zA-Z]+://([^/?#]+))", n), F.lit(""))
+    listed = t(spark, sf_dir, "pages").withColumns({"base": part(1), "host": F.lower(part(2))})
+    return pages.collect_links(listed, ".", "base", source_col="host")
 
 
 @query("link_profile")

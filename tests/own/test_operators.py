@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import duplicates, geocode, graph, listing, location, scoring, summaries
+from newsloom.plans import queries
 from newsloom.profiles import TURKISH, Profile, Rule
 from newsloom.sources import pages, snapshots
 
@@ -252,6 +253,13 @@ def test_reading_stops(spark):
     assert urls() == ["1", "2", "3", "4"] and urls(idle=2) == ["1", "2"] and urls(fetches=4) == ["1", "2", "3"] and urls(most=1) == ["1"] and urls(failures=2) == ["1", "2", "3"]
 
 
+def test_each_site_is_read_up_to_its_own_limits(spark, tmp_path):
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", f'<a href="/n/{i}">x</a>') for i in range(80)] + [(80, None, "<p>")]
+    spark.createDataFrame(rows, "page_id int, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.source, r.url) for r in queries.queries()["collect_links"](spark, str(tmp_path)).collect()}
+    assert got == {(f"{x}.example", f"http://{x}.example/n/{i}") for i in range(80) for x in "ab"[i % 2]}
+
+
 def test_pagination(spark):
     df = spark.createDataFrame([(0, "http://s/x/"), (1, "http://s/x?a=1"), (2, "http://s/x")], "ord int, url string")
     got = [r.url for r in sorted(pages.expand_pagination(df).collect(), key=lambda r: (r.ord, r.pos))]
