@@ -11,10 +11,14 @@ def grams(text):
     return set(zip(ws, ws[1:], strict=False))
 
 
+def words(text):
+    return re.findall("[a-z0-9]+", "".join(c.lower() if c < "\x80" else c for c in text))
+
+
 def brute(docs, notices, threshold):
     out = []
     for doc_id, text in docs:
-        lines = (text or "").split("\n")
+        lines, mine = (text or "").split("\n"), []
         for unit, line in enumerate([text or "", *lines] if len(lines) > 1 else [text or ""]):
             own, found = grams(line), []
             for name, notice in notices.items():
@@ -22,7 +26,19 @@ def brute(docs, notices, threshold):
                 if own and other and 2 * len(own & other) / (len(own) + len(other)) >= threshold:
                     found.append((-2 * len(own & other) / (len(own) + len(other)), name))
             if found:
-                out.append((doc_id, unit, min(found)[1], -min(found)[0]))
+                mine.append((doc_id, unit, min(found)[1], -min(found)[0]))
+        ws = words(text or "")
+        pairs = list(zip(ws, ws[1:], strict=False))
+        for name, notice in notices.items():
+            other, t = grams(notice), words(notice)
+            listed = list(zip(t, t[1:], strict=False))
+            if not other or any(x[2] == name for x in mine):
+                continue
+            starts = {max(i - listed.index(p), 0) for i, p in enumerate(pairs) if p in other}
+            dice = max((2 * len(set(pairs[s : s + len(t) - 1]) & other) / (len(set(pairs[s : s + len(t) - 1])) + len(other)) for s in starts), default=0)
+            if dice >= threshold:
+                mine.append((doc_id, -1, name, dice))
+        out += mine
     return sorted(out, key=str)
 
 
@@ -34,6 +50,8 @@ def test_equals_brute_force(spark):
         (4, NOTICES["long"].upper() + " extra"), (5, NOTICES["long"].replace(" w30", "\n w30")), (6, None), (7, ""), (8, "one"), (9, "\n\n"),
         (1, "Use of this text is free for all people."), (2, "Use of this text is free for most people."), (None, "use of this text is free for some people"),
         (10, "use of this text é is free for all people"), (11, "filler words " * 20000 + "\n" + NOTICES["b"]),
+        (12, "some words before\nUse of this\ntext is free\nfor all people. And after it " + NOTICES["long"].replace(" w20 ", "\nextra ") + " the end"), (12, None),
+        (13, "all people use of this text and for all of this is free"), (14, "x " + NOTICES["a"] + " y\nz"), (14, "x " + NOTICES["a"] + " y\nz"),
     ]
     df = spark.createDataFrame([(*d, "x", "y") for d in docs], SCHEMA)
     for threshold in (0.8, 0.6):
@@ -48,3 +66,11 @@ def test_empty(spark):
     assert licenses.scan(none).count() == 0
     assert licenses.scan(one, {"c": "one"}).count() == 0
     assert [r.license_id for r in licenses.scan(one).collect()] == ["MIT"]
+
+
+def test_whole_licences_wrapped_over_lines(spark):
+    import textwrap
+
+    rows = [(i, "/*\n" + textwrap.fill(licenses.NOTICES[name], 70, initial_indent=" * ", subsequent_indent=" * ") + "\n */\nint main() { return 0; }\n" * 200, name, "") for i, name in enumerate(sorted(licenses.NOTICES))]
+    got = {(r.doc_id, r.license_id): r.dice for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {name: got.get((i, name), 0) for i, _, name, _ in rows if got.get((i, name), 0) < 0.8} == {}
