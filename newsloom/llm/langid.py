@@ -118,16 +118,29 @@ class WordTable:
         return self._rows[np.fromiter((get(w) for d in docs for w in d), np.int64, sum(map(len, docs)))]
 
 
-def _em(like: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, active: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (documents x languages) over each document's active languages, and the log-likelihoods."""
+def _of_active(scores: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For words: likelihoods in the active languages as shares of the best of them, and the log of that best one.
+
+    Nothing is cut off: a word that every language finds very unlikely keeps its log-likelihood.
+    """
+    shown = np.where(active, scores, -np.inf)
+    top = shown.max(1)
+    return np.exp(shown - top[:, None]), top
+
+
+def _em(scores: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, active: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (documents x languages) over each document's active languages, and the log-likelihoods.
+
+    ``scores``: words x languages, log-likelihoods.
+    """
     total = np.add.reduceat(n, starts)
     pi = active / active.sum(1, keepdims=True)
+    like, top = _of_active(scores, active[doc] > 0)
     for _ in range(rounds):
         joint = like * pi[doc]
-        share = joint * (n / np.maximum(joint.sum(1), 1e-300))[:, None]
+        share = joint * (n / joint.sum(1))[:, None]
         pi = np.add.reduceat(share, starts, axis=0) / total[:, None]
-    mixed = np.maximum((like * pi[doc]).sum(1), 1e-300)
-    return pi, np.add.reduceat(n * np.log(mixed), starts)
+    return pi, np.add.reduceat(n * (np.log((like * pi[doc]).sum(1)) + top), starts)
 
 
 def infer(table: WordTable, docs: list[Counter], penalty: float = 4.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +150,10 @@ def infer(table: WordTable, docs: list[Counter], penalty: float = 4.0, rounds: i
     sizes = np.array([len(d) for d in docs])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     doc = np.repeat(np.arange(len(docs)), sizes)
-    top = scores.max(1, keepdims=True)
-    like = np.exp(np.maximum(scores - top, -60.0))
+    scores -= scores.max(1, keepdims=True)
     total = np.add.reduceat(n, starts)
     languages = scores.shape[1]
-    single = np.add.reduceat(n[:, None] * np.log(like), starts, axis=0)
+    single = np.add.reduceat(n[:, None] * scores, starts, axis=0)
     best = single.argmax(1)
     active = np.zeros((len(docs), languages))
     active[np.arange(len(docs)), best] = 1.0
@@ -155,14 +167,21 @@ def infer(table: WordTable, docs: list[Counter], penalty: float = 4.0, rounds: i
         sub = np.isin(doc, open_) if len(open_) < len(docs) else np.ones(len(doc), bool)
         renum = np.full(len(docs), -1)
         renum[open_] = np.arange(len(open_))
-        d, lk, m = renum[doc[sub]], like[sub], n[sub]
+        d, s, m = renum[doc[sub]], scores[sub], n[sub]
         st = np.concatenate([[0], np.cumsum(sizes[open_])[:-1]])
-        now = np.maximum((lk * pi[open_][d]).sum(1), 1e-300)
-        gain = np.add.reduceat(m[:, None] * np.log(0.8 * now[:, None] + 0.2 * lk), st, axis=0)
+        like, top = _of_active(s, active[open_][d] > 0)
+        now = np.log((like * pi[open_][d]).sum(1)) + top
+        mixed = 0.8 * np.exp(now)[:, None] + 0.2 * np.exp(s)
+        tiny = mixed < 1e-280  # both so far below the best language that only logs tell them apart
+        gains = np.log(np.where(tiny, 1.0, mixed))
+        if tiny.any():
+            w, c = np.nonzero(tiny)
+            gains[w, c] = np.logaddexp(np.log(0.8) + now[w], np.log(0.2) + s[w, c])
+        gain = np.add.reduceat(m[:, None] * gains, st, axis=0)
         gain[active[open_] > 0] = -np.inf
         trial = active[open_].copy()
         trial[np.arange(len(open_)), gain.argmax(1)] = 1.0
-        got, new_ll = _em(lk, m, d, st, trial, rounds)
+        got, new_ll = _em(s, m, d, st, trial, rounds)
         take = 2 * (new_ll - ll[open_]) > penalty * np.log(total[open_] + 1)
         kept = open_[take]
         active[kept], pi[kept], ll[kept] = trial[take], got[take], new_ll[take]
@@ -193,24 +212,27 @@ def _count_batches(languages: list[str]):
     return run
 
 
-def train(labelled: DataFrame, sample_per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(labelled: DataFrame, sample_per_language: int = 1500, most: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from documents with text and language.
 
     Of each language about ``sample_per_language`` documents are used, drawn by a hash of id and text (all, if there
-    are fewer); this bounds the training cost. The model has 65,536 numbers for each language.
+    are fewer); this bounds the training cost. The model has 65,536 numbers for each language, so it learns the ``most``
+    languages with the most labelled documents (of equals the first by name): a dirty column can't make it grow.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
-    rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_per_language / sizes[lang]))])[F.col("lang")]
+    rates = spark.createDataFrame([(lang, min(1.0, sample_per_language / sizes[lang])) for lang in languages], "lang string, rate double")
     draw = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    counted = rows.where(draw < rate).select("lang", "text").mapInArrow(_count_batches(languages), "lang int, bucket int, n long")
+    chosen = rows.join(F.broadcast(rates), "lang").where(draw < F.col("rate"))  # ``most`` rows at most
+    counted = chosen.select("lang", "text").mapInArrow(_count_batches(languages), "lang int, bucket int, n long")
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), BUCKETS))
-    for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.lang, r.bucket] = r.n
+    counts[summed.column("lang").to_numpy(), summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
     return Model(languages, counts)
 
 
