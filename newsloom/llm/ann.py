@@ -3,7 +3,7 @@
 Quantisation (Guo et al. 2020, "Accelerating Large-Scale Inference with Anisotropic Vector Quantization"): for large
 inner products the part of the residual along the vector costs more than the part across it. With eta their ratio, a
 vector's loss is  |r|^2 + (eta - 1) (r . x / |x|)^2. Product codebooks of 16 words for each pair of dimensions are
-trained by turns: codes by coordinate descent on that loss, then all words at once by its normal equations. Four-bit
+trained by turns: codes by coordinate descent on that loss, then the words of one subspace after another. Four-bit
 codes of neighbouring subspaces share a byte.
 
 Search. Equal vectors are one class with its least ids, so copies cannot fill a list. Queries and data are dealt into
@@ -104,22 +104,22 @@ def fit(x: np.ndarray, width: int = 2, rounds: int = 6, eta: float | None = None
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     for _ in range(rounds):
         codes = books.encode(x)
-        # Normal equations of the loss over all words: (C + (eta - 1) Z'Z) w = b + (eta - 1) Z'|x|.
-        size = spaces * WORDS * width
-        place = (np.arange(spaces)[None, :, None] * WORDS + codes[:, :, None]) * width + np.arange(width)[None, None, :]
-        place = place.reshape(n, -1)
-        z = np.zeros((n, size), np.float32)
-        z[np.arange(n)[:, None], place] = unit
-        a = (eta - 1) * (z.T @ z).astype(np.float64)
-        b = (eta - 1) * (z.T @ (x * unit).sum(1).astype(np.float32)).astype(np.float64)
-        a[np.arange(size), np.arange(size)] += np.bincount(place.ravel(), minlength=size) + 1e-3
-        b += np.bincount(place.ravel(), x.ravel(), size) + 1e-3 * books.words.ravel()
-        books = Codebooks(np.linalg.solve(a, b).reshape(spaces, WORDS, width), eta)
+        parts, dirs = x.reshape(n, spaces, width), unit.reshape(n, spaces, width)
+        whole = ((x - books.decode(codes)) * unit).sum(1)
+        for m in range(spaces):  # the words of one subspace, the others as they are: a small system for each word
+            u, p, old = dirs[:, m], parts[:, m], words[m][codes[:, m]]
+            rest = whole - ((p - old) * u).sum(1)
+            for k in range(WORDS):
+                if (own := codes[:, m] == k).any():
+                    a = own.sum() * np.eye(width) + (eta - 1) * u[own].T @ u[own]
+                    b = p[own].sum(0) + (eta - 1) * u[own].T @ ((u[own] * p[own]).sum(1) + rest[own])
+                    words[m, k] = np.linalg.solve(a, b)
+            whole = rest + ((p - words[m][codes[:, m]]) * u).sum(1)
     return books
 
 
 def scan(tables: np.ndarray, codes: np.ndarray, top: int) -> np.ndarray:
-    """For each query the ``top`` rows with the largest table sums, in no order; rows are codes in bytes."""
+    """For each query the ``top`` rows with the largest table sums, of equal sums the first; rows are codes in bytes."""
     top = min(top, len(codes))
     out = np.empty((len(tables), top), np.int64)
     columns = np.ascontiguousarray(codes.T)
@@ -128,7 +128,12 @@ def scan(tables: np.ndarray, codes: np.ndarray, top: int) -> np.ndarray:
         np.take(table[0], columns[0], out=total)
         for m in range(1, len(columns)):
             total += table[m][columns[m]]
-        out[q] = np.argpartition(-total, top - 1)[:top] if top < len(codes) else np.arange(len(codes))
+        if top == len(codes):
+            out[q] = np.arange(top)
+            continue
+        least = np.partition(total, len(codes) - top)[len(codes) - top]
+        above = np.flatnonzero(total > least)
+        out[q] = np.concatenate([above, np.flatnonzero(total == least)[: top - len(above)]])
     return out
 
 
@@ -138,6 +143,7 @@ def _search_block(books_ref, k: int, rerank: int, pad: int):
         if not len(q) or not len(d):
             return pd.DataFrame({c: [] for c in names})
         books: Codebooks = books_ref.value
+        d = d.iloc[np.argsort(d["ids"].str[0].to_numpy(np.int64), kind="stable")]  # ties go to smaller ids
         x, y = (np.array(df.tolist(), np.float64) for df in (q["q_vector"], d["vector"]))
         wide = lambda m: np.pad(m, ((0, 0), (0, pad))) if pad else m
         codes = books.pair(np.array([np.frombuffer(c, np.uint8) for c in d["codes"]]))
@@ -146,7 +152,7 @@ def _search_block(books_ref, k: int, rerank: int, pad: int):
         for i in range(0, len(x), 256):
             best = scan(books.tables(wide(x[i : i + 256])), codes, rerank)
             exact = np.einsum("qd,qrd->qr", x[i : i + 256], y[best])
-            order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
+            order = np.lexsort((best, -exact), axis=1)[:, : k + 1]
             for j in range(len(best)):
                 at = best[j][order[j]]
                 rows += [(listed[i + j], own[i + j], classes[a], s, ids[a]) for a, s in zip(at, exact[j][order[j]], strict=True)]
