@@ -62,7 +62,7 @@ def features(text: str | None) -> list[float]:
     odd = sum(c for x, c in count.items() if not _PLAIN_WORD.fullmatch(x))
     shout = sum(c for x, c in count.items() if len(x) > 1 and x.isupper())
     return [
-        np.log1p(n), np.log1p(len(words)), min(40.0, (n - share[7] * n) / w), share[1], share[2], share[3], share[4], share[5], share[6],
+        np.log1p(n), np.log1p(len(words)), (n - share[7] * n) / w, share[1], share[2], share[3], share[4], share[5], share[6],
         share[7], share[8], len(count) / w, max(count.values(), default=0) / w, repeats / w,
         1 - len(set(lines)) / len(lines) if lines else 0.0, np.log1p(n / max(1, len(lines))), shout / w, odd / w,
     ]
@@ -206,10 +206,11 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def train(featured: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: str = "quality", **options) -> AdditiveModel:
     """Fit on at most about ``max_rows`` labelled rows, drawn by a hash of the id (all, if there are fewer).
 
-    Labels other than 0 and 1, and null ids, teach nothing. A doc_id labelled several times takes its largest label.
+    Labels other than 0 and 1, and null ids, teach nothing. A doc_id labelled several times takes its largest label; of
+    rows with one doc_id and different texts the least feature vector counts, whatever the order of the rows.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
-    rows = featured.dropDuplicates(["doc_id"]).join(known, "doc_id")
+    rows = featured.groupBy("doc_id").agg(F.min("x").alias("x")).join(known, "doc_id")
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
@@ -224,7 +225,7 @@ def score(featured: DataFrame, model: AdditiveModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = ref.value.score(np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, len(FEATURES)))
+            p = ref.value.score(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kinds = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]

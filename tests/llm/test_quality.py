@@ -69,3 +69,11 @@ def test_odd_tables(spark):
     assert [r.score for r in out] == [0.5] * 4
     empty = quality.with_features(spark.createDataFrame([], SCHEMA))
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
+
+
+def test_rows_of_one_id_teach_alike_in_any_order(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(["good", "text", "!!!", "x"], 30))) for i in range(60)] + [(5, "another text"), (5, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    fitted = [quality.train(quality.with_features(spark.createDataFrame(r, "doc_id long, text string")), labels) for r in (rows, rows[::-1])]
+    assert all(np.allclose(a, b) for a, b in zip(fitted[0].tables, fitted[1].tables, strict=True))
