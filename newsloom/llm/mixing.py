@@ -164,7 +164,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` mixed by sources weighing 1, 2, 3 in turn, at most 3 copies each."""
     out = decisions(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 #: The same in DuckDB, without bins: each source ordered whole.
@@ -196,16 +196,16 @@ running AS (SELECT *, sum(words) OVER (PARTITION BY skey ORDER BY v ROWS UNBOUND
 cuts AS (
   SELECT skey, min(v) AS cut, min_by(room - upto + words, v) AS room
   FROM running JOIN room USING (skey) WHERE upto > room GROUP BY skey),
-offer AS (
-  SELECT skey, digest, size, room, row_number() OVER (PARTITION BY skey ORDER BY v, digest) AS place
-  FROM ranked JOIN cuts USING (skey) WHERE v >= cut QUALIFY place <= 64),
-fold(skey, place, remaining, digest, taken) AS (
-  SELECT skey, 0::BIGINT, room::DOUBLE, NULL::VARCHAR, false FROM cuts
+after AS (SELECT skey, digest, v, sum(size) AS size, any_value(room) AS room FROM ranked JOIN cuts USING (skey) WHERE v >= cut GROUP BY skey, digest, v),
+offer AS (SELECT skey, digest, size, row_number() OVER (PARTITION BY skey ORDER BY v, digest) AS place FROM after WHERE size <= room),
+fold(skey, place, remaining, digest) AS (
+  SELECT skey, 0::BIGINT, room::DOUBLE, NULL::VARCHAR FROM cuts
   UNION ALL
-  SELECT f.skey, o.place, CASE WHEN o.size <= f.remaining THEN f.remaining - o.size ELSE f.remaining END, o.digest, o.size <= f.remaining
-  FROM fold f JOIN offer o ON o.skey = f.skey AND o.place = f.place + 1),
-extra AS (SELECT DISTINCT skey, digest FROM fold WHERE taken)
-SELECT r.doc_id, r.size, r.source_size, round(r.target, 6) AS target,
+  SELECT skey, place, remaining, digest FROM (
+    SELECT f.skey, o.place, f.remaining - o.size AS remaining, o.digest, row_number() OVER (PARTITION BY f.skey ORDER BY o.place) AS turn
+    FROM fold f JOIN offer o ON o.skey = f.skey AND o.place > f.place AND o.size <= f.remaining) WHERE turn = 1),
+extra AS (SELECT DISTINCT skey, digest FROM fold WHERE digest IS NOT NULL)
+SELECT r.doc_id, r.size, r.source_size, r.target AS target,
   (r.size * (r.certain + CASE WHEN r.v IS NOT NULL AND (c.cut IS NULL OR r.v < c.cut OR x.digest IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ranked r LEFT JOIN cuts c USING (skey) LEFT JOIN extra x ON x.skey = r.skey AND x.digest = r.digest
 """
