@@ -226,19 +226,17 @@ def _verify_batches(k: int, percent: int):
     return run
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every id of an edge table (a, b).
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) on tables; the edge count never grows, rounds are
-    logarithmic in practice, and each round is written to the shared folder.
+    logarithmic in practice, and each round is written to the shared folder. A round that changes nothing is the last.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = common.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(current)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         # Large star: every neighbour larger than u is linked to the least of u's neighbourhood.
         near = both(current)
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -251,8 +249,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         current, before, seen = after, seen, mark(after)
         if seen == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     # Stars: each node points to its least; the least points to itself.
     nodes = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.unionByName(current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
