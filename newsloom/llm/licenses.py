@@ -250,18 +250,18 @@ u_grams AS (SELECT r, doc_id, unit, list_distinct(list_transform(range(1, len(ws
 pairs AS (
   SELECT u.r, u.doc_id, u.unit, t.license_id, u.n, t.m, count(*) AS shared
   FROM (SELECT r, doc_id, unit, len(grams) AS n, unnest(grams) AS gram FROM u_grams) u
-  JOIN (SELECT license_id, len(grams) AS m, unnest(grams) AS gram FROM t_grams) t USING (gram) GROUP BY ALL)
+  JOIN (SELECT license_id, len(grams) AS m, unnest(grams) AS gram FROM t_grams) t USING (gram) GROUP BY ALL),
 whole_units AS (
   SELECT r, doc_id, unit, license_id, 2 * shared / (n + m) AS dice FROM pairs WHERE 2 * shared / (n + m) >= 0.8
   QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY 2 * shared / (n + m) DESC, license_id) = 1),
 places AS (
-  SELECT license_id, w, len(list_distinct(ps)) AS m, gram, list_position(ps, gram) - 1 AS at, ceil(len(list_distinct(ps)) * 0.8 / 1.2 - 1e-9) AS need
+  SELECT license_id, w, len(list_distinct(ps)) AS m, gram, list_position(ps, gram) - 1 AS first_at, ceil(len(list_distinct(ps)) * 0.8 / 1.2 - 1e-9) AS need
   FROM (SELECT license_id, w, ps, unnest(list_distinct(ps)) AS gram FROM t_pairs)),
 d_words AS (SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM docs),
 d_grams AS (SELECT r, doc_id, unnest(range(0, len(ws) - 1)) AS pos, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM d_words WHERE len(ws) > 1),
-d_hits AS (SELECT r, doc_id, pos, license_id, w, m, gram, at, need FROM d_grams JOIN places USING (gram)),
+d_hits AS (SELECT r, doc_id, pos, license_id, w, m, gram, first_at, need FROM d_grams JOIN places USING (gram)),
 likely AS (SELECT r, license_id FROM d_hits GROUP BY r, license_id, need HAVING count(DISTINCT gram) >= need),
-begins AS (SELECT DISTINCT r, doc_id, license_id, w, m, greatest(pos - at, 0) AS start FROM d_hits JOIN likely USING (r, license_id)),
+begins AS (SELECT DISTINCT r, doc_id, license_id, w, m, greatest(pos - first_at, 0) AS start FROM d_hits JOIN likely USING (r, license_id)),
 measured AS (
   SELECT b.r, b.doc_id, b.license_id, b.start, b.m, count(DISTINCT g.gram) AS n, count(DISTINCT g.gram) FILTER (p.gram IS NOT NULL) AS shared
   FROM begins b JOIN d_grams g ON g.r = b.r AND g.pos BETWEEN b.start AND b.start + b.w - 2 LEFT JOIN places p ON p.license_id = b.license_id AND p.gram = g.gram GROUP BY ALL),
