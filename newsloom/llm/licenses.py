@@ -183,7 +183,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, threshold: floa
     scored = scored.withColumn("dice", dice).where(F.col("dice") >= threshold)
     best = scored.groupBy("doc_id", "text_hash", "unit").agg(F.min_by(F.struct("license_id", "dice", "times"), F.struct(-F.col("dice"), "license_id")).alias("b"))
     key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.lit("|"), F.col("text_hash").cast("string"))
-    best = best.select("doc_id", key.alias("key"), "unit", "b.*")
+    best = common.materialise(best.select("doc_id", key.alias("key"), "unit", "b.*"), "licence-units")
     windows = _windows(base.select("doc_id", key.alias("key"), "text"), places, whole, threshold)
     found = best.unionByName(windows.join(best.select("key", "license_id").distinct(), ["key", "license_id"], "left_anti"))
     return found.select("doc_id", "unit", "license_id", "dice", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
@@ -199,26 +199,30 @@ def _windows(texts: DataFrame, places: DataFrame, templates: DataFrame, threshol
     """doc_id, key, unit (-1), license_id, dice, times: the best window of each template in each text.
 
     ``places``: (license_id, m, w, at, gram), the first place of each bigram of a template of w words. Texts are narrowed
-    to those that share enough bigrams with some template by an array of the templates' bigrams, if these are as few as
-    may be broadcast; whatever their number, only rows of hits are joined.
+    to those that share enough bigrams with some template, within the row where the templates are few enough to be
+    broadcast, by a join where they are not.
     """
     places = places.withColumn("need", _size_bounds(F.col("m"), threshold)[0])
-    known = places.agg(F.collect_set("gram").alias("all"), F.min("need").alias("least"))
+    texts = texts.withColumn("ws", unit_words(F.col("text"))).withColumn("pairs", _pairs("ws"))
     few = places.count() <= BROADCAST_BIGRAMS
     if few:
+        # Decided within the row, against literals: a text that can't hold a window leaves nothing behind.
         places = F.broadcast(places)
-    texts = texts.withColumn("ws", unit_words(F.col("text"))).withColumn("pairs", _pairs("ws"))
-    if few:
-        row = known.first()
-        shared = F.array_intersect("pairs", F.array(*map(F.lit, row["all"])).cast("array<bigint>")) if row["all"] else F.array().cast("array<bigint>")
-        texts = texts.withColumn("pairs", F.when(F.size(shared) >= (row["least"] or 1), F.col("pairs"))).withColumn("shared", F.when(F.col("pairs").isNotNull(), shared))
-        texts = texts.where("pairs is not null")
+        listed = places.groupBy("license_id", "need").agg(F.collect_list("gram").alias("grams")).orderBy("license_id").collect()
+        known = F.lit(sorted({g for r in listed for g in r.grams})).cast("array<bigint>")
+        shared = F.array_intersect("pairs", known)
+        fits = [F.when(F.size(F.array_intersect(F.lit(r.grams).cast("array<bigint>"), "shared")) >= r.need, F.lit(r.license_id)) for r in listed]
+        least = min((r.need for r in listed), default=1)
+        texts = texts.withColumn("shared", shared).withColumn("likely", F.when(F.size("shared") >= least, F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("array<string>"))
+        texts = texts.where(F.size("likely") > 0)
+        own = texts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("pairs").alias("pairs"), F.first("likely").alias("likely"), F.count("*").cast("int").alias("times"))
+        own = common.materialise(own, "licence-texts")
+        likely = own.select("key", F.explode("likely").alias("license_id"))
     else:
-        texts = texts.withColumn("shared", F.array_distinct("pairs"))
+        own = texts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("pairs").alias("pairs"), F.count("*").cast("int").alias("times"))
+        counted = own.select("key", F.explode(F.array_distinct("pairs")).alias("gram")).join(places, "gram").groupBy("key", "license_id", "need").agg(F.count("*").alias("both"))
+        likely = counted.where("both >= need").select("key", "license_id")
     keys = ["key", "license_id"]
-    own = texts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("pairs").alias("pairs"), F.first("shared").alias("shared"), F.count("*").cast("int").alias("times"))
-    counted = own.select("key", F.explode("shared").alias("gram")).join(places, "gram").groupBy(*keys, "need").agg(F.count("*").alias("both"))
-    likely = counted.where("both >= need").select(*keys)
     hits = own.select("key", F.posexplode("pairs").alias("pos", "gram")).join(likely, "key").join(places, ["license_id", "gram"])
     begins = hits.groupBy(*keys, "w", "m").agg(F.collect_set(F.greatest(F.col("pos") - F.col("at"), F.lit(0))).alias("begins"))
     ready = begins.join(own, "key").join(F.broadcast(templates) if few else templates, "license_id")
