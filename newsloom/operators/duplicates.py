@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +25,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int =
     runs in BLAS, memory is bounded by the block, and only similar pairs leave the task. With ``ordered`` (a side joined
     with itself) only pairs with a_ord < b_ord are made. Null and empty embeddings match nothing; zero vectors have 0.
     """
-    usable = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("id", "ord", "category", F.col("embedding").cast("array<double>").alias("embedding"))
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), F.col("category").cast("string").alias("category"), F.col("embedding").cast("array<double>").alias("embedding"))
     left, right = usable(left), usable(right)
     many = lambda df: max(1, -(-df.count() // block))
     nl, nr = many(left), many(right)
@@ -42,16 +44,17 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int =
 
     def join(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "a_ord": [], "a_category": [], "b": [], "b_ord": [], "b_category": [], "score": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "a_ord", "a_category", "b", "b_ord", "b_category", "score")})
         s = unit(x["l_embedding"]) @ unit(y["r_embedding"]).T
         hit = s >= least - 1e-12
         if ordered:
             hit &= x["l_ord"].to_numpy()[:, None] < y["r_ord"].to_numpy()[None, :]
         i, j = np.nonzero(hit)
         take = lambda p, at, c: p[c].to_numpy()[at]
+        text = lambda p, at, c: pd.Series(p[c].to_numpy(object)[at], dtype=object)
         return pd.DataFrame({
-            "a": take(x, i, "l_id").astype(str), "a_ord": take(x, i, "l_ord"), "a_category": take(x, i, "l_category"),
-            "b": take(y, j, "r_id").astype(str), "b_ord": take(y, j, "r_ord"), "b_category": take(y, j, "r_category"), "score": s[i, j],
+            "a": text(x, i, "l_id"), "a_ord": take(x, i, "l_ord"), "a_category": text(x, i, "l_category"),
+            "b": text(y, j, "r_id"), "b_ord": take(y, j, "r_ord"), "b_category": text(y, j, "r_category"), "score": s[i, j],
         })
 
     return a.groupBy("l_block", "l_other").cogroup(b.groupBy("r_block", "r_other")).applyInPandas(join, schema)
@@ -71,40 +74,96 @@ def find_duplicate(incoming: DataFrame, kept: DataFrame, same: float = SAME, sam
 
 
 def replay(nodes: pd.DataFrame, edges: pd.DataFrame, same: float, same_category: float) -> pd.DataFrame:
-    """In order of arrival: a row joins the kept one most similar to it, or is kept itself."""
+    """In order of arrival: a row joins the kept one most similar to it, or is kept itself.
+
+    ``nodes``: id, ord, category and the best stored row (stored, stored_score, stored_category; null for none).
+    """
     near: dict[int, list[tuple[float, int]]] = {}
     for a, b, s in zip(edges["a_ord"], edges["b_ord"], edges["score"], strict=True):
-        near.setdefault(int(b), []).append((float(s), int(a)))
-    category = dict(zip(nodes["ord"], nodes["category"], strict=True))
-    names = dict(zip(nodes["ord"], nodes["id"], strict=True))
-    target: dict[int, int] = {}
-    for o in sorted(names):
-        options = [(-s, a) for s, a in near.get(o, ()) if target[a] == a]
-        s, a = min(options, default=(0.0, o))
-        target[o] = a if options and (-s >= same or (-s >= same_category and category[a] == category[o])) else o
-    return pd.DataFrame({"id": [str(names[o]) for o in target], "kept": [str(names[a]) for a in target.values()]})
-
-
-def dedupe_sequence(rows: DataFrame, same: float = SAME, same_category: float = SAME_CATEGORY) -> DataFrame:
+        near.setdefault(int(b), []).append((-float(s), int(a)))
+    rows = {int(r.ord): r for r in nodes.itertuples(index=False)}
+    kept: dict[int, str] = {}
+    for o in sorted(rows):
+        own = rows[o]
+        score, a = min(((s, a) for s, a in near.get(o, ()) if kept[a] == str(rows[a].id)), default=(1.0, o))
+        name, category = str(rows[a].id), rows[a].category
+        if isinstance(own.stored, str) and -own.stored_score <= score:  # stored rows come first among equals
+            score, name, category = -own.stored_score, own.stored, own.stored_category
+        alike = isinstance(own.category, str) and category == own.category
+        kept[o] = name if -score >= same or (-score >= same_category and alike) else str(own.id)
+    return pd.DataFrame({"id": pd.Series([str(rows[o].id) for o in kept], dtype=object), "kept": pd.Series(list(kept.values()), dtype=object)})
+
+
+def _settle(nodes: DataFrame, edges: DataFrame, same: float, same_category: float) -> DataFrame:
+    """The replay by joins, for groups too large for one task: id, kept.
+
+    A row is decided as soon as its most similar target is certain: the best of its earlier neighbours is known to be
+    kept, or none is left. Each round decides all such rows; the first undecided row is always among them. Rounds grow
+    with the longest chain of decisions that wait for each other. Each round is checkpointed.
+    """
+    base = nodes.select("id", "ord", "category", "stored", "stored_score", "stored_category")
+    # A neighbour's state: null while open, then whether it is kept.
+    open_edges = edges.select("a_ord", "b_ord", "score", F.lit(None).cast("boolean").alias("kept")).checkpoint()
+    waiting, decided = base.checkpoint(), []
+    while True:
+        best = open_edges.groupBy(F.col("b_ord").alias("ord")).agg(F.max_by(F.struct("a_ord", "score", "kept"), F.struct("score", -F.col("a_ord"))).alias("top"))
+        named = nodes.select(F.col("ord").alias("t_ord"), F.col("id").alias("t_id"), F.col("category").alias("t_category"))
+        seen = waiting.join(best, "ord", "left").join(named, F.col("top.a_ord") == F.col("t_ord"), "left")
+        by_stored = F.col("stored").isNotNull() & (F.col("top").isNull() | (F.col("stored_score") >= F.col("top.score")))
+        score = F.when(by_stored, F.col("stored_score")).otherwise(F.col("top.score"))
+        category = F.when(by_stored, F.col("stored_category")).otherwise(F.col("t_category"))
+        joins = F.coalesce((score >= same) | ((score >= same_category) & (category == F.col("category"))), F.lit(False))
+        ready = seen.where(F.col("top").isNull() | by_stored | F.coalesce("top.kept", F.lit(False)))
+        now = ready.select("id", "ord", F.when(joins, F.when(by_stored, F.col("stored")).otherwise(F.col("t_id"))).otherwise(F.col("id")).alias("kept")).checkpoint()
+        decided.append(now)
+        waiting = waiting.join(now.select("ord"), "ord", "left_anti").checkpoint()
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, decided).select("id", "kept")
+        states = now.select(F.col("ord").alias("a_ord"), (F.col("kept") == F.col("id")).alias("now_kept"))
+        grown = open_edges.join(states, "a_ord", "left").withColumn("kept", F.coalesce("kept", "now_kept")).drop("now_kept")
+        still = waiting.select(F.col("ord").alias("b_ord"))
+        open_edges = grown.where("kept is null or kept").join(still, "b_ord", "left_semi").checkpoint()
+
+
+def dedupe_sequence(rows: DataFrame, same: float = SAME, same_category: float = SAME_CATEGORY, stored: DataFrame | None = None, most: int = 200_000) -> DataFrame:
     """id, kept: the row each one joins (itself, if it is kept), as if they arrived one by one in order of ``ord``.
 
+    ``stored`` (same columns) are rows kept before: all of them are targets, whatever they have in common with each
+    other, and come first among equals. Rows of no category match by ``same`` alone.
+
     Whether a row is kept depends on what was kept before, so the replay is sequential by nature. It is made over the
     sparse edges at ``same_category`` or more, and separately for each connected group of edges, in which alone
-    decisions depend on each other; rows without an edge are kept without replay.
+    decisions depend on each other. Groups of up to ``most`` edges are replayed in a task each, larger ones together by
+    rounds of joins. Rows without an edge are decided by their best stored row alone.
     """
     graph.checkpoint_folder(rows.sparkSession)
+    rows = rows.withColumn("id", F.col("id").cast("string"))
+    nodes = rows.select("id", "ord", "category")
+    if stored is not None:
+        best = similar_pairs(rows, stored, same_category).groupBy("a").agg(F.max_by(F.struct("b", "score", "b_category"), F.struct("score", -F.col("b_ord"))).alias("m"))
+        nodes = nodes.join(best.select(F.col("a").alias("id"), F.col("m.b").alias("stored"), F.col("m.score").alias("stored_score"), F.col("m.b_category").alias("stored_category")), "id", "left")
+    else:
+        nodes = nodes.select("*", F.lit(None).cast("string").alias("stored"), F.lit(None).cast("double").alias("stored_score"), F.lit(None).cast("string").alias("stored_category"))
+    nodes = nodes.checkpoint()
     edges = similar_pairs(rows, rows, same_category, ordered=True).select("a_ord", "b_ord", "score").checkpoint()
     groups = graph.components(edges.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))).toDF("member", "component")
     grouped = edges.join(groups, F.col("a_ord") == F.col("member")).select(F.col("component").alias("e_component"), "a_ord", "b_ord", "score")
-    nodes = rows.select(F.col("id").cast("string").alias("id"), "ord", "category")
-    in_group = nodes.join(groups, F.col("ord") == F.col("member")).select("component", "id", "ord", "category")
+    large = grouped.groupBy("e_component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("e_component").checkpoint()
+    in_group = nodes.join(groups, F.col("ord") == F.col("member")).drop("member")
+    small_nodes = in_group.join(large, F.col("component") == F.col("e_component"), "left_anti")
+    small_edges = grouped.join(large, "e_component", "left_anti")
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         return replay(n, e, same, same_category)
 
-    decided = in_group.groupBy("component").cogroup(grouped.groupBy("e_component")).applyInPandas(run, "id string, kept string")
+    decided = small_nodes.groupBy("component").cogroup(small_edges.groupBy("e_component")).applyInPandas(run, "id string, kept string")
     alone = nodes.join(groups, F.col("ord") == F.col("member"), "left_anti")
-    return decided.unionByName(alone.select("id", F.col("id").alias("kept")))
+    fits = F.coalesce((F.col("stored_score") >= same) | (F.col("stored_category") == F.col("category")), F.lit(False))
+    decided = decided.unionByName(alone.select("id", F.when(fits, F.col("stored")).otherwise(F.col("id")).alias("kept")))
+    if large.isEmpty():
+        return decided
+    big_nodes = in_group.join(large, F.col("component") == F.col("e_component"), "left_semi")
+    return decided.unionByName(_settle(big_nodes, grouped.join(large, "e_component", "left_semi"), same, same_category))
 
 
 def merge_pairs(news: DataFrame, cos: float = MERGE, loose: float = MERGE_LOOSE, title: float = MERGE_TITLE) -> DataFrame:

@@ -36,3 +36,8 @@ def resolve_missing(addresses: DataFrame, cache: DataFrame, provider: Callable[[
     """Cache rows for the addresses that the cache lacks, from a provider of (address, lat, lng, formatted)."""
     missing = addresses.select("address").distinct().join(cache, "address", "left_anti")
     return provider(missing).where("lat is not null").withColumn("cached_at", F.lit(as_of))
+
+
+def known_and_new(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache with new rows in place of old ones of their address."""
+    return cache.join(fresh.select("address"), "address", "left_anti").unionByName(fresh.select(*cache.columns))

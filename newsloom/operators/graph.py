@@ -9,22 +9,25 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Point checkpoints at the session's shared folder; at one of our own only where it names none."""
+    """Point checkpoints at the session's shared folder; on one machine at a folder of our own where it names none."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="newsloom-")
-        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="newsloom-"))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, component: the least id reachable, for each end of the edges (a, b).
 
     Labels spread along edges and then jump to their label's label, so rounds grow with the logarithm of the diameter.
+    Labels only fall, so the rounds end; a node that most edges share sends one row from each task.
     Each round is checkpointed to the shared folder, from where lost executors' parts are read again.
     """
     checkpoint_folder(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         step = labels.join(near, "id").select("id", "component", F.least("component", "c").alias("c"))
         jump = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
@@ -33,4 +36,3 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = after.select("id", "component")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -27,6 +27,10 @@ class Ingest:
     gazetteer: DataFrame | None = None
     days: int = 3
     merge: bool = True
+    #: Coordinates for addresses that the cache lacks: (address) -> (address, lat, lng, formatted).
+    provider: Callable[[DataFrame], DataFrame] | None = None
+    #: Whether rows without coordinates are placed at the profile's centre; else they end as geocode_failed.
+    fallback: bool = True
 
 
 def prepare(articles: DataFrame, run: Ingest) -> DataFrame:
@@ -46,20 +50,29 @@ def prepare(articles: DataFrame, run: Ingest) -> DataFrame:
     return text.withColumn("outcome", outcome)
 
 
-def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest) -> tuple[DataFrame, DataFrame]:
-    """The new news table, and one row for each article with its outcome."""
+def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest, keep_cache: Callable[[DataFrame], object] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The new news table, and one row for each article: ord, url, outcome, geocode_fallback.
+
+    ``keep_cache`` is given the cache with the addresses that the provider resolved, if it was asked.
+    """
     graph.checkpoint_folder(articles.sparkSession)
     ready = prepare(articles, run).checkpoint()
     going = run.embed(ready.where("outcome is null")).checkpoint()
-    # What is kept already comes first, then arrivals in order.
-    first = news.select(F.col("_id").alias("id"), (F.row_number().over(_by("published_at", "_id")) - F.lit(1 << 40)).cast("long").alias("ord"), "category", "embedding")
+    stored = in_order(news.withColumn("id", F.col("_id")), "published_at", "_id").select("id", "ord", "category", "embedding")
     arrivals = going.select(F.concat(F.lit("new:"), F.col("ord").cast("string")).alias("id"), F.col("ord").cast("long").alias("ord"), "category", "embedding")
-    kept = duplicates.dedupe_sequence(first.unionByName(arrivals)).checkpoint()
+    kept = duplicates.dedupe_sequence(arrivals, stored=stored).checkpoint()
     decided = going.withColumn("id", F.concat(F.lit("new:"), F.col("ord").cast("string"))).join(kept, "id").withColumn("repeats", F.col("kept") != F.col("id"))
     asked = decided.where("not repeats").withColumn("candidates", location.geocode_candidates(F.col("geocode_query"), F.col("location_text"), F.col("district"), run.profile))
+    if run.provider:
+        wanted = asked.select(F.explode(F.slice("candidates", 1, geocode.MOST_CANDIDATES)).alias("address"))
+        cache = geocode.known_and_new(cache, geocode.resolve_missing(wanted, cache, run.provider, run.as_of)).checkpoint()
+        if keep_cache:
+            keep_cache(cache)
     found = geocode.geocode_chain(asked, cache)
-    found = geocode.center_fallback(found, run.profile.center, f"{run.profile.province}, {run.profile.country}")
-    placed = asked.join(found.drop("address"), "id")
+    found = geocode.center_fallback(found, run.profile.center, run.profile.center_label, run.fallback).checkpoint()
+    failed = found.where("lat is null").select("id")
+    # Repeats of a row without a place go with it: nothing was stored that they could join.
+    placed = asked.join(found.where("lat is not null").drop("address"), "id")
     with_sentences = placed.withColumn("listed", summaries.sentences(F.col("content")))
     fresh = with_sentences.select(
         F.sha2("url", 256).alias("_id"), "title", "content", summaries.summary(F.col("title"), F.col("content"), F.col("listed")).alias("summary"), "category",
@@ -71,17 +84,22 @@ def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest)
     more = decided.where("repeats").join(names, F.col("kept") == F.col("k"), "left").select(F.coalesce("_id", "kept").alias("_id"), "ord", "source_key", "source_name", "url")
     out = snapshots.add_sources(snapshots.upsert(news, fresh.drop("_ord")), more)
     if run.merge:
-        ordered = out.withColumns({"id": F.col("_id"), "ord": F.row_number().over(_by("published_at", "_id")).cast("long"), "day": day_key(F.col("published_at"))}).checkpoint()
+        ordered = in_order(out.withColumns({"id": F.col("_id"), "day": day_key(F.col("published_at"))}), "published_at", "_id")
         clusters = duplicates.merge_clusters(ordered, duplicates.merge_pairs(ordered))
         out = duplicates.merge_apply(ordered, clusters).select(*news.columns)
-    ended = ready.join(decided.select("ord", "repeats"), "ord", "left").withColumn("outcome", F.coalesce("outcome", F.when(F.col("repeats"), "duplicate").otherwise("saved")))
-    return out, ended.select("ord", "url", "outcome")
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+    lost = decided.join(failed.select(F.col("id").alias("kept")), "kept", "left_semi").select("ord", F.lit(True).alias("lost"))
+    ended = ready.join(decided.select("ord", "repeats"), "ord", "left").join(lost, "ord", "left")
+    late = F.when(F.col("lost"), "geocode_failed").when(F.col("repeats"), "duplicate").otherwise("saved")
+    guessed = found.where("geocode_fallback").select(F.expr("cast(substr(id, 5) as long)").alias("ord"), F.lit(True).alias("guess"))
+    ended = ended.withColumn("outcome", F.coalesce("outcome", late)).join(guessed, "ord", "left")
+    return out, ended.select("ord", "url", "outcome", F.coalesce("guess", F.lit(False)).alias("geocode_fallback"))
+
+
+def in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ord, ascending with the columns (nulls last); numbers have gaps. Sorted in ranges, not in one task."""
+    by = [F.col(c).asc_nulls_last() for c in columns]
+    graph.checkpoint_folder(rows.sparkSession)
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("ord", F.monotonically_increasing_id()).checkpoint()
 
 
 def relocate(news: DataFrame, profile: Profile, gazetteer: DataFrame | None = None) -> DataFrame:

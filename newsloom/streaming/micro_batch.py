@@ -22,7 +22,7 @@ def ingest_stream(articles: DataFrame, news: Snapshots, cache: Snapshots, run: C
         if rows.isEmpty():
             return
         old = news.read()
-        table, outcomes = ingest(rows, old, cache.read(), run(number))
+        table, outcomes = ingest(rows, old, cache.read(), run(number), cache.write)
         news.write(table)
         if watch:
             watch(number, outcomes)

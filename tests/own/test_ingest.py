@@ -1,8 +1,11 @@
+import dataclasses
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.plans import runs
 from newsloom.plans.ingest import Ingest, ingest, relocate, resummarise
 from newsloom.profiles import TURKISH
 from newsloom.sources import snapshots
@@ -38,6 +41,29 @@ def test_ingest(spark):
     assert {r.outcome for r in relocate(table, TURKISH).collect()} == {"unchanged"} and resummarise(table).count() == 2
 
 
+def test_places_of_a_provider_and_rows_without_a_place(spark):
+    asked = []
+
+    def provider(addresses):
+        asked.append(sorted(r.address for r in addresses.collect()))
+        return addresses.select("address", F.when(F.col("address").startswith("Gebze"), 5.0).alias("lat"), F.lit(6.0).alias("lng"), F.upper("address").alias("formatted"))
+
+    run = dataclasses.replace(settings(spark), provider=provider, fallback=False)
+    empty = spark.createDataFrame([], snapshots.CACHE)
+    table, outcomes = ingest(spark.createDataFrame(rows(), SCHEMA), spark.createDataFrame([], snapshots.NEWS), empty, run)
+    assert {r.url: r.outcome for r in outcomes.collect()} == {"u1": "saved", "u2": "duplicate", "u3": "errors", "u4": "no_category", "u6": "geocode_failed"}
+    assert {r.location.lat for r in table.collect()} == {5.0} and any(x.startswith("Gebze") for x in asked[0])
+    run = dataclasses.replace(settings(spark), fallback=False)
+    table, outcomes = ingest(spark.createDataFrame(rows(), SCHEMA), table.where("false"), empty, run)
+    assert {r.url: r.outcome for r in outcomes.collect()}["u1"] == "geocode_failed" and table.count() == 0
+    table, outcomes = ingest(spark.createDataFrame(rows(), SCHEMA), table, empty, settings(spark))
+    got = {r.url: r for r in outcomes.collect()}
+    assert got["u1"].outcome == "saved" and got["u1"].geocode_fallback and not got["u3"].geocode_fallback
+    # The same articles again: each finds the stored row that it repeats.
+    again, outcomes = ingest(spark.createDataFrame([(*r[:1], r[1] + "b", *r[2:]) for r in rows()], SCHEMA), table, empty, settings(spark))
+    assert {r.outcome for r in outcomes.collect() if r.url in ("u1b", "u2b", "u6b")} == {"duplicate"} and again.count() == table.count()
+
+
 @pytest.mark.filterwarnings("ignore")
 def test_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows(), SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -52,3 +78,34 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_windowed_counts(spark):
     events = spark.createDataFrame([(dt.datetime(2025, 1, 1, 5), "a"), (dt.datetime(2025, 1, 1, 6), "a"), (dt.datetime(2025, 1, 2), "b")], "ts timestamp, event_type string")
     assert sorted((r.start.day, r.event_type, r.n) for r in micro_batch.windowed_counts(events).collect()) == [(1, "a", 2), (2, "b", 1)]
+
+
+def test_run_of_chosen_sources(spark, tmp_path):
+    def provider(addresses):
+        return addresses.select("address", F.lit(5.0).alias("lat"), F.lit(6.0).alias("lng"), F.upper("address").alias("formatted"))
+
+    news, cache = snapshots.Snapshots(spark, f"file://{tmp_path}/news", snapshots.NEWS), snapshots.Snapshots(spark, f"file://{tmp_path}/cache", snapshots.CACHE)
+    run, progress = dataclasses.replace(settings(spark), provider=provider, merge=True), runs.Progress()
+    row = runs.run_pipeline(spark, spark.createDataFrame(rows(), SCHEMA), news, cache, run, ["k1"], progress, keep_days=3).first()
+    assert (row.scraped, row.saved, row.duplicate, row.errors, row.no_category) == (4, 2, 0, 1, 1) and progress.get()["phase"] == "done"
+    assert news.read().count() + row.merged == 2 and cache.read().count() > 0
+    row = runs.run_pipeline(spark, spark.createDataFrame(rows(), SCHEMA), news, cache, run, ["k2"]).first()
+    assert (row.scraped, row.duplicate) == (1, 1)
+
+
+def test_first_seen_and_progress_on_a_stream(spark, tmp_path):
+    day = dt.datetime(2025, 1, 1)
+    spark.createDataFrame([("a", day), ("a", day), ("b", day)], "url string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    progress = runs.Progress()
+    listener = runs.StreamProgress(progress)
+    spark.streams.addListener(listener)
+    stream = micro_batch.first_seen(spark.readStream.schema("url string, ts timestamp").parquet(f"{tmp_path}/in"), ["url"])
+    query = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    for _ in range(100):
+        if progress.get()["phase"] == "done":
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert sorted(r.url for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["a", "b"]
+    assert progress.get()["phase"] == "done" and progress.get()["articles_processed"] == 3
