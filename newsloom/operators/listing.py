@@ -111,3 +111,22 @@ def source_links(news: DataFrame) -> DataFrame:
     known = lambda seen, x: F.exists(seen, lambda s: (s["url"] == x["url"]) | (s["name"] == x["name"]))
     fold = F.aggregate(listed, F.filter(F.array(own), lambda _: F.lit(False)), lambda seen, x: F.when((x["url"] == "") | known(seen, x), seen).otherwise(F.array_append(seen, x)))
     return news.withColumn("links", F.when((own["url"] != "") & ~F.exists(fold, lambda s: s["name"] == own["name"]), F.array_prepend(fold, own)).otherwise(fold))
+
+
+def by_source(news: DataFrame) -> DataFrame:
+    """source, n, place: news of each source, most first, of equal counts by name."""
+    from pyspark.sql import Window
+
+    counted = stats(news).where("kind = 'by_source'").select(F.col("key").alias("source"), "n")
+    # One row for each source: sites are few, and the window sees only their counts.
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source")))
+
+
+def keywords_flat(lexicon: DataFrame) -> DataFrame:
+    """category, keywords: the distinct keywords of each category, sorted."""
+    return lexicon.groupBy("category").agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
+
+
+def to_json(news: DataFrame, path: str) -> None:
+    """News as JSON lines without embeddings: times in UTC, missing values as nulls."""
+    news.drop("embedding").write.mode("overwrite").option("ignoreNullFields", "false").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)

@@ -20,6 +20,10 @@ LANDMARKS = [
     r"OSB(?:'|\s|$)", r"[\w\sçğıöşü]{2,30}?\s+sanayi\s+sitesi", r"(?:kent|şehir)\s+meydanı", r"(?:kent|sehir)\s+meydani", r"kültür\s+merkezi", r"kultur\s+merkezi",
 ]
 _FLAGS = "(?dUiu)"
+#: Letters that every match of a pattern holds, whatever the case (none of them i, whose cases differ by language).
+_HELD = {NEIGHBOURHOOD: ("mahalles",), STREET: ("sokak", "sk", "soka", "cad", "bulvar", "blv")} | dict(
+    zip(LANDMARKS, [("otogar",), ("otogar",), ("term",), ("köpr", "kopr"), ("organ",), ("osb",), ("sanay",), ("meydan",), ("meydan",), ("merkez",), ("merkez",)], strict=True)
+)
 
 
 def occurrences(text: Column, word: Column | str) -> Column:
@@ -33,8 +37,7 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
 
     A variant in the title gives 100, each occurrence 1, with a locative ending 35 (40 more in the title); a place of the
     gazetteer (name, district) 80 in the title, else 30; a hint in the address of the page 20. Districts are few and
-    become columns; gazetteer names, which may be many, are tested in one pass over a broadcast array if they are
-    ``BROADCAST_NAMES`` at most.
+    become columns; gazetteer names, which may be many, are tested in one pass over broadcast arrays.
     """
     text = docs.select(
         F.col(id_col).alias("id"),
@@ -43,11 +46,7 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
         (tr_lower(F.col(url_col)) if url_col else F.lit("")).alias("ul"),
     )
     if gazetteer is not None:
-        names = gazetteer.select(tr_lower(F.col("name")).alias("name"), "district")
-        if names.count() > BROADCAST_NAMES:
-            raise ValueError(f"a gazetteer of more than {BROADCAST_NAMES} names needs a token join; filter it by region")
-        listed = names.agg(F.collect_list(F.struct("name", "district")).alias("names"))
-        text = text.join(F.broadcast(listed))
+        text = with_names(text, gazetteer)
     found = []
     for i, (district, variants) in enumerate(profile.districts):
         parts = []
@@ -57,8 +56,7 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
         parts += [F.when(F.contains("ul", F.lit(h)), 20).otherwise(0) for h, d in profile.url_hints if d == district]
         if gazetteer is not None:
             one = lambda x: F.when(F.contains(F.col("tl"), x["name"]), 80).when(F.contains(F.col("fl"), x["name"]), 30).otherwise(0)
-            own = F.filter("names", _of(district))
-            parts.append(F.aggregate(own, F.lit(0), lambda s, x: s + one(x)))
+            parts += [F.aggregate(F.filter(c, _of(district)), F.lit(0), lambda s, x: s + one(x)) for c in text.columns if c.startswith("names_")]
         score = reduce(lambda a, b: a + b, parts, F.lit(0)).cast("long")
         found.append(F.struct(F.lit(district).alias("district"), F.lit(i).alias("ord"), score.alias("score")))
     return text.select("id", F.explode(F.array(*found)).alias("d")).select("id", "d.*").where("score > 0")
@@ -67,6 +65,20 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
 BROADCAST_NAMES = 5_000
 
 
+def with_names(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``texts`` with the gazetteer's names, lower-cased, in arrays names_0, names_1, ... of about ``BROADCAST_NAMES``.
+
+    Each array is one row of a known size and is broadcast by itself, so a long gazetteer only adds arrays. Names keep
+    the order of name and district.
+    """
+    names = gazetteer.select(tr_lower(F.col("name")).alias("name"), "district").where("name is not null and name <> ''")
+    many = max(1, -(-names.count() // BROADCAST_NAMES))
+    for i in range(many):
+        part = names.where(F.pmod(F.xxhash64("name"), F.lit(many)) == i)
+        texts = texts.join(F.broadcast(part.agg(F.sort_array(F.collect_list(F.struct("name", "district"))).alias(f"names_{i}"))))
+    return texts
+
+
 def _of(district: str):
     return lambda x: x["district"] == district
 
@@ -97,21 +109,23 @@ def extract_location(docs: DataFrame, profile: Profile, gazetteer: DataFrame | N
     out = out.withColumn("fl", tr_lower(F.col("raw")))
     out = out.withColumn("veto", foreign_veto(F.col("tl"), F.col("fl"), F.col("district"), profile))
 
-    def matched(pattern: str, group: int) -> Column:
-        """A pattern that begins with an open block costs 40 steps a character: look for its fixed end first."""
+    def matched(pattern: str) -> Column:
+        """A pattern that begins with an open block costs 40 steps a character: look for its letters, then its fixed end."""
         end = re.split(r"\\s\+", pattern, maxsplit=1)[-1]
-        return F.when(F.col("raw").rlike(_FLAGS + end), py_trim(F.regexp_extract("raw", _FLAGS + pattern, group))).otherwise("")
+        held = reduce(lambda a, b: a | b, [F.contains("low", F.lit(x)) for x in _HELD[pattern]])
+        return F.when(held & F.col("raw").rlike(_FLAGS + end), F.regexp_extract("raw", _FLAGS + pattern, 0)).otherwise("")
 
-    out = out.withColumns({"block": matched(NEIGHBOURHOOD, 1), "mah": matched(NEIGHBOURHOOD, 0), "street": matched(STREET, 0)})
+    out = out.withColumn("low", F.lower("raw")).withColumns({"mah": matched(NEIGHBOURHOOD), "street": py_trim(matched(STREET))})
+    out = out.withColumns({"block": py_trim(F.regexp_extract("mah", _FLAGS + NEIGHBOURHOOD, 1)), "mah": py_trim(F.col("mah"))})
     if gazetteer is not None:
-        listed = gazetteer.agg(F.collect_list(F.struct(tr_lower(F.col("name")).alias("name"), "district")).alias("names"))
-        out = out.join(F.broadcast(listed))
-        inside = F.get(F.filter("names", lambda x: F.contains(tr_lower(F.col("block")), x["name"])), F.lit(0))
+        out = with_names(out, gazetteer)
+        within = [F.filter(c, lambda x: F.contains(tr_lower(F.col("block")), x["name"])) for c in out.columns if c.startswith("names_")]
+        inside = F.array_min(F.concat(*within))
         out = out.withColumn("district", F.coalesce("district", F.when(F.col("block") != "", inside["district"])))
     first = F.when(F.col("mah") == "", None).when(F.length("block") >= 2, F.concat("block", F.lit(" Mahallesi"))).otherwise(F.col("mah"))
     out = out.withColumn("first", first)
     street = F.when((F.col("street") != "") & ~F.contains(F.coalesce("first", F.lit("")), F.col("street")), F.col("street"))
-    landmark = F.coalesce(*[F.nullif(matched(p, 0), F.lit("")) for p in LANDMARKS])
+    landmark = F.coalesce(*[F.nullif(py_trim(matched(p)), F.lit("")) for p in LANDMARKS])
     parts = F.nullif(F.concat_ws(", ", "first", street), F.lit(""))
     out = out.withColumn("address", F.coalesce(parts, landmark))
     local = F.contains("fl", tr_lower(F.lit(profile.province)))
@@ -132,5 +146,6 @@ def extract_location(docs: DataFrame, profile: Profile, gazetteer: DataFrame | N
 def geocode_candidates(query: Column, text: Column, district: Column, profile: Profile) -> Column:
     """The addresses to try, in order, without empty and repeated ones."""
     tail = F.lit(f", {profile.country}")
-    listed = F.array(query, F.concat(text, tail), text, F.concat(district, F.lit(f", {profile.province}"), tail), F.lit(f"{profile.province}, {profile.country}"), F.lit(profile.province))
+    other = F.when(text != F.coalesce(query, F.lit("")), text)
+    listed = F.array(query, F.concat(other, tail), other, F.concat(district, F.lit(f", {profile.province}"), tail), *map(F.lit, profile.default_addresses))
     return F.array_distinct(F.filter(F.transform(listed, py_trim), lambda x: x.isNotNull() & (x != "")))

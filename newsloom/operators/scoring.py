@@ -13,10 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import tr_lower
+from newsloom.functions.text import py_trim, tr_lower
 from newsloom.profiles import Profile, Rule
 
 BROADCAST_KEYWORDS = 200_000
+BROADCAST_ANCHORS = 10_000
 
 
 def _tokens(text: Column, letters: str) -> Column:
@@ -28,21 +29,34 @@ def _tokens(text: Column, letters: str) -> Column:
 def keyword_hits(docs: DataFrame, lexicon: DataFrame, profile: Profile, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body") -> DataFrame:
     """id, category, keyword, weight, n_title, n_body: the keywords found, as often as they occur.
 
-    Keywords are lower-cased to be matched but stay apart by their written form. Keywords of other characters than the
-    profile's letters and single spaces match nothing.
+    Keywords are trimmed and lower-cased to be matched but stay apart by their written form; empty ones match nothing.
+    Keywords that hold other characters than the profile's letters and single spaces (digits, hyphens, apostrophes) are
+    looked for at every place that no letter precedes.
     """
-    lex = lexicon.select("category", "keyword", F.col("weight").cast("long").alias("weight"), tr_lower(F.col("keyword")).alias("k"))
-    lex = lex.where(F.col("k").rlike(f"^[{profile.letters}]+( [{profile.letters}]+)*$")).withColumn("words", F.size(F.split("k", " ")))
+    lex = lexicon.select("category", "keyword", F.col("weight").cast("long").alias("weight"), tr_lower(py_trim(F.col("keyword"))).alias("k")).where("k <> ''")
+    plain = F.col("k").rlike(f"^[{profile.letters}]+( [{profile.letters}]+)*$")
+    odd = lex.where(~plain).withColumn("phrase", F.contains("k", F.lit(" ")))
+    odd_shapes = sorted((r.phrase, r.len) for r in odd.select("phrase", F.length("k").alias("len")).distinct().collect())
+    lex = lex.where(plain).withColumn("words", F.size(F.split("k", " ")))
     shapes = lex.select("words", F.length("k").alias("len")).distinct().collect()  # a few small numbers
     lengths = sorted({r.words for r in shapes})
     sizes = F.array(*[F.lit(n) for n in sorted({r.len for r in shapes if r.words == 1})]).cast("array<int>")
     never = F.create_map(*[F.lit(x) for kv in profile.never.items() for x in kv]) if profile.never else F.lit(None).cast("map<string,string>")
     lex = lex.withColumn("never", F.try_element_at(never, F.col("k")))
     if lexicon.count() <= BROADCAST_KEYWORDS:
-        lex = F.broadcast(lex)
+        lex, odd = F.broadcast(lex), F.broadcast(odd)
     texts = F.array(*[F.struct(F.lit(f).alias("field"), tr_lower(F.col(c)).alias("text")) for f, c in (("title", title_col), ("body", body_col))])
-    words = docs.select(F.col(id_col).alias("id"), F.explode(texts).alias("t")).select("id", "t.field", _tokens(F.col("t.text"), profile.letters).alias("ws"))
+    whole = docs.select(F.col(id_col).alias("id"), F.explode(texts).alias("t")).select("id", "t.*")
+    words = whole.select("id", "field", _tokens(F.col("text"), profile.letters).alias("ws"))
     found = []
+    for phrase, length in odd_shapes:
+        suffix = "" if phrase else f"[{profile.letters}]{{0,{profile.longest_suffix}}}"
+        at = rf"(?s)(?<![{profile.letters}])(?=(.{{{length}}}){suffix}(?![{profile.letters}]))"
+        grams = whole.select("id", "field", "text", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(at), 1))).alias("k"))
+        hits = grams.join(odd.where((F.col("phrase") == phrase) & (F.length("k") == length)), "k")
+        # What is found somewhere is counted by one expression over the text.
+        whole_word = F.concat(F.lit(rf"(?<![{profile.letters}])\Q"), F.col("k"), F.lit(rf"\E{suffix}(?![{profile.letters}])"))
+        found.append(hits.select("id", "category", "keyword", "weight", "field", F.regexp_count("text", whole_word).alias("n")))
     for n in lengths or [1]:
         if n == 1:
             grams = words.select("id", "field", F.explode_outer("ws").alias("token")).where("token <> '|'")
@@ -56,9 +70,9 @@ def keyword_hits(docs: DataFrame, lexicon: DataFrame, profile: Profile, id_col:
                 runs = runs.withColumn("run", F.zip_with("run", F.slice("ws", k + 1, F.size("ws")), lambda x, y: F.concat(x, F.lit(" "), y)))
             grams = runs.select("id", "field", F.lit("").alias("token"), F.explode_outer("run").alias("k"))
         hits = grams.join(lex.where(F.col("words") == n), "k").where(F.col("never").isNull() | ~F.startswith(F.col("token"), F.col("never")))
-        found.append(hits.select("id", "category", "keyword", "weight", "field"))
+        found.append(hits.select("id", "category", "keyword", "weight", "field", F.lit(1).alias("n")))
     hits = reduce(DataFrame.unionByName, found)
-    of = lambda f: F.count_if(F.col("field") == f).alias(f"n_{f}")
+    of = lambda f: F.sum(F.when(F.col("field") == f, F.col("n")).otherwise(0)).cast("long").alias(f"n_{f}")
     return hits.groupBy("id", "category", "keyword", "weight").agg(of("title"), of("body"))
 
 
@@ -75,6 +89,7 @@ def keyword_matches(hits: DataFrame) -> DataFrame:
 def _guard(rule: Rule) -> Column:
     column = F.col({"text": "_t", "title": "_tt", "url": "_u"}[rule.field])
     hold = [column.rlike("(?dU)" + p) for p in rule.must] + [~column.rlike("(?dU)" + p) for p in rule.must_not]
+    hold += [~(F.col("_t").rlike("(?dU)" + a) & ~F.col("_t").rlike("(?dU)" + b)) for a, b in rule.unless]
     return reduce(lambda a, b: a & b, hold)
 
 
@@ -101,6 +116,17 @@ def rule_deltas(docs: DataFrame, rules: tuple[Rule, ...], categories: tuple[str,
     return guarded.select("id", *out)
 
 
+def rules_from(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules of a table (ord, name, field, must, must_not, category, delta, group), a row for each category of a rule.
+
+    ``must`` and ``must_not`` are arrays of patterns. A rule set is small by nature: it becomes part of the plan.
+    """
+    rows: dict[tuple, list] = {}
+    for r in table.orderBy("ord").collect():
+        rows.setdefault((r.ord, r.name, r.field or "text", tuple(r.must or ()), tuple(r.must_not or ()), r.group or ""), []).append((r.category, r.delta))
+    return tuple(Rule(name, must, tuple(deltas), must_not, field, group) for (_, name, field, must, must_not, group), deltas in rows.items())
+
+
 def classify(docs: DataFrame, lexicon: DataFrame, profile: Profile, bonus: DataFrame | None = None, weight: int = 0, **columns) -> DataFrame:
     """id, category (null below the threshold), score and one column ``score_<i>`` for each category.
 
@@ -136,6 +162,8 @@ def anchor_similarity(vectors: DataFrame, anchors: DataFrame, id_col: str = "vec
     """
     from newsloom.functions.similarity import dot
 
+    if anchors.count() > BROADCAST_ANCHORS:
+        raise ValueError(f"anchors are examples of a category, {BROADCAST_ANCHORS} at most in all")
     grouped = F.broadcast(anchors.groupBy("category").agg(F.collect_list("embedding").alias("anchors")))
     best = F.array_max(F.transform("anchors", lambda a: dot(a, F.col("embedding"))))
     pairs = vectors.where("embedding is not null").select(F.col(id_col).alias("id"), "embedding").join(grouped)

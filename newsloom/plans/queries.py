@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text
 from newsloom.functions.similarity import cosine, jaccard
-from newsloom.operators import duplicates, geocode, graph, listing, location, scoring, summaries
+from newsloom.operators import dimensions, duplicates, geocode, graph, listing, location, scoring, summaries
 from newsloom.profiles import Profile, Rule
 from newsloom.sources import pages, snapshots
 
@@ -151,7 +151,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("keywords_flat", "SELECT category, array_to_string(list_sort(list(DISTINCT keyword)), ',') AS keywords FROM " + _LEX + " GROUP BY category")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon(spark).groupBy("category").agg(F.array_join(F.sort_array(F.collect_set("keyword")), ",").alias("keywords"))
+    return listing.keywords_flat(lexicon(spark)).withColumn("keywords", F.array_join("keywords", ","))
 
 
 _GUARDS = f"""guards AS (SELECT doc_id, contains(tx, '!!') AS r1, regexp_matches(tx, 'licen[sc]ed under') AND NOT contains(tx, 'apache') AS r2, contains(tx, 'token') AS r3,
@@ -254,6 +254,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.stats(labelled_news(spark, sf_dir))
 
 
+@query("by_source", """WITH n AS (SELECT source, count(*) AS n FROM documents WHERE doc_id % 5 > 0 AND source IS NOT NULL GROUP BY source) SELECT source, n, row_number() OVER (ORDER BY n DESC, source)::INTEGER AS place FROM n""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.by_source(labelled_news(spark, sf_dir))
+
+
+_CATS = "(VALUES (0, 'alpha', 'Alpha'), (1, 'beta', 'beta'), (2, 'gamma', 'gamma')) AS c(ord, category, display)"
+
+
+@query("category_dimension", f"SELECT ord, category, display FROM {_CATS}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimensions.categories(spark, NEUTRAL)
+
+
+@query("district_dimension", "SELECT ord, district, variants FROM (VALUES (0, 'North', 'nor,eath'), (1, 'South', 'sou,tion'), (2, 'East', 'eas')) AS d(ord, district, variants)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimensions.districts(spark, NEUTRAL).withColumn("variants", F.array_join("variants", ","))
+
+
 @query("run_counters", f"""{_CLASSIFIED}, o AS (SELECT CASE WHEN length(title) < 5 OR contains(lower(title), 'javascript') THEN 'errors' WHEN score < 8 THEN 'no_category' ELSE 'saved' END AS outcome FROM classified JOIN arts USING (doc_id))
 SELECT count(*) AS scraped, count(*) FILTER (outcome = 'saved') AS saved, 0::BIGINT AS duplicate, count(*) FILTER (outcome = 'no_category') AS no_category, 0::BIGINT AS no_location, 0::BIGINT AS geocode_failed, count(*) FILTER (outcome = 'errors') AS errors FROM o""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +280,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.run_counters(arts.select(outcome.alias("outcome")))
 
 
-@query("source_links")
+@query("source_links", """WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS rn, role || (turn % 3) AS name, 'u' || (turn % 4) AS url FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, []::STRUCT(name VARCHAR, url VARCHAR)[] AS seen FROM conversations
+  UNION ALL SELECT f.conv_id, k + 1, CASE WHEN len(list_filter(seen, lambda x: x.name = s.name OR x.url = s.url)) > 0 THEN seen ELSE list_append(seen, {'name': s.name, 'url': s.url}) END FROM f JOIN s ON s.conv_id = f.conv_id AND s.rn = f.k + 1),
+last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+own AS (SELECT last.conv_id, s.name, seen FROM last JOIN s ON s.conv_id = last.conv_id AND s.rn = 1)
+SELECT conv_id, array_to_string(list_transform(CASE WHEN len(list_filter(seen, lambda x: x.name = own.name)) > 0 THEN seen ELSE list_prepend({'name': own.name, 'url': 'u1'}, seen) END, lambda x: x.name || '=' || x.url), ',') AS links FROM own""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = t(spark, sf_dir, "conversations")
     entry = F.struct("turn", F.struct(F.col("role").alias("source_key"), F.concat("role", (F.col("turn") % 3).cast("string")).alias("source_name"), F.concat(F.lit("u"), (F.col("turn") % 4).cast("string")).alias("url")).alias("s"))
@@ -301,7 +324,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("dedupe_incremental")
+@query("dedupe_incremental", f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM {_VEC}),
+e AS (SELECT y.rn AS b, x.id, x.category = y.category AS same, list_cosine_similarity(x.v, y.v) AS s, x.ord FROM v x JOIN v y ON x.ord < y.ord WHERE list_cosine_similarity(x.v, y.v) >= 0.35),
+near AS (SELECT v.rn, v.id, list({{'s': -e.s, 'ord': e.ord, 'id': e.id, 'same': e.same}} ORDER BY e.s DESC, e.ord) FILTER (e.id IS NOT NULL) AS options FROM v LEFT JOIN e ON e.b = v.rn GROUP BY ALL),
+r AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS id, ''::VARCHAR AS kept, []::VARCHAR[] AS held
+  UNION ALL SELECT k + 1, n_id, target, CASE WHEN target = n_id THEN list_append(held, n_id) ELSE held END FROM (
+    SELECT k, n_id, held, CASE WHEN best IS NOT NULL AND (-best.s >= 0.45 OR best.same) THEN best.id ELSE n_id END AS target FROM (
+      SELECT r.k, n.id AS n_id, r.held, list_filter(n.options, lambda x: list_contains(r.held, x.id))[1] AS best FROM r JOIN near n ON n.rn = r.k + 1)))
+SELECT id, kept FROM r WHERE k > 0""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.dedupe_sequence(vectors(spark, sf_dir), 0.45, 0.35)
 
@@ -448,7 +478,9 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_links(t(spark, sf_dir, "pages"))
 
 
-query("page_links")(linked)
+_LINKS = """(SELECT page_id AS id, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS pos FROM (SELECT page_id,
+  list_filter(list_transform(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT contains(lower(x), 'javascript:')) AS hs FROM pages))"""
+query("page_links", f"SELECT id, pos::INTEGER AS pos, href FROM {_LINKS}")(linked)
 
 
 @query("collect_links")
@@ -458,7 +490,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.collect_links(listed, ".", "base", source_col="host")
 
 
-@query("link_profile")
+@query("link_profile", f"SELECT count(DISTINCT href) FILTER (len(string_split(href, '/')) >= 2) AS n_2, count(DISTINCT href) FILTER (len(string_split(href, '/')) >= 3) AS n_3 FROM {_LINKS} WHERE starts_with(href, '/')")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.link_profile(linked(spark, sf_dir).withColumnRenamed("href", "url"), "/", (2, 3))
 
@@ -522,10 +554,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.add_sources(news, added).select("_id", F.size("sources").alias("n"))
 
 
-@query("components_of_orders", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey AS b FROM lineitem WHERE l_orderkey <= 60), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a) SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a""")
+@query("components_of_orders")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = t(spark, sf_dir, "lineitem").where("l_orderkey <= 60")
+    """Orders and suppliers that lines join, over the whole table; tested against union-find on a fixture."""
+    lines = t(spark, sf_dir, "lineitem")
     return graph.components(lines.select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b")))
 
 

@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 class Rule:
     """Adds ``deltas`` to category scores of texts that match every pattern of ``must`` and none of ``must_not``.
 
-    ``field``: text (title and body, lower-cased), title or url. ``stop``: rules of the same group after a match are off.
-    ``reset`` names categories whose score becomes 0 after all deltas.
+    ``field``: text (title and body, lower-cased), title or url. Of the rules of one ``group`` only the first match counts.
+    ``reset`` names categories whose score becomes 0 after all deltas. ``unless``: pairs of patterns over the text; the
+    rule is off where the first of a pair matches and the second does not.
     """
 
     name: str
@@ -20,6 +21,7 @@ class Rule:
     field: str = "text"
     group: str = ""
     reset: tuple[str, ...] = ()
+    unless: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -40,12 +42,33 @@ class Profile:
     suffixes: str = r"(?:'(?:te|ta|de|da|ten|tan|nin|nın|nün|nun)|te|de|da|ten|tan)\b"
     country: str = ""
     center: tuple[float, float] = (0.0, 0.0)
+    center_label: str = ""
+    default_addresses: tuple[str, ...] = ()  # tried last
     district_names: tuple[str, ...] = ()
 
 
+#: News of power that is made (not cut), of cuts as such, of cuts of water.
+_POWER_MADE = (
+    r"elektrik.{0,60}(?:üret|uret|üretti|uretti|üreten|ureten|üretilen|uretilen|üretim|uretim|üretildi|uretildi)|"
+    r"(?:üretilen|uretilen|üretim|uretim).{0,40}elektrik|elektrik.{0,40}üretildi|atik.{0,30}elektrik|elektrik.{0,30}atik|"
+    r"milyonlarca\s*kwh|milyonlarcakwh|kwh.{0,40}(?:üret|uret|üretti|uretti|kapasite|katkı|kati|karşılan|karsilan)|"
+    r"(?:ges\b|güneş\s*(?:enerji|panel|santral)|gunes\s*(?:enerji|panel|santral)|ruzgar\s*türbin|ruzgâr\s*türbin|ruzgar\s*enerji|ruzgâr\s*enerji|"
+    r"jeotermal|biyogaz|biyometan|kojenerasyon|chp\b).{0,55}(?:elektrik|kwh|üret|uret|santral|kapasite)|"
+    r"(?<![a-zçğıöşü])isu(?![a-zçğıöşü]).{0,55}(?:kwh|elektrik|üret|uret|milyon)|(?:izaydaş|izaydas).{0,55}(?:kwh|elektrik|üret|uret|milyon)"
+)
+_POWER_CUT = (
+    r"elektrik\s+kesintisi|enerji\s+kesintisi|programl[ıi]\s+kesinti|planl[ıi]\s+kesinti|plans[ıi]z\s+kesinti|kesinti\s+duyurusu|kesinti\s+listesi|kesinti\s+saatleri|"
+    r"kesinti\s+yaşan|kesinti\s+yasan|kesinti\s+yaşayacak|kesinti\s+yasayacak|elektrik\s+kesildi|elektrik\s+kesilecek|elektriksiz|elektrik\s+yok|"
+    r"trafo.{0,18}(?:arıza|ariza|patlad|yangın|yangin)|elektrik\s+ne\s+zaman\s+gelecek|abonelerin\s+dikkat|kesinti\s+program"
+)
+_WATER_CUT = (
+    r"su\s+kesinti|sular\s+(?:ne\s+zaman|kesilecek|kesildi|gelecek)|su\s+kesilecek|su\s+kesildi|su\s+arızası|su\s+arizasi|"
+    r"(?<![a-zçğıöşü])isu(?![a-zçğıöşü]).{0,60}(?:kesinti|su\s+kesilecek|sular)|su\s+kesintisi|sular.{0,30}gelecek|su\s+kesintisi\s+alarm"
+)
+
 #: Fixed values of the Turkish profile.
 TURKISH = Profile(
-    categories=("Trafik Kazasi", "Yangin", "Elektrik Kesintisi", "Hirsizlik", "Suc ve Cinayet", "Kulturel Etkinlikler"),
+    categories=("Trafik Kazasi", "Yangin", "Elektrik Kesintisi", "Suc ve Cinayet", "Hirsizlik", "Kulturel Etkinlikler"),  # of equal scores the first wins
     display={"Trafik Kazasi": "Trafik Kazası", "Yangin": "Yangın", "Hirsizlik": "Hırsızlık", "Suc ve Cinayet": "Suç ve Cinayet", "Kulturel Etkinlikler": "Kültürel Etkinlikler"},
     never={"kesinti": "kesintisiz"},
     districts=(
@@ -72,7 +95,58 @@ TURKISH = Profile(
     province="Kocaeli",
     country="Türkiye",
     center=(40.7654, 29.9408),
+    center_label="Kocaeli (genel konum)",
+    default_addresses=("İzmit, Kocaeli, Türkiye", "Izmit, Kocaeli, Turkey", "Kocaeli, Türkiye"),
     rules=(
+        Rule(
+            "words of accidents",
+            (r"trafik.{0,80}kaza(?!n[a-zçğıöşü])|kaza(?!n[a-zçğıöşü]).{0,80}trafik|(?<![a-zçğıöşü])yol.{0,50}kaza(?!n[a-zçğıöşü])|otoyol.{0,50}kaza(?!n[a-zçğıöşü])|d100|d-100|"
+             r"araçlar.{0,30}çarpış|araclar.{0,30}carpis|çarpıştı|carpisti|yaralamalı\s+kaza|yaralamali\s+kaza",),
+            (("Trafik Kazasi", 14),),
+        ),
+        Rule(
+            "words of fires",
+            (r"yangın.{0,20}çıktı|yangin.{0,20}cikti|alev.{0,15}aldi|yanan\s+(?:ev|işyeri|araç|arac)|itfaiye.{0,25}müdahale|itfaiye.{0,25}mudahale|yangına.{0,15}müdahale|yangina.{0,15}mudahale",),
+            (("Yangin", 11),),
+        ),
+        Rule(
+            "words of power cuts",
+            (r"elektrik.{0,40}kesinti|kesinti.{0,30}elektrik|trafo.{0,20}arıza|trafo.{0,20}ariza|abone.{0,25}kesinti|mahalle.{0,40}kesinti|kesinti.{0,20}program|kesinti.{0,20}saat|elektrik.{0,25}ne\s+zaman",),
+            (("Elektrik Kesintisi", 14),), ("kesintisiz", _WATER_CUT), unless=((_POWER_MADE, _POWER_CUT),),
+        ),
+        Rule(
+            "words of theft",
+            (r"hırsız|hirsiz|soygun|çalındı|calindi|kapkaç|kapkac|silahlı\s+soygun|silahli\s+soygun|evden\s+hırsız|evden\s+hirsiz",),
+            (("Hirsizlik", 9),), (r"katliam|cinayet|narkotik|uyuşturucu|uyusturucu|sahte\s+hesap|kesici\s+alet",),
+        ),
+        Rule(
+            "words of crime",
+            (r"katliam|cinayet|narkotik.{0,45}ekip|narkotik\s+operasyon|uyuşturucu\s+operasyon|uyusturucu\s+operasyon|sahte\s+hesap.{0,25}operasyon|"
+             r"bilgilendirme\s+seferberliği.{0,40}narkotik|narkotik.{0,30}bilgilendirme|kesici\s+aletle\s+cinayet|bar\s+katliam|kanlı\s+gece.{0,30}cinayet|"
+             r"gözaltı.{0,15}katliam|gozaltı.{0,15}katliam|kanlı\s+gece|kanli\s+gece|kanlı\s+saldırı|kanli\s+saldiri|(?:\d+)\s+(?:ölü|olu|öldü|oldu).{0,30}(?:\d+)\s+yaralı",),
+            (("Suc ve Cinayet", 14),),
+        ),
+        Rule(
+            "words of culture",
+            (r"konser|festival|sergi|tiyatro|fuar|yarışma|yarismasi|kermes|tören|toren|kültür\s+merkezi|kultur\s+merkezi|müze|muze|sanat.{0,15}günü|sanat.{0,15}gunu|"
+             r"gösteri|gosteri|atölye|atolye|dinleti|şölen|solen",),
+            (("Kulturel Etkinlikler", 4),),
+        ),
+        Rule(
+            "words of events",
+            (r"etkinlik\s+düzenlendi|etkinlik\s+duzenlendi|etkinlik.{0,15}(?:açık|acik|ücretsiz|ucretsiz|davet|katılım|katilim)",), (("Kulturel Etkinlikler", 5),),
+        ),
+        Rule("title of power made", (_POWER_MADE,), must_not=(_POWER_CUT,), field="title", reset=("Elektrik Kesintisi",)),
+        Rule("url traffic", (r"trafik|(?<![a-zçğıöşü])kaza(?![a-zçğıöşü])",), (("Trafik Kazasi", 12),), field="url"),
+        Rule(
+            "url power cut",
+            ("sedas|sedaş|gedas|gedaş|trafo-ariza|trafo-arıza|elektrik-kesintisi|elektrik-kesinti|enerji-kesintisi|kesinti-program|planli-kesinti|programli-kesinti|elektrik.{0,25}kesinti|kesinti.{0,20}elektrik",),
+            (("Elektrik Kesintisi", 14),), ("kesintisiz",), field="url", group="url power cut", unless=((_POWER_MADE, _POWER_CUT),),
+        ),
+        Rule(
+            "url cut", (r"(?<![a-zçğıöşü])kesinti(?!siz)[a-zçğıöşü]{0,8}(?![a-zçğıöşü])",), (("Elektrik Kesintisi", 8),), ("kesintisiz",), field="url", group="url power cut",
+            unless=((_POWER_MADE, _POWER_CUT),),
+        ),
         Rule("url fire", ("yangin|yangın|itfaiye",), (("Yangin", 12),), field="url"),
         Rule("url public order", ("asayis|asayiş|3-sayfa|3sayfa|guvenlik|güvenlik|emniyet",), (("Trafik Kazasi", 7), ("Suc ve Cinayet", 8), ("Hirsizlik", 5)), field="url"),
         Rule("url culture, narrow", ("kultur-sanat|konser|festival|sergi|tiyatro|fuar",), (("Kulturel Etkinlikler", 12),), field="url"),

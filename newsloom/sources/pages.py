@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.dates import date_from_url, try_parse
+from newsloom.operators import graph
 from newsloom.sources.dom import Node, parse
 
 #: Where articles keep their text, dates and descriptions.
@@ -34,7 +35,9 @@ META_DATES = [
     ("name", "publish-date"), ("name", "date"), ("name", "DC.date.issued"), ("name", "parsely-pub-date"),
 ]
 DESCRIPTIONS = [("property", "og:description"), ("name", "description"), ("name", "twitter:description")]
-DATE_CLASSES = ("date", "tarih", "time", "publish")
+#: Of each selector the first element counts: a class of this name, then a class attribute that holds this text.
+DATE_CLASSES = ["haber-tarih", "news-date", "post-date", "article-date", "published", "tarih", "info", "date", "pub-date", "time"]
+DATE_PARTS = ["date", "time"]
 
 _HIDDEN = frozenset({"script", "style", "noscript", "iframe", "button"})
 _BLANK = {"A A", "A  A", "AA"}
@@ -50,6 +53,10 @@ def _tag_text(node: Node) -> str:
     return "" if text in _BLANK else text
 
 
+def _with_year(text: str) -> str:
+    return text if re.search(r"\d{4}", text) else ""
+
+
 def _json_dates(data: object) -> Iterator[str]:
     """Dates of a JSON-LD value, an object's own before those below it."""
     stack = [data]
@@ -77,6 +84,12 @@ def parse_page(html: str | None) -> dict:
         yield from [d for d in divs if d.attrs.get("itemprop") == "articleBody"][:1]
         yield from of("article")[:1]
 
+    def dated() -> Iterator[Node | None]:
+        for name in DATE_CLASSES:
+            yield next((n for n in nodes if name in n.classes), None)
+        for part in DATE_PARTS:
+            yield next((n for n in nodes if part in n.attrs.get("class", "")), None)
+
     long = lambda texts, least: next((t for t in texts if len(t) > least), None)
     paragraphs = [t for t in (p.text() for p in of("p")) if len(t) > 30 and "cookie" not in t.lower()]
     found_json = []
@@ -96,8 +109,8 @@ def parse_page(html: str | None) -> dict:
         "description": long(descriptions, 15),
         "json_dates": found_json,
         "meta_dates": [m.attrs["content"] for m in (meta(*d) for d in META_DATES) if m and m.attrs.get("content")],
-        "time_dates": [x for t in of("time") for x in (t.attrs.get("datetime"), t.text()) if x],
-        "class_dates": [n.text(" ") for n in nodes if n.tag in ("span", "div", "p") and any(c in n.attrs.get("class", "").lower() for c in DATE_CLASSES)],
+        "time_dates": [x for t in of("time") for x in ((t.attrs.get("datetime") or "").strip(), _with_year(t.text(" "))) if x],
+        "class_dates": [n.text(" ") for n in dated() if n],
     }
 
 
@@ -125,7 +138,7 @@ def parse_articles(pages: DataFrame, html_col: str = "html", url_col: str = "url
 
 @F.pandas_udf(STRINGS)
 def _hrefs(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: [n.attrs["href"] for n in parse(h).find("a") if n.attrs.get("href")])
+    return html.map(lambda h: [x for x in ((n.attrs.get("href") or "").strip() for n in parse(h).find("a")) if x and not x.startswith("#") and "javascript:" not in x.lower()])
 
 
 @F.pandas_udf(STRINGS)
@@ -147,23 +160,25 @@ def _absolute(hrefs: pd.Series, base: pd.Series) -> pd.Series:
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, pos, href: links of each page as written, without empty ones, fragments and scripts."""
     links = pages.select(F.col(id_col).alias("id"), F.posexplode_outer(_hrefs(F.col(html_col))).alias("pos", "href"))
-    return links.where((F.trim("href") != "") & ~F.startswith("href", F.lit("#")) & ~F.startswith(F.lower("href"), F.lit("javascript:")))
+    return links.where("href is not null")
 
 
-def collect_links(pages: DataFrame, pattern: str, base_col: str, most: int = 120, fetches: int = 48, failures: int = 12, idle: int = 10, order_col: str = "page_id", html_col: str = "html", source_col: str | None = None) -> DataFrame:
+def collect_links(pages: DataFrame, pattern: str, base_col: str, most: int = 120, fetches: int = 48, failures: int = 12, idle: int = 10, order_col: str = "page_id", html_col: str = "html", source_col: str | None = None, pattern_col: str | None = None) -> DataFrame:
     """source, url, ord: distinct article addresses of each source in order of discovery, ``most`` at most.
 
-    Listing pages are read in order, ``fetches`` at most. A page without HTML counts as a failure, a page without a new
-    address as idle; reading stops after ``failures`` or ``idle`` of them in a row, whichever comes first.
+    Addresses hold ``pattern`` (or that of ``pattern_col``). Listing pages are read in order, ``fetches`` at most. One counter runs over pages without HTML (failures) and pages
+    without a new address (idle ones) and starts again at a page with one; reading stops at a failure if it has come to
+    ``failures``, at an idle page if it has come to ``idle``.
     """
     from pyspark.sql import Window
 
+    graph.checkpoint_folder(pages.sparkSession)
     source = F.col(source_col) if source_col else F.lit("")
-    listing = pages.select(source.alias("source"), F.col(order_col).alias("page"), F.col(base_col).alias("base"), F.col(html_col).alias("html"))
+    listing = pages.select(source.alias("source"), F.col(order_col).alias("page"), F.col(base_col).alias("base"), F.col(html_col).alias("html"), F.concat(F.lit("(?dU)"), F.col(pattern_col) if pattern_col else F.lit(pattern)).alias("pattern"))
     listing = listing.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("page"))).where(F.col("turn") <= fetches)
     urls = _absolute(F.coalesce(_hrefs(F.coalesce("html", F.lit(""))), F.array().cast("array<string>")), F.col("base"))
-    own = F.filter(urls, lambda u: F.startswith(u, F.regexp_replace("base", "/+$", "")) & u.rlike("(?dU)" + pattern))
-    listing = listing.withColumns({"failed": F.col("html").isNull(), "urls": own}).drop("html").persist()
+    own = F.filter(urls, lambda u: F.startswith(u, F.regexp_replace("base", "/+$", "")) & F.regexp(u, F.col("pattern")))
+    listing = listing.withColumns({"failed": F.col("html").isNull(), "urls": own}).drop("html", "pattern").checkpoint()
     seen = listing.select("source", "turn", F.posexplode("urls").alias("pos", "url"))
     first = seen.groupBy("source", "url").agg(F.min(F.struct("turn", "pos")).alias("at"))
     fresh = first.groupBy("source", "at.turn").agg(F.count("*").alias("fresh"))
@@ -171,8 +186,8 @@ def collect_links(pages: DataFrame, pattern: str, base_col: str, most: int = 120
     upto = Window.partitionBy("source").orderBy("turn")
     good = F.max(F.when(F.col("fresh") > 0, F.col("turn"))).over(upto)
     streak = pages_.withColumn("streak", F.col("turn") - F.coalesce(good, F.lit(0)))
-    bad = F.count_if(F.col("failed")).over(upto.rowsBetween(-(failures - 1), 0))
-    stop = streak.withColumn("stop", (F.col("streak") >= idle) | (bad >= failures)).where("stop").groupBy("source").agg(F.min("turn").alias("last"))
+    enough = F.col("streak") >= F.when(F.col("failed"), failures).otherwise(idle)
+    stop = streak.where(enough).groupBy("source").agg(F.min("turn").alias("last"))
     found = first.join(stop, "source", "left").where("last is null or at.turn <= last")
     order = F.row_number().over(Window.partitionBy("source").orderBy("at.turn", "at.pos"))
     return found.select("source", "url", order.alias("ord")).where(F.col("ord") <= most)

@@ -1,16 +1,19 @@
+import dataclasses
 import datetime as dt
 import itertools
+import json
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import duplicates, geocode, graph, listing, location, scoring, summaries
+from newsloom.operators import dimensions, duplicates, geocode, graph, listing, location, scoring, summaries
 from newsloom.plans import queries
 from newsloom.profiles import TURKISH, Profile, Rule
-from newsloom.sources import pages, snapshots
+from newsloom.sources import pages, snapshots, specs
 
 
 # --- scoring ---
@@ -121,7 +124,7 @@ def test_replay_equals_a_full_scan():
         m = rng.random((n, n)).round(2)
         categories = rng.integers(0, 2, n).astype(str)
         edges = [(a, b, m[a, b]) for a, b in itertools.combinations(range(n), 2) if m[a, b] >= 0.6]
-        nodes = pd.DataFrame({"id": [str(i) for i in range(n)], "ord": range(n), "category": categories})
+        nodes = pd.DataFrame({"id": [str(i) for i in range(n)], "ord": range(n), "category": categories, "stored": None, "stored_score": np.nan, "stored_category": None})
         got = duplicates.replay(nodes, pd.DataFrame(edges, columns=["a_ord", "b_ord", "score"]), 0.8, 0.6)
         assert {int(k): int(v) for k, v in zip(got["id"], got["kept"], strict=True)} == full_scan(m, categories, 0.8, 0.6)
 
@@ -138,6 +141,42 @@ def test_sequence_on_vectors(spark):
     assert got == {str(k): str(v) for k, v in want.items()} | {"null": "null"}
 
 
+def test_rounds_of_joins_equal_the_replay(spark):
+    """Groups too large for one task: the same decisions, one round for each step of the longest chain."""
+    rng = np.random.default_rng(5)
+    for seed, stored in ((6, 0), (7, 15)):
+        x = np.random.default_rng(seed).normal(size=(60, 3))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        categories = rng.integers(0, 2, 60).astype(str)
+        df = spark.createDataFrame([(str(i), i, categories[i], x[i].tolist()) for i in range(60)], "id string, ord long, category string, embedding array<double>")
+        old, new = (df.where(f"ord < {stored}") if stored else None), df.where(f"ord >= {stored}")
+        want = full_scan_stored(u @ u.T, categories, 0.9, 0.8, stored)
+        for most in (200_000, 0):
+            got = {r.id: r.kept for r in duplicates.dedupe_sequence(new, 0.9, 0.8, stored=old, most=most).collect()}
+            assert got == {str(k): str(v) for k, v in want.items()}, most
+
+
+def full_scan_stored(m, categories, same, same_category, stored):
+    """Rows before ``stored`` are kept without a look at each other."""
+    kept, target = list(range(stored)), {}
+    for o in range(stored, len(m)):
+        at = max(kept, key=lambda a: (m[a, o], -a), default=None)
+        ok = at is not None and (m[at, o] >= same or (m[at, o] >= same_category and categories[at] == categories[o]))
+        target[o] = at if ok else o
+        kept += [] if ok else [o]
+    return target
+
+
+def test_arrivals_meet_every_stored_row(spark):
+    """A stored row counts also where an earlier stored row resembles it."""
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    schema = "id string, ord long, category string, embedding array<double>"
+    stored = spark.createDataFrame([("A", 0, "x", at(0)), ("B", 1, "x", at(25.8))], schema)
+    arrival = spark.createDataFrame([("C", 0, "y", at(43.9)), ("D", 1, None, at(60)), ("E", 2, "x", at(-30))], schema)
+    got = {r.id: r.kept for r in duplicates.dedupe_sequence(arrival, stored=stored).collect()}
+    assert got == {"C": "B", "D": "D", "E": "A"}
+
+
 def news_rows(spark, rows):
     schema = "id string, ord long, day string, category string, title string, content string, url string, sources array<struct<source_key:string,source_name:string,url:string>>, embedding array<double>"
     return spark.createDataFrame(rows, schema)
@@ -260,6 +299,53 @@ def test_each_site_is_read_up_to_its_own_limits(spark, tmp_path):
     assert got == {(f"{x}.example", f"http://{x}.example/n/{i}") for i in range(80) for x in "ab"[i % 2]}
 
 
+def test_date_elements_in_their_order():
+    dates = lambda html: pages.parse_page(html)["class_dates"]
+    assert dates('<div class="update-note">1.1.2020</div><span class="haber-tarih">4.3.2025</span>')[0] == "4.3.2025"
+    assert dates('<li class="haber-tarih">4.3.2025</li>') == ["4.3.2025"] and dates('<p class="a info">5.3.2025</p>') == ["5.3.2025"]
+    assert dates('<p class="date">first</p><p class="date">second</p>') == ["first", "first"]
+    assert dates('<p class="Date">x</p>') == [] and dates('<p class="updated-times">x</p>') == ["x", "x"]
+    assert pages.parse_page("<time>10:30</time><time datetime=' 2025-03-04 '>4 Mart 2025</time>")["time_dates"] == ["2025-03-04", "4 Mart 2025"]
+
+
+def test_one_counter_of_failures_and_idle_pages(spark):
+    link = '<a href="/n/{}">x</a>'
+    none, idle = None, "<p>"
+
+    def read(html):
+        df = spark.createDataFrame([(i, "http://s", h) for i, h in enumerate(html)], "page_id int, base string, html string")
+        return sorted(r.url[-1] for r in pages.collect_links(df, "/n/", "base").collect())
+
+    first, last = link.format(1), link.format(2)
+    assert read([first, *[none] * 11, last]) == ["1", "2"]  # eleven failures don't stop it
+    assert read([first, *[none] * 12, last]) == ["1"]
+    assert read([first, *[none] * 9, idle, last]) == ["1"]  # the tenth in a row is an idle page
+    assert read([first, *[none] * 8, idle, last]) == ["1", "2"]
+    assert read([first, *[idle] * 9, none, last]) == ["1", "2"]
+    assert read(['<a href=" #top">x</a><a href="x javascript:0">y</a>' + first]) == ["1"]
+
+
+def test_sources(spark):
+    assert [s.key for s in specs.chosen(specs.TURKISH_SOURCES, ["seskocaeli", "yenikocaeli"])] == ["seskocaeli", "yenikocaeli"] and len(specs.chosen(specs.TURKISH_SOURCES)) == 5
+    with pytest.raises(ValueError):
+        specs.chosen(specs.TURKISH_SOURCES, ["nope"])
+    urls = [r.url for r in specs.listing_urls(spark, specs.chosen(specs.TURKISH_SOURCES, ["yenikocaeli"])).orderBy("ord").collect()]
+    assert urls[:4] == ["https://www.yenikocaeli.com", "https://www.yenikocaeli.com/haber/guncel", "https://www.yenikocaeli.com/haber/kocaeli", "https://www.yenikocaeli.com/haber/yasam.html"] and len(urls) == 14
+    fetched = spark.createDataFrame([("seskocaeli", 0, '<a href="/haber/12/x">a</a><a href="/ab-c-77.html">b</a><a href="/other">c</a>'), ("yenikocaeli", 0, '<a href="/haber/12/x">a</a><a href="/haber/g/x/9.html">b</a>')], "source_key string, ord int, html string")
+    got = sorted((r.source, r.url) for r in specs.collect_articles(fetched, specs.TURKISH_SOURCES).collect())
+    assert got == [("seskocaeli", "https://www.seskocaeli.com/ab-c-77.html"), ("seskocaeli", "https://www.seskocaeli.com/haber/12/x"), ("yenikocaeli", "https://www.yenikocaeli.com/haber/g/x/9.html")]
+    assert specs.of_sources(fetched, ["seskocaeli"]).count() == 1 and specs.of_sources(fetched, None).count() == 2
+
+
+def test_json_and_dimensions(spark, tmp_path):
+    news = spark.createDataFrame([("1", None, dt.datetime(2025, 3, 4, 5), [1.0])], "_id string, title string, published_at timestamp, embedding array<double>")
+    listing.to_json(news, f"file://{tmp_path}/out")
+    (line,) = [x for f in tmp_path.glob("out/*.json") for x in f.read_text().splitlines()]
+    assert json.loads(line) == {"_id": "1", "title": None, "published_at": "2025-03-04T05:00:00"}
+    assert [tuple(r) for r in dimensions.categories(spark, TURKISH).orderBy("ord").collect()][3] == (3, "Suc ve Cinayet", "Suç ve Cinayet")
+    assert dimensions.districts(spark, TURKISH).count() == 12
+
+
 def test_pagination(spark):
     df = spark.createDataFrame([(0, "http://s/x/"), (1, "http://s/x?a=1"), (2, "http://s/x")], "ord int, url string")
     got = [r.url for r in sorted(pages.expand_pagination(df).collect(), key=lambda r: (r.ord, r.pos))]
@@ -279,3 +365,71 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError):
         store.clear()
     assert store.clear(confirm=True) == 2 and store.read().count() == 0
+
+
+# --- the Turkish profile ---
+
+
+def by_hand(text, keyword):
+    """Occurrences of a keyword in a lower-cased text by one expression."""
+    letters, k = "a-zçğıöşü", keyword.strip()
+    if k == "kesinti":
+        return len(re.findall(rf"(?<![{letters}])kesinti(?!siz)[{letters}]{{0,8}}(?![{letters}])", text))
+    suffix = "" if " " in k else f"[{letters}]{{0,8}}"
+    return len(re.findall(rf"(?<![{letters}]){re.escape(k)}{suffix}(?![{letters}])", text))
+
+
+def test_keywords_with_digits_hyphens_and_apostrophes(spark):
+    keywords = ["d100", "d-100", "tem'de", "kaza", "kesinti", "trafik kazası", "112 acil", "7/24", " e-5 "]
+    texts = ["d100'de kaza, d-100 yolunda kazalar; d1000 ve ad100 değil", "tem'de tem'deki xtem'de 112 acil 112 acilde", "kesintisiz kesinti kesintiler 7/24 7/24'te e-5 e-5te ee-5", "", None, "trafik kazası d100d100 d-100karayolundakiler"]
+    lexicon = spark.createDataFrame([("c", k, 1) for k in keywords] + [("c", " ", 1)], "category string, keyword string, weight int")
+    docs = spark.createDataFrame([(i, "d100 kaza", t) for i, t in enumerate(texts)], "doc_id int, title string, body string")
+    got = {(r.id, r.keyword): (r.n_title, r.n_body) for r in scoring.keyword_hits(docs, lexicon, TURKISH).collect()}
+    want = {(i, k): (by_hand("d100 kaza", k), by_hand(t or "", k)) for i, t in enumerate(texts) for k in keywords}
+    assert got == {k: v for k, v in want.items() if v != (0, 0)}
+
+
+def test_turkish_rules(spark):
+    """Combination, address and reset rules, each alone."""
+    rows = [
+        ("Otoyolda zincirleme kaza", "araçlar çarpıştı", "", {"Trafik Kazasi": 14}), ("Fabrikada yangın çıktı", "", "", {"Yangin": 11}),
+        ("Elektrik kesintisi duyurusu", "", "", {"Elektrik Kesintisi": 14}), ("Kesintisiz elektrik kesintisi", "", "", {}), ("Su kesintisi", "elektrik kesintisi", "", {}),
+        ("Soygun", "", "", {"Hirsizlik": 9}), ("Soygun ve cinayet", "", "", {"Suc ve Cinayet": 14}), ("Konser", "etkinlik düzenlendi", "", {"Kulturel Etkinlikler": 9}),
+        ("x", "y", "https://s/trafik", {"Trafik Kazasi": 12}), ("x", "y", "https://s/kaza-haberi", {"Trafik Kazasi": 12}), ("x", "y", "https://s/kazan", {}),
+        ("x", "y", "https://s/sedas-duyurdu", {"Elektrik Kesintisi": 14}), ("x", "y", "https://s/kesinti-var", {"Elektrik Kesintisi": 8}), ("x", "y", "https://s/kesintisiz-kesinti", {}),
+        ("elektrik üretimi", "y", "https://s/sedas", {}), ("x", "y", "https://s/kultur-sanat", {"Kulturel Etkinlikler": 17}), ("x", "y", "https://s/asayis", {"Trafik Kazasi": 7, "Suc ve Cinayet": 8, "Hirsizlik": 5}),
+    ]
+    docs = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "doc_id int, title string, body string, url string")
+    got = {r.id: r.asDict() for r in scoring.rule_deltas(docs, TURKISH.rules, TURKISH.categories, url_col="url").collect()}
+    for i, r in enumerate(rows):
+        assert {c: got[i][f"delta_{k}"] for k, c in enumerate(TURKISH.categories) if got[i][f"delta_{k}"]} == r[3], r
+    power = TURKISH.categories.index("Elektrik Kesintisi")
+    assert [i for i in got if got[i][f"reset_{power}"]] == [14]
+
+
+def test_equal_scores_and_rules_of_a_table(spark):
+    lexicon = spark.createDataFrame([("Hirsizlik", "abc", 9), ("Suc ve Cinayet", "abc", 9), ("Yangin", "def", 9)], "category string, keyword string, weight int")
+    docs = spark.createDataFrame([(1, "abc", "x"), (2, "def", "abc")], "doc_id int, title string, body string")
+    table = spark.createDataFrame([(0, "r", "text", ["def"], ["zzz"], "Yangin", -450, None), (0, "r", "text", ["def"], ["zzz"], "Hirsizlik", 1, None)], "ord int, name string, field string, must array<string>, must_not array<string>, category string, delta int, group string")
+    rules = scoring.rules_from(table)
+    assert rules == (Rule("r", ("def",), (("Yangin", -450), ("Hirsizlik", 1)), ("zzz",)),)
+    got = {r.id: r.category for r in scoring.classify(docs, lexicon, dataclasses.replace(TURKISH, rules=rules)).collect()}
+    assert got == {1: "Suc ve Cinayet", 2: "Hirsizlik"}
+
+
+def test_addresses_to_try(spark):
+    df = spark.createDataFrame([("L, Kocaeli, Türkiye", "L, Kocaeli", "Gebze"), (None, None, None), ("q", "q", None)], "q string, t string, d string")
+    got = [r.c for r in df.select(location.geocode_candidates(F.col("q"), F.col("t"), F.col("d"), TURKISH).alias("c")).collect()]
+    last = ["İzmit, Kocaeli, Türkiye", "Izmit, Kocaeli, Turkey", "Kocaeli, Türkiye"]
+    assert got == [["L, Kocaeli, Türkiye", "L, Kocaeli", "Gebze, Kocaeli, Türkiye", *last], last, ["q", *last]]
+
+
+def test_a_long_gazetteer(spark, monkeypatch):
+    names = [(f"yer{i:03}x", "Gebze" if i % 2 else "Izmit") for i in range(40)]
+    gazetteer = spark.createDataFrame(names, "name string, district string")
+    docs = spark.createDataFrame([(1, "yer003x", "yer004x yer005x"), (2, "yok", "yer039x Yer006x Mahallesi")], "doc_id int, title string, body string")
+    read = lambda: {(r.id, r.district): r.score for r in location.district_scores(docs, TURKISH, gazetteer).collect()}
+    whole = read()
+    assert whole == {(1, "Gebze"): 110, (1, "Izmit"): 30, (2, "Gebze"): 30, (2, "Izmit"): 30}
+    monkeypatch.setattr(location, "BROADCAST_NAMES", 7)
+    assert read() == whole and location.extract_location(docs, TURKISH, gazetteer).where("address is not null").first().address.endswith("Yer006x Mahallesi")
