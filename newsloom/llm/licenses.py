@@ -8,6 +8,8 @@ template are gone before a bigram is made, and the bounds of each template prune
 broadcast table of the templates' bigrams, by 64-bit hashes (its size is that of the template list, which is checked), and units meet
 templates only through a bigram they share.
 
+First of all one pass drops documents that hold none of a few rare bigrams of any template (prefix filtering).
+
 Windows. A window that reaches ``t`` shares at least |B| t / (2 - t) distinct bigrams with its template, so only documents
 that share so many with it, wherever they stand, are looked into. There a window as long as the template begins at every
 place where a bigram of the document, set on its first place in the template, says that the template would begin; the
@@ -16,7 +18,7 @@ best window of each document and template counts, of equals the first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import common
@@ -121,6 +123,8 @@ NOTICES = {
 
 #: More template bigrams than this are joined by shuffle.
 BROADCAST_BIGRAMS = 500_000
+#: So many bigrams may stand in the plan itself.
+LITERAL_BIGRAMS = 20_000
 
 
 def unit_words(text: Column) -> Column:
@@ -154,7 +158,9 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, threshold: floa
     notices = NOTICES if notices is None else notices
     listed = spark.createDataFrame(sorted(notices.items()), "license_id string, notice string").select("license_id", unit_words(F.col("notice")).alias("ws"))
     listed = _bigrams(listed, "ws", "grams").withColumn("m", F.size("grams")).where("m > 0")
-    places = listed.select("license_id", "m", F.size("ws").alias("w"), F.posexplode(_pairs("ws")).alias("at", "gram")).groupBy("license_id", "m", "w", "gram").agg(F.min("at").alias("at"))
+    places = listed.select("license_id", "m", "ws", F.size("ws").alias("w"), F.posexplode(_pairs("ws")).alias("at", "gram"))
+    long = F.length(F.get("ws", F.col("at"))) + F.length(F.get("ws", F.col("at") + 1))
+    places = places.withColumn("long", long).groupBy("license_id", "m", "w", "gram").agg(F.min("at").alias("at"), F.max("long").alias("long"))
     lo, hi = _size_bounds(F.col("m"), threshold)
     whole = listed.select("license_id", "grams")
     listed = listed.select("license_id", "grams", "m", lo.alias("lo"), hi.alias("hi"))
@@ -163,7 +169,9 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, threshold: floa
     if (limits[2] or 0) <= BROADCAST_BIGRAMS:
         templates = F.broadcast(templates)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("text_hash", F.xxhash64("text"))
+    base = _likely_documents(base, places, threshold).withColumn("text_hash", F.xxhash64("text"))
+    base = common.materialise(base, "licence-documents")
+    texts = base
     base = base.withColumn("lines", F.split("text", "\n"))
     # No filter stands above a costly column and generators are outer ones: Catalyst would push a filter (or one that it
     # infers) below the column and compute it twice. Units out of bounds become null arrays instead.
@@ -184,11 +192,32 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, threshold: floa
     best = scored.groupBy("doc_id", "text_hash", "unit").agg(F.min_by(F.struct("license_id", "dice", "times"), F.struct(-F.col("dice"), "license_id")).alias("b"))
     key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.lit("|"), F.col("text_hash").cast("string"))
     best = common.materialise(best.select("doc_id", key.alias("key"), "unit", "b.*"), "licence-units")
-    windows = _windows(base.select("doc_id", key.alias("key"), "text"), places, whole, threshold)
+    windows = _windows(texts.select("doc_id", key.alias("key"), "text"), places, whole, threshold)
     found = best.unionByName(windows.join(best.select("key", "license_id").distinct(), ["key", "license_id"], "left_anti"))
     return found.select("doc_id", "unit", "license_id", "dice", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
 
 
+def _likely_documents(docs: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """The documents that may hold a unit or window alike to some template; no other can.
+
+    Whatever reaches the threshold shares ``need`` of a template's m distinct bigrams, so it holds one at least of any
+    m - need + 1 of them. These are taken from the longest, which ordinary prose hardly has; a document without any is
+    gone after one pass over its own bigrams.
+    """
+    need = _size_bounds(F.col("m"), threshold)[0]
+    order = Window.partitionBy("license_id").orderBy(F.desc("long"), "gram")
+    rare = places.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("m") - need + 1).select("gram").distinct()
+    pairs = docs.withColumn("ws", unit_words(F.col("text"))).withColumn("pairs", _pairs("ws"))
+    if rare.count() <= LITERAL_BIGRAMS:
+        listed = [r.gram for r in rare.collect()]
+        found = F.exists("pairs", lambda g: g.isin(*listed)) if listed else F.lit(False)
+        # An outer generator, or the filter would be moved below the columns that it is made of.
+        return pairs.select("doc_id", "text", F.explode_outer(F.array(found)).alias("found")).where("found").drop("found")
+    pairs = common.materialise(pairs.withColumn("mark", F.monotonically_increasing_id()).drop("ws"), "licence-pairs")
+    marks = pairs.select("mark", F.explode_outer("pairs").alias("gram")).join(rare, "gram").select("mark").distinct()
+    return pairs.join(marks, "mark", "left_semi").select("doc_id", "text")
+
+
 def _pairs(words: str) -> Column:
     """64-bit hashes of the word bigrams, in order."""
     pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
@@ -198,34 +227,22 @@ def _pairs(words: str) -> Column:
 def _windows(texts: DataFrame, places: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
     """doc_id, key, unit (-1), license_id, dice, times: the best window of each template in each text.
 
-    ``places``: (license_id, m, w, at, gram), the first place of each bigram of a template of w words. Texts are narrowed
-    to those that share enough bigrams with some template, within the row where the templates are few enough to be
-    broadcast, by a join where they are not.
+    ``places``: (license_id, m, w, at, gram), the first place of each bigram of a template of w words. Only pairs that
+    share enough bigrams, wherever they stand, are looked into.
     """
     places = places.withColumn("need", _size_bounds(F.col("m"), threshold)[0])
-    texts = texts.withColumn("ws", unit_words(F.col("text"))).withColumn("pairs", _pairs("ws"))
     few = places.count() <= BROADCAST_BIGRAMS
     if few:
-        # Decided within the row, against literals: a text that can't hold a window leaves nothing behind.
         places = F.broadcast(places)
-        listed = places.groupBy("license_id", "need").agg(F.collect_list("gram").alias("grams")).orderBy("license_id").collect()
-        known = F.lit(sorted({g for r in listed for g in r.grams})).cast("array<bigint>")
-        shared = F.array_intersect("pairs", known)
-        fits = [F.when(F.size(F.array_intersect(F.lit(r.grams).cast("array<bigint>"), "shared")) >= r.need, F.lit(r.license_id)) for r in listed]
-        least = min((r.need for r in listed), default=1)
-        texts = texts.withColumn("shared", shared).withColumn("likely", F.when(F.size("shared") >= least, F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("array<string>"))
-        texts = texts.where(F.size("likely") > 0)
-        own = texts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("pairs").alias("pairs"), F.first("likely").alias("likely"), F.count("*").cast("int").alias("times"))
-        own = common.materialise(own, "licence-texts")
-        likely = own.select("key", F.explode("likely").alias("license_id"))
-    else:
-        own = texts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("pairs").alias("pairs"), F.count("*").cast("int").alias("times"))
-        counted = own.select("key", F.explode(F.array_distinct("pairs")).alias("gram")).join(places, "gram").groupBy("key", "license_id", "need").agg(F.count("*").alias("both"))
-        likely = counted.where("both >= need").select("key", "license_id")
+    own = texts.withColumn("ws", unit_words(F.col("text"))).select("doc_id", "key", _pairs("ws").alias("pairs"))
+    own = own.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("pairs").alias("pairs"), F.count("*").cast("int").alias("times"))
+    own = common.materialise(own, "licence-texts")
+    counted = own.select("key", F.explode(F.array_distinct("pairs")).alias("gram")).join(places, "gram").groupBy("key", "license_id", "need").agg(F.count("*").alias("both"))
+    likely = common.materialise(counted.where("both >= need").select("key", "license_id").join(own, "key"), "licence-likely")
     keys = ["key", "license_id"]
-    hits = own.select("key", F.posexplode("pairs").alias("pos", "gram")).join(likely, "key").join(places, ["license_id", "gram"])
+    hits = likely.select("key", "license_id", F.posexplode("pairs").alias("pos", "gram")).join(places, ["license_id", "gram"])
     begins = hits.groupBy(*keys, "w", "m").agg(F.collect_set(F.greatest(F.col("pos") - F.col("at"), F.lit(0))).alias("begins"))
-    ready = begins.join(own, "key").join(F.broadcast(templates) if few else templates, "license_id")
+    ready = begins.join(likely, keys).join(F.broadcast(templates) if few else templates, "license_id")
 
     def dice(start: Column) -> Column:
         inside = F.array_distinct(F.slice("pairs", start + 1, F.col("w") - 1))

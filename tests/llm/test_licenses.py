@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from newsloom.llm import licenses
 
 SCHEMA = "doc_id long, text string, unit string, n string"
@@ -42,7 +44,9 @@ def brute(docs, notices, threshold):
     return sorted(out, key=str)
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("literals", [20_000, 3])
+def test_equals_brute_force(spark, monkeypatch, literals):
+    monkeypatch.setattr(licenses, "LITERAL_BIGRAMS", literals)
     docs = [
         (1, "intro\nUSE of this -- text is free, for all people!\nend"),
         (2, "Use of this text is free for most people."),
