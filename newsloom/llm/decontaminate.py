@@ -5,8 +5,9 @@ key is the hash of the window's first four words (its first two or one, if it is
 probes the table inside one generated stage, and a position whose anchor hits compares the whole window word by word.
 Anchors fold case by ``lower``, which no pair of words equal after A-Z folding can tell apart; only confirmed hits fold
 exactly. So documents are scanned once without a shuffle. A sentinel position for each row brings its word count along,
-and all that a document yields is combined before it is shuffled. The broadcast holds at most ``broadcast_windows`` windows; a larger benchmark is split by hash into
-parts of that bound and the documents are scanned once for each part.
+and all that a document yields is combined before it is shuffled. The broadcast holds at most ``broadcast_windows`` windows
+and mentions of items for each length of anchors; windows beyond that meet the documents' positions in one shuffle on
+the hash of the whole window.
 """
 
 from __future__ import annotations
@@ -55,6 +56,46 @@ def _with_anchors(df: DataFrame, words: str, length: int, out: str) -> DataFrame
     return df
 
 
+def _with_hashes(df: DataFrame, words: str, n: int, out: str) -> DataFrame:
+    """Add for each position the hash of the ``n`` words from there on, put together from runs of 1, 2, 4, ... words.
+
+    The last positions, which have fewer words, hash what there is.
+    """
+    df, level, sizes = df.withColumn("_h1", F.transform(words, _word_hash)), 1, [1]
+    while 2 * level <= n:
+        half = F.col(f"_h{level}")
+        df = df.withColumn(f"_h{2 * level}", F.zip_with(half, F.slice(half, level + 1, F.size(half)), lambda x, y: F.xxhash64(x, y)))
+        level *= 2
+        sizes.append(level)
+    df, upto = df.withColumn(out, F.col(f"_h{level}")), level
+    for size in reversed(sizes[:-1]):
+        if n - upto >= size:
+            part = F.col(f"_h{size}")
+            df = df.withColumn(out, F.zip_with(out, F.slice(part, upto + 1, F.size(part)), lambda x, y: F.xxhash64(x, y)))
+            upto += size
+    return df.drop(*[f"_h{x}" for x in sizes])
+
+
+def _shuffled_hits(base: DataFrame, wins: DataFrame) -> DataFrame:
+    """Hits of windows too many to broadcast: one shuffle of position hashes for each length that windows have.
+
+    Whole windows are hashed, so a position meets one window at most (but for collisions), however many begin alike; a
+    passage that many documents share makes long groups of one key on the documents' side only, which AQE splits. Hits
+    are then compared word by word.
+    """
+    found = None
+    keyed = base.withColumn("key", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("none"), F.coalesce("text_hash", F.lit(0)).alias("hash")))
+    for n in sorted(r.n for r in wins.select(F.size("win").alias("n")).distinct().collect()):  # at most as many as a window has words
+        of = _with_hashes(wins.where(F.size("win") == n).select("win", "items"), "win", n, "hs").select("win", "items", F.element_at("hs", 1).alias("h"))
+        spots = _with_hashes(keyed.where(F.size("ws") >= n), "ws", n, "hs").select("key", F.posexplode(F.slice("hs", 1, F.size("ws") - n + 1)).alias("pos", "h"))
+        near = spots.join(of, "h").select("key", "pos", "win", "items")
+        found = near if found is None else found.unionByName(near)
+    found = common.materialise(found, "hits")
+    words = keyed.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    both = found.join(words, "key").where(F.slice(folded(F.col("ws")), F.col("pos") + 1, F.size("win")) == F.col("win"))
+    return both.select("doc_id", "text_hash", F.struct("pos", (F.col("pos") + F.size("win")).alias("end")).alias("span"), "items", F.lit(None).cast("int").alias("n_words"))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """anchor, a (its length), win (array of words), items (array of ids as strings): one row per distinct window."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), folded(raw_words(F.col(text_col).cast("string"))).alias("ws"))
@@ -88,15 +129,13 @@ def contamination(
     spark = docs.sparkSession
     wins = common.materialise(benchmark_windows(benchmark, window), "windows")
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), raw_words(F.col(text_col).cast("string")).alias("ws"))
-    lengths = {r.a: r.n for r in wins.groupBy("a").agg(F.count("*").alias("n")).collect()}  # three rows at most
+    lengths = {r.a: r.n for r in wins.groupBy("a").agg(F.sum(F.size("items") + 1).alias("n")).collect()}  # three rows at most
     # The sentinel: an anchor of its own that matches an empty window, once in each row, in the first pass only.
     sentinel = spark.range(1).select(F.lit(_SENTINEL).alias("anchor"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
-    passes = [(a, part, -(-n // broadcast_windows)) for a, n in sorted(lengths.items(), reverse=True) for part in range(-(-n // broadcast_windows))] or [(4, 0, 1)]
+    many = [a for a, n in lengths.items() if n > broadcast_windows]
     hits = None
-    for turn, (a, part, parts) in enumerate(passes):
-        of = wins.where(F.col("a") == a).drop("a")
-        if parts > 1:
-            of = of.where(F.pmod(F.xxhash64("anchor"), F.lit(parts)) == part)
+    for turn, a in enumerate(sorted(set(lengths) - set(many), reverse=True) or [4]):
+        of = wins.where(F.col("a") == a).where(~F.col("a").isin(*many)).drop("a") if many else wins.where(F.col("a") == a).drop("a")
         anchored = _with_anchors(base, "ws", a, "anchors")
         if turn == 0:
             of, anchored = of.unionByName(sentinel), anchored.withColumn("anchors", F.array_append("anchors", F.lit(_SENTINEL)))
@@ -113,6 +152,8 @@ def contamination(
             F.when(~real, F.size("ws")).alias("n_words"),
         )
         hits = found if hits is None else hits.unionByName(found)
+    if many:
+        hits = hits.unionByName(_shuffled_hits(base, wins.where(F.col("a").isin(*many))))
     # All that one pass finds in a document lies in one task, so it is combined before the shuffle.
     merged = hits.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("span")).alias("spans"),
