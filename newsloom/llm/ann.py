@@ -10,6 +10,8 @@ Search. Equal vectors are one class with its least ids, so copies cannot fill a
 blocks; a task scans one block of codes for one block of queries with byte tables (two subspaces at a time), takes the
 best ``rerank`` of the block for each query, and scores them exactly on the original vectors in double precision. What
 leaves a task are ``k`` classes a query, and a window keeps the best over the blocks. Memory is bounded by the blocks.
+The data are sent once for each block of ``query_block`` queries. The space isn't partitioned: on directions without
+clusters a probe of half the cells finds nine in ten (README).
 """
 
 from __future__ import annotations
@@ -179,7 +181,7 @@ def search(
     width: int = 2,
     rerank: int = 400,
     block: int = 8192,
-    query_block: int = 2048,
+    query_block: int = 16384,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -193,8 +195,12 @@ def search(
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
 
+    # Vectors travel as they are stored, and are widened to double where they are multiplied.
+    stored = {df.schema[vector_col].dataType.simpleString() for df in (vectors, queries)}
+    kind = "array<float>" if stored == {"array<float>"} else "array<double>"
+
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col).cast("array<double>")
+        v = F.col(vector_col).cast(kind)
         df = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where("id is not null and vector is not null and size(vector) > 0")
         good = ~F.exists("vector", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
         return df.where(F.coalesce(good, F.lit(False)) & F.exists("vector", lambda c: c != 0))
@@ -216,7 +222,7 @@ def search(
         few = classes.select("vector").limit(sample).toPandas()
     x = np.pad(np.array(few["vector"].tolist(), np.float64), ((0, 0), (0, pad)))
     books = spark.sparkContext.broadcast(fit(x, width))
-    coded = classes.mapInPandas(_encode(books, pad), "class long, ids array<long>, vector array<double>, codes binary")
+    coded = classes.mapInPandas(_encode(books, pad), f"class long, ids array<long>, vector {kind}, codes binary")
     asked = usable(queries).where(F.size("vector") == dims).withColumn("q_class", F.xxhash64("vector")).dropDuplicates(["id", "q_class"]).select(F.col("id").alias("query_id"), "q_class", F.col("vector").alias("q_vector"))
     asked = common.materialise(asked, "ann-queries")
     db, qb = max(1, -(-n // block)), max(1, -(-asked.count() // query_block))
