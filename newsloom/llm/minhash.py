@@ -388,3 +388,23 @@ def _labelled(keys: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of ``documents`` by word 4-shingles at similarity 0.8."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=4)
+
+
+#: The same in DuckDB: every pair that shares a shingle, on full sets.
+OP7_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) END AS shingles FROM docs),
+sized AS (SELECT doc_id, shingles, len(shingles)::BIGINT AS n FROM sets),
+each AS (SELECT doc_id, n, unnest(shingles) AS shingle FROM sized),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM each x JOIN each y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_id AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(least, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(least, s.doc_id)) AS kept
+FROM sized s LEFT JOIN least_id USING (doc_id)
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.OP4_SQL, "op8_mixing": mixing.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op4_licenses": licenses.OP4_SQL, "op7_minhash": minhash.OP7_SQL, "op8_mixing": mixing.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
