@@ -41,10 +41,18 @@ def sentences(content: Column) -> Column:
     return F.when(F.length(text) >= 25, named).otherwise(F.filter(named, lambda _: F.lit(False)))
 
 
-def lexical_similarity(title: Column, sentence: Column) -> Column:
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: F.length(w) > 2))
+
+
+def _given(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often a lambda names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def lexical_similarity(title_words: Column, sentence: Column) -> Column:
     """Share of the title's words that a sentence has: a stand-in where no embeddings are at hand."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda w: F.length(w) > 2))
-    return F.size(F.array_intersect(words(title), words(sentence))) / F.greatest(F.size(words(title)), F.lit(1))
+    return F.size(F.array_intersect(title_words, _words(sentence))) / F.greatest(F.size(title_words), F.lit(1))
 
 
 def scores(title: Column, listed: Column, similarity: Column | None = None) -> Column:
@@ -52,14 +60,19 @@ def scores(title: Column, listed: Column, similarity: Column | None = None) -> C
 
     ``similarity`` is an array for the sentences, from an embedding provider; without it words are compared.
     """
-    near = (lambda s, i: F.get(similarity, i)) if similarity is not None else (lambda s, i: lexical_similarity(title, s))
-    total = lambda s, i: near(s, i) * 0.55 + F.lit(1.0) / (F.lit(1.0) + i * 0.25) * 0.30 + F.least(F.length(s) / 150, F.lit(1.0)) * 0.15
-    return F.transform(listed, lambda s, i: total(s, i) * F.when(s.rlike(POLICE), 0.22).otherwise(1.0))
+
+    def marked(given: Column) -> Column:
+        near = (lambda s, i: F.get(given, i)) if similarity is not None else (lambda s, i: lexical_similarity(given, s))
+        total = lambda s, i: near(s, i) * 0.55 + F.lit(1.0) / (F.lit(1.0) + i * 0.25) * 0.30 + F.least(F.length(s) / 150, F.lit(1.0)) * 0.15
+        return F.transform(listed, lambda s, i: total(s, i) * F.when(s.rlike(POLICE), 0.22).otherwise(1.0))
+
+    return _given(_words(title) if similarity is None else similarity, marked)
 
 
 def top_sentences(listed: Column, marks: Column, n: int = 3) -> Column:
     """The n best by score (of equals the earlier) in the order of the text."""
-    ranked = F.array_sort(F.transform(listed, lambda s, i: F.struct((-F.get(marks, i)).alias("m"), i.alias("i"), s.alias("s"))))
+    both = F.arrays_zip(listed.alias("s"), marks.alias("m"))
+    ranked = F.array_sort(F.transform(both, lambda x, i: F.struct((-x["m"]).alias("m"), i.alias("i"), x["s"].alias("s"))))
     kept = F.array_sort(F.transform(F.slice(ranked, 1, n), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
     return F.transform(kept, lambda x: x["s"])
 

@@ -521,14 +521,51 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- summaries ------------------------------------------------------------------------------------------------------
 
 
-@query("sentence_split")
+def _re2(pattern: str) -> str:
+    """A pattern of the summaries as DuckDB takes it, quoted."""
+    for flags, own in (("(?iuUd)", "(?i)"), ("(?U)", ""), (r"\w", r"[\p{L}\p{M}\p{N}_]")):
+        pattern = pattern.replace(flags, own)
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_UPPER = "A-ZÇĞİÖŞÜ"
+_SENTENCES = f"""arts AS ({_ARTICLES}),
+lines AS (SELECT doc_id, title, list_filter(list_transform(string_split(coalesce(body, ''), chr(10)), lambda x: {_TRIM.format("x")}),
+  lambda x: length(x) >= 12 AND NOT regexp_matches(x, {_re2(summaries.JUNK)}) AND NOT (regexp_matches(x, {_re2(summaries.BOILERPLATE)}) AND length(x) < 120)) AS ls FROM arts),
+texts AS (SELECT doc_id, title, array_to_string(ls, ' ') AS tx FROM lines),
+raw AS (SELECT doc_id, title, tx, list_filter(list_transform(string_split(regexp_replace(tx, '([.!?…])[\\s\\p{{Z}}]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format("x")}),
+  lambda x: length(x) >= 20 AND NOT regexp_matches(x, {_re2(summaries.JUNK)})
+    AND NOT (length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) > 0 AND length(regexp_replace(x, '[^\\p{{Lu}}]', '', 'g')) > 0.65 * length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) AND length(x) < 120)) AS ss FROM texts),
+cut AS (SELECT doc_id, title, tx, list_filter(list_transform(list_transform(ss, lambda x: {_TRIM.format(f"regexp_replace(x, {_re2(summaries.FILLER)}, '')")}),
+  lambda x: {_TRIM.format(f"regexp_replace(x, '^[{_UPPER}0-9" + chr(92) + "s,;:''" + chr(34) + "]{8,60}?" + chr(92) + f"s+([{_UPPER}][a-zçğıöşü])', '" + chr(92) + "1')")}), lambda x: length(x) >= 20) AS ss FROM raw),
+listed AS (SELECT doc_id, title, CASE WHEN length(tx) >= 25 THEN list_transform(ss, lambda x: upper(x[1]) || x[2:]) ELSE [] END AS ss FROM cut)"""
+
+
+@query("sentence_split", f"WITH {_SENTENCES} SELECT doc_id, (unnest(range(len(ss))))::INTEGER AS pos, unnest(ss) AS sentence FROM listed")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("doc_id", F.posexplode_outer(summaries.sentences(F.col("body"))).alias("pos", "sentence")).where("sentence is not null")
 
 
+_TITLE_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: length(w) > 2))"
+
+
+@query("top_sentences", f"""WITH {_SENTENCES}, each AS (SELECT doc_id, title, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM listed),
+near AS (SELECT *, len(list_intersect({_TITLE_WORDS.format("title")}, {_TITLE_WORDS.format("s")}))::DOUBLE / greatest(len({_TITLE_WORDS.format("title")}), 1)::DOUBLE AS sim FROM each),
+marked AS (SELECT *, (sim * 0.55::DOUBLE + 1.0::DOUBLE / (1.0::DOUBLE + i * 0.25::DOUBLE) * 0.30::DOUBLE + least(length(s)::DOUBLE / 150.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)
+  * CASE WHEN regexp_matches(s, {_re2(summaries.POLICE)}) THEN 0.22::DOUBLE ELSE 1.0::DOUBLE END AS mark FROM near),
+best AS (SELECT * FROM marked QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mark DESC, i) <= 3)
+SELECT doc_id, string_agg(s, ' | ' ORDER BY i) AS best FROM best GROUP BY doc_id""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # An outer generator, or the filter would be moved below the sentences and make them twice.
+    listed = articles(spark, sf_dir).select("doc_id", "title", F.explode_outer(F.array(summaries.sentences(F.col("body")))).alias("listed")).where(F.size("listed") > 0)
+    best = summaries.top_sentences(F.col("listed"), summaries.scores(F.col("title"), F.col("listed")))
+    return listed.select("doc_id", F.array_join(best, " | ").alias("best"))
+
+
 @query("summary")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = articles(spark, sf_dir).withColumn("listed", summaries.sentences(F.col("body")))
+    listed = articles(spark, sf_dir).select("doc_id", "title", "body", F.explode_outer(F.array(summaries.sentences(F.col("body")))).alias("listed"))
     return listed.select("doc_id", summaries.summary(F.col("title"), F.col("body"), F.col("listed")).alias("summary"))
 
 
