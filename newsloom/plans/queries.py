@@ -581,7 +581,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("doc_id", F.array_join(best, " | ").alias("best"))
 
 
-@query("summary")
+def _cut(text: str) -> str:
+    """Whole words up to 396 characters and three dots, in DuckDB."""
+    words = f"trim(regexp_replace({text}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+    kept = f"(CASE WHEN length({words}) <= 396 THEN {words} WHEN substr({words}, 397, 1) = ' ' THEN substr({words}, 1, 396) WHEN contains(substr({words}, 1, 396), ' ') THEN regexp_replace(substr({words}, 1, 396), ' [^ ]*$', '') ELSE substr({text}, 1, 396) END)"
+    return f"(regexp_replace({kept}, '[,;: ]+$', '') || '...')"
+
+
+_ENDED = r"regexp_replace(regexp_replace({}, '[\s\p{{Z}}]+[A-ZÇĞİÖŞÜ]\.[\s\p{{Z}}]*$', '...'), '[\s\p{{Z}}]+[A-ZÇĞİÖŞÜ]\.[A-ZÇĞİÖŞÜ]\.[\s\p{{Z}}]*$', '...')".format(_TRIM.format("tx"))
+
+
+@query("summary", f"""WITH {_SENTENCES}, each AS (SELECT doc_id, title, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM listed),
+near AS (SELECT *, len(list_intersect({_TITLE_WORDS.format("title")}, {_TITLE_WORDS.format("s")}))::DOUBLE / greatest(len({_TITLE_WORDS.format("title")}), 1)::DOUBLE AS sim FROM each),
+marked AS (SELECT *, (sim * 0.55::DOUBLE + 1.0::DOUBLE / (1.0::DOUBLE + i * 0.25::DOUBLE) * 0.30::DOUBLE + least(length(s)::DOUBLE / 150.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)
+  * CASE WHEN regexp_matches(s, {_re2(summaries.POLICE)}) THEN 0.22::DOUBLE ELSE 1.0::DOUBLE END AS mark FROM near),
+top3 AS (SELECT doc_id, list(s ORDER BY i) AS b FROM (SELECT * FROM marked QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mark DESC, i) <= 3) GROUP BY doc_id),
+s1 AS (SELECT doc_id, b, CASE WHEN length(b[1]) <= 400 THEN b[1] ELSE {_cut("b[1]")} END AS t1, length(b[1]) > 400 AS d1 FROM top3),
+s2 AS (SELECT *, CASE WHEN NOT d1 AND len(b) > 1 AND length(t1 || ' ' || b[2]) <= 400 THEN t1 || ' ' || b[2] ELSE t1 END AS t2, d1 OR (len(b) > 1 AND length(t1 || ' ' || b[2]) > 400) AS d2 FROM s1),
+s3 AS (SELECT doc_id, CASE WHEN NOT d2 AND len(b) > 2 AND length(t2 || ' ' || b[3]) <= 400 THEN t2 || ' ' || b[3] ELSE t2 END AS t3 FROM s2),
+few AS (SELECT doc_id, len(ss) AS n, array_to_string(ss, ' ') AS joined FROM listed),
+chosen AS (SELECT doc_id, CASE WHEN n <= 2 THEN CASE WHEN length(joined) > 400 THEN {_cut("joined")} ELSE joined END ELSE t3 END AS tx FROM few JOIN s3 USING (doc_id) WHERE n > 0),
+ended AS (SELECT doc_id, {_ENDED} AS tx FROM chosen)
+SELECT a.doc_id, CASE WHEN e.tx IS NULL OR length({_TRIM.format("coalesce(a.body, '')")}) < 25 THEN '' WHEN e.tx = '' OR regexp_matches(e.tx, '[.!?…]$') THEN e.tx ELSE regexp_replace(e.tx, '[,;: ]+$', '') || '...' END AS summary
+FROM arts a LEFT JOIN ended e USING (doc_id)""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = articles(spark, sf_dir).select("doc_id", "title", "body", F.explode_outer(F.array(summaries.sentences(F.col("body")))).alias("listed"))
     return listed.select("doc_id", summaries.summary(F.col("title"), F.col("body"), F.col("listed")).alias("summary"))
