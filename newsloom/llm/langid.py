@@ -236,7 +236,7 @@ def train(labelled: DataFrame, sample_per_language: int = 1500, most: int = 256,
     return Model(languages, counts)
 
 
-def _predict_batches(model_ref, penalty: float, added: list[str], cut_chars: int = 2_000_000):
+def _predict_batches(model_ref, penalty: float, added: list[str], cut_chars: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = model_ref.value
         table = WordTable(model)
