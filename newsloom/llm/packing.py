@@ -17,6 +17,7 @@ executor leaves one whole file. A manifest of one row per shard goes back to the
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -162,18 +163,42 @@ class _ChunkIds(dict):
         return ids
 
 
+#: How a tokenizer writes its pieces whose splitter drops white space and whose words are lower-cased bytes.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def splits_at_white_space(path: str) -> bool:
+    """Whether a tokenizer's own file says that its ids of a text are those of the text's chunks between white space.
+
+    Only the one form of files is known for which this was tested; of any other the answer is no.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}
+    letters = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return letters and steps[0] == split and (spec.get("normalizer") or {}).get("normalizers") == _WORD_NORMALISER and spec.get("post_processor") is None and spec["model"].get("type") == "BPE"
+
+
 class Encoder:
     """Ids of a text through the tokenizers library.
 
-    ``by_chunk`` may be set where no token of the tokenizer spans white space and white space itself has no token: the
+    Without ``by_chunk`` and ``plain`` the tokenizer's own file decides; set, they are refused where it does not allow them.
+    ``by_chunk`` is for tokenizers of which no token spans white space and white space itself has no token: the
     ids of a text are then those of its chunks, one after another. Chunks split at ASCII white space only; any other
-    white space stays inside a chunk, for the library to see. ``plain`` may be set, too, where the tokenizer lower-cases,
-    keeps runs of letters and runs of punctuation apart and maps bytes to letters.
+    white space stays inside a chunk, for the library to see. ``plain`` is for those that, too, lower-case,
+    keep runs of letters and runs of punctuation apart and map bytes to letters.
     """
 
-    def __init__(self, path: str, by_chunk: bool, end_id: int, plain: bool = True, limit: int = 700_000):
+    def __init__(self, path: str, by_chunk: bool | None, end_id: int, plain: bool | None = None, limit: int = 700_000):
         from tokenizers import Tokenizer
 
+        fit = splits_at_white_space(path)
+        if (by_chunk or plain) and not fit:
+            raise ValueError(f"{path} doesn't say that its ids are those of chunks between white space")
+        by_chunk, plain = (fit if x is None else x for x in (by_chunk, plain))
+
         self._tokenizer = Tokenizer.from_file(path)
         self.vocabulary = max(self._tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
@@ -236,7 +261,7 @@ def _write_shards(folder: str, block: int, file_ids: int):
     return run
 
 
-def _encode_batches(tokenizer: str, by_chunk: bool, end_id: int, bounds: list[int], cut: int = 512):
+def _encode_batches(tokenizer: str, by_chunk: bool | None, end_id: int, bounds: list[int], cut: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -290,7 +315,7 @@ def write_tokens(
     tokenizer: str,
     folder: str,
     end_id: int = 1,
-    by_chunk: bool = False,
+    by_chunk: bool | None = None,
     shards: int | None = None,
     block: int = 4096,
     file_ids: int = 1 << 25,
@@ -324,7 +349,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[tuple[int, int,
     return listed.mapInArrow(_read_shards(folder), schema)
 
 
-def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, by_chunk: bool = True, **options) -> DataFrame:
+def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, by_chunk: bool | None = None, **options) -> DataFrame:
     """Write to a new folder in the shared one, then read the files back."""
     folder = common.scratch_path(docs.sparkSession, "tokens")
     return read_tokens(docs.sparkSession, folder, write_tokens(docs, tokenizer, folder, end_id, by_chunk, **options))

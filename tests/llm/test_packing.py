@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +73,16 @@ def test_chunks_equal_whole_texts():
     encoder = packing.Encoder(packing.tokenizer_path(), True, 1, limit=3000)
     for text, got in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(got, encoder.dtype)[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_only_a_fitting_tokenizer_goes_by_chunks():
+    words, whole = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.splits_at_white_space(words) and not packing.splits_at_white_space(whole)
+    with pytest.raises(ValueError):
+        packing.Encoder(whole, True, 1)
+    from tokenizers import Tokenizer
+
+    text = "Two  words,\nand MORE: don't\t99 Élan "
+    for path in (words, whole):
+        got = packing.Encoder(path, None, 1)
+        assert np.frombuffer(got.encode([text])[0], got.dtype).tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
