@@ -26,23 +26,42 @@ class Source:
 TURKISH_SOURCES = (
     Source(
         "cagdaskocaeli", "Çağdaş Kocaeli", "https://www.cagdaskocaeli.com.tr", r"/haber/\d+/[^\s]+",
-        tuple(f"kocaeli-{x}-haberleri" for x in ("trafik", "yangin", "asayis", "gundem", "ekonomi", "siyaset", "yasam", "spor", "egitim", "son-dakika", "kultur-sanat")),
+        (
+            "kocaeli-trafik-haberleri", "kocaeli-yangin-haberleri", "kocaeli-asayis-haberleri", "kocaeli-gundem-haberleri",
+            "kocaeli-ekonomi-haberleri", "kocaeli-siyaset-haberleri", "kocaeli-yasam-haberleri", "kocaeli-spor-haberleri", "kocaeli-egitim-haberleri",
+            "kocaeli-son-dakika-haberleri", "kocaeli-kultur-sanat-haberleri",
+        ),
     ),
     Source(
         "ozgurkocaeli", "Özgür Kocaeli", "https://www.ozgurkocaeli.com.tr", r"/haber/\d+/[^\s]+",
-        tuple(f"kocaeli-{x}-haberleri" for x in ("trafik", "yangin", "yasam", "gundem", "asayis", "spor", "ekonomi", "siyaset", "egitim", "kultur-sanat")),
+        (
+            "kocaeli-trafik-haberleri", "kocaeli-yangin-haberleri", "kocaeli-yasam-haberleri", "kocaeli-gundem-haberleri", "kocaeli-asayis-haberleri",
+            "kocaeli-spor-haberleri", "kocaeli-ekonomi-haberleri", "kocaeli-siyaset-haberleri", "kocaeli-egitim-haberleri",
+            "kocaeli-kultur-sanat-haberleri",
+        ),
     ),
     Source(
         "seskocaeli", "Ses Kocaeli", "https://www.seskocaeli.com", r"/haber/\d+/[^\s]+|/[a-z-]+-\d+\.html",
-        tuple(f"kocaeli-{x}-haberleri" for x in ("trafik", "yangin", "asayis", "son-dakika", "gundem", "yasam", "spor", "ekonomi", "egitim", "kultur-sanat")),
+        (
+            "kocaeli-trafik-haberleri", "kocaeli-yangin-haberleri", "kocaeli-asayis-haberleri", "kocaeli-son-dakika-haberleri",
+            "kocaeli-gundem-haberleri", "kocaeli-yasam-haberleri", "kocaeli-spor-haberleri", "kocaeli-ekonomi-haberleri", "kocaeli-egitim-haberleri",
+            "kocaeli-kultur-sanat-haberleri",
+        ),
     ),
     Source(
         "yenikocaeli", "Yeni Kocaeli", "https://www.yenikocaeli.com", r"/haber/[^/]+/[^/]+/\d+\.html",
-        ("haber/guncel", "haber/kocaeli", *(f"haber/{x}.html" for x in ("yasam", "kultur", "egitim", "spor", "asayis", "trafik", "yangin", "enerji", "ekonomi", "siyaset", "magazin"))),
+        (
+            "haber/guncel", "haber/kocaeli", "haber/yasam.html", "haber/kultur.html", "haber/egitim.html", "haber/spor.html", "haber/asayis.html",
+            "haber/trafik.html", "haber/yangin.html", "haber/enerji.html", "haber/ekonomi.html", "haber/siyaset.html", "haber/magazin.html",
+        ),
     ),
     Source(
         "bizimyaka", "Bizim Yaka", "https://www.bizimyaka.com", r"/haber/\d+/[^\s]+",
-        tuple(f"kocaeli-{x}-haberleri" for x in ("trafik", "yangin", "asayis", "egitim", "spor", "ekonomi", "siyaset", "son-dakika", "yasam", "gundem", "kultur-sanat")),
+        (
+            "kocaeli-trafik-haberleri", "kocaeli-yangin-haberleri", "kocaeli-asayis-haberleri", "kocaeli-egitim-haberleri", "kocaeli-spor-haberleri",
+            "kocaeli-ekonomi-haberleri", "kocaeli-siyaset-haberleri", "kocaeli-son-dakika-haberleri", "kocaeli-yasam-haberleri",
+            "kocaeli-gundem-haberleri", "kocaeli-kultur-sanat-haberleri",
+        ),
     ),
 )
 
