@@ -31,6 +31,7 @@ def try_parse(text: Column, months: dict[str, int] | None = None) -> Column:
     whole = F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?$", 0)
     exact = F.try_to_timestamp(F.when(whole != "", F.regexp_replace(F.regexp_replace(F.replace(whole, F.lit(" "), F.lit("T")), r"([+-]\d{2})(\d{2})$", "$1:$2"), "Z$", "+00:00")))
     parts = lambda pattern, groups: _stamp(*[_part(text, pattern, g) for g in groups])
+    # Day.month.year and day, month name, year, as articles write them.
     dot = r"(\d{1,2})\.(\d{1,2})\.(\d{4})(?:\s+(\d{1,2}):(\d{1,2}))?"
     word = r"(?iu)(\d{1,2})\s+([a-zA-ZğüşıöçĞÜŞİÖÇ]+)\s+(\d{4})(?:\s+(\d{1,2}):(\d{1,2}))?"
     table = F.create_map(*[F.lit(x) for kv in (months or MONTHS).items() for x in kv])
