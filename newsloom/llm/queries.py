@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from newsloom.llm import ann, decontaminate, langid, licenses, lm, minhash, mixing, packing, quality, unigram
+from newsloom.llm import ann, codes, decontaminate, langid, licenses, lm, minhash, mixing, packing, quality, setjoin, spelling, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_packing": packing.op10_packing,
+        "op11_jaccard": setjoin.op11_jaccard,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_codes": codes.op13_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.OP4_SQL, "op7_minhash": minhash.OP7_SQL, "op8_mixing": mixing.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {
+        "op4_licenses": licenses.OP4_SQL,
+        "op7_minhash": minhash.OP7_SQL,
+        "op8_mixing": mixing.OP8_SQL,
+        "op9_decontaminate": decontaminate.OP9_SQL,
+        "op11_jaccard": setjoin.OP11_SQL,
+        "op12_spelling": spelling.OP12_SQL,
+        "op13_codes": codes.OP13_SQL,
+    }
