@@ -11,6 +11,7 @@ as rows, and Spark reduces them to counts and the best form of each word.
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -186,7 +187,7 @@ def _shard_batches(shard: int):
 
         def made() -> pa.RecordBatch:
             t = Trie(held)
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([pickle.dumps((t.edges, t.ends), -1)], pa.binary())], ["first", "trie"])
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([len(held)], pa.int64()), pa.array([pickle.dumps((t.edges, t.ends), -1)], pa.binary())], ["first", "words", "trie"])
 
         for batch in batches:
             for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -200,13 +201,25 @@ def _shard_batches(shard: int):
     return run
 
 
-def _near_batches(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The tries of the wave that a Python worker has last seen, so that its next tasks need not load them again.
+_loaded: dict[str, list[Trie]] = {}
+
+
+def _tries(sent, wave: str) -> list[Trie]:
+    if wave not in _loaded:
+        _loaded.clear()
         tries = []
         for blob in sent.value:
             t = Trie([])
             t.edges, t.ends = pickle.loads(blob)
             tries.append(t)
+        _loaded[wave] = tries
+    return _loaded[wave]
+
+
+def _near_batches(sent, wave: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries = _tries(sent, wave)
         for batch in batches:
             word, near, near_n = [], [], []
             for w in batch.column(0).to_pylist():
@@ -220,27 +233,35 @@ def _near_batches(sent):
     return run
 
 
-def neighbours(words: DataFrame, shard: int = 16_384, wave: int = 8) -> DataFrame:
+def neighbours(words: DataFrame, shard: int = 65_536, wave: int = 131_072, task: int = 8_192) -> DataFrame:
     """word, near, near_n: all pairs of words (word, n) that differ by one inserted, deleted or replaced code point.
 
-    Words may hold any code points; rows without a word are left out, an empty table gives none. A broadcast holds ``wave``
-    shards of ``shard`` words at most and is gone before the next; a longer vocabulary takes more waves.
+    Words may hold any code points; rows without a word are left out, an empty table gives none. A broadcast holds the
+    tries of ``wave`` words at most and is gone before the next; a longer vocabulary takes more waves. A task asks for the
+    neighbours of about ``task`` words.
     """
     spark = words.sparkSession
     words = common.materialise(words.where("word is not null").select("word", "n"), "words")
-    parts = common.partitions(spark)
-    ordered = words.repartitionByRange(parts, "word").sortWithinPartitions("word")
-    shards = common.materialise(ordered.mapInArrow(_shard_batches(shard), "first string, trie binary"), "shards")
-    # The list of shards (a word for each 16,384) says which ones make a wave.
-    firsts = sorted(r.first for r in shards.select("first").collect())
-    dealt = words.repartition(4 * parts).select("word")
-    waves = []
-    for at in range(0, max(1, len(firsts)), wave):
-        sent = spark.sparkContext.broadcast([r.trie for r in shards.where(F.col("first").isin(firsts[at : at + wave])).select("trie").collect()])
-        waves.append(common.materialise(dealt.mapInArrow(_near_batches(sent), "word string, near string, near_n long"), "near"))
+    many = words.count()
+    # Few ranges, however many partitions the session makes of them.
+    ranges = -(-many // shard) or 1
+    ordered = words.repartitionByRange(ranges, "word").coalesce(ranges).sortWithinPartitions("word")
+    shards = common.materialise(ordered.mapInArrow(_shard_batches(min(shard, wave)), "first string, words long, trie binary"), "shards")
+    waves, held = [[]], 0
+    # The list of shards, a row for many thousand words each, says which ones make a wave.
+    for r in sorted(shards.select("first", "words").collect()):
+        if waves[-1] and held + r.words > wave:
+            waves.append([])
+            held = 0
+        waves[-1].append(r.first)
+        held += r.words
+    dealt, found = words.repartition(-(-many // task) or 1).select("word"), []
+    for firsts in waves:
+        sent = spark.sparkContext.broadcast([r.trie for r in shards.where(F.col("first").isin(firsts)).select("trie").collect()])
+        found.append(common.materialise(dealt.mapInArrow(_near_batches(sent, uuid.uuid4().hex), "word string, near string, near_n long"), "near"))
         sent.destroy()
     common.release(shards)
-    return reduce(DataFrame.unionByName, waves)
+    return reduce(DataFrame.unionByName, found)
 
 
 def spelling_forms(words: DataFrame, ratio: int = 5, **options) -> DataFrame:

@@ -78,8 +78,8 @@ def test_forms_chains_and_ties(spark):
     assert got == want
     by = {r[0]: r for r in got}
     assert by["banana"][2] == "bananassy" and by["cherrx"][1] == "cherre" and by["single"][1] is None and by["double"][1] == "doubl"
-    # Shards of three words, a wave for each two of them.
-    assert forms_of(spelling.spelling_forms(df, shard=3, wave=2)) == want
+    # Shards of three words at most, waves of six.
+    assert forms_of(spelling.spelling_forms(df, shard=3, wave=6, task=4)) == want
     assert forms_of(spelling.spelling_forms(df.limit(0))) == []
 
 
