@@ -86,34 +86,122 @@ def keyword_matches(hits: DataFrame) -> DataFrame:
     return hits.groupBy("id", "category").agg(F.count_distinct("keyword").alias("n"), F.sort_array(F.collect_set("keyword")).alias("keywords"))
 
 
-def _guard(rule: Rule) -> Column:
-    column = F.col({"text": "_t", "title": "_tt", "url": "_u"}[rule.field])
-    hold = [column.rlike("(?dU)" + p) for p in rule.must] + [~column.rlike("(?dU)" + p) for p in rule.must_not]
-    hold += [~(F.col("_t").rlike("(?dU)" + a) & ~F.col("_t").rlike("(?dU)" + b)) for a, b in rule.unless]
-    return reduce(lambda a, b: a & b, hold)
+#: Characters that mean something in a pattern.
+_SPECIAL = "\\.[]{}()*+?|^$"
+
+
+def _close(pattern: str, at: int) -> int:
+    """The place of the parenthesis or bracket that closes the one at ``at``."""
+    if pattern[at] == "[":
+        return pattern.index("]", at + 2)
+    depth = 0
+    while True:
+        if pattern[at] == "\\":
+            at += 1
+        elif pattern[at] == "[":
+            at = _close(pattern, at)
+        else:
+            depth += (pattern[at] == "(") - (pattern[at] == ")")
+        if not depth:
+            return at
+        at += 1
+
+
+def needed(pattern: str) -> list[str] | None:
+    """Literals of which any match of the pattern holds at least one; None if that can't be told."""
+    runs: list[list[str]] = [[]]  # of each alternative, the choices of literals that a match of it needs
+    run, at, out = "", 0, []
+
+    def end(choice: list[str] | None = None) -> None:
+        nonlocal run
+        if run:
+            runs[-1].append([run])
+        if choice:
+            runs[-1].append(choice)
+        run = ""
+
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "|":
+            end()
+            runs.append([])
+            at += 1
+            continue
+        inner: list[str] | None = None
+        stop = at
+        if c == "(":
+            stop = _close(pattern, at)
+            body = pattern[at + 1 : stop]
+            inner = None if body[:2] in ("?=", "?!", "?<") else needed(body.removeprefix("?:"))
+        elif c == "[":
+            stop = _close(pattern, at)
+        elif c == "\\":
+            stop = at + 1
+        after = pattern[stop + 1 : stop + 2]
+        optional = after in ("?", "*") or pattern[stop + 1 : stop + 3] == "{0"
+        if c in _SPECIAL or optional:
+            end(None if optional else inner)
+        else:
+            run += c
+        at = stop + 1
+        if after in ("?", "*", "+"):
+            end()
+            at += 1
+        elif after == "{":
+            end()
+            at = pattern.index("}", at) + 1
+    end()
+    for choices in runs:
+        best = max(choices, key=lambda x: min(map(len, x)), default=None)
+        if best is None:
+            return None
+        out += best
+    return out
 
 
 def rule_deltas(docs: DataFrame, rules: tuple[Rule, ...], categories: tuple[str, ...], id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", url_col: str | None = None) -> DataFrame:
-    """id, delta_<i> and reset_<i> for each category: lower-cased texts once, guards once, then sums over guards."""
+    """id, delta_<i> and reset_<i> for each category.
+
+    A graph of guards: each distinct pattern is one guard, however many rules name it; a guard's pattern runs only on texts
+    that hold one of the literals it needs, and all texts are asked once for all literals. Rules are conjunctions of guards,
+    and a category's delta is the sum over its column of the matrix of rules and categories.
+    """
     empty = F.lit("")
     base = docs.select(
         F.col(id_col).alias("id"),
-        tr_lower(F.concat_ws(" ", F.coalesce(F.col(title_col), empty), F.coalesce(F.col(body_col), empty))).alias("_t"),
-        tr_lower(F.col(title_col)).alias("_tt"),
-        (tr_lower(F.col(url_col)) if url_col else empty).alias("_u"),
+        tr_lower(F.concat_ws(" ", F.coalesce(F.col(title_col), empty), F.coalesce(F.col(body_col), empty))).alias("text"),
+        tr_lower(F.col(title_col)).alias("title"),
+        (tr_lower(F.col(url_col)) if url_col else empty).alias("url"),
     )
-    guarded = base.select("id", *[_guard(r).alias(f"_g{i}") for i, r in enumerate(rules)])
-    on = {}
-    for i, r in enumerate(rules):
-        before = [F.col(f"_g{j}") for j in range(i) if r.group and rules[j].group == r.group]
-        on[i] = reduce(lambda a, b: a & ~b, before, F.col(f"_g{i}"))
-    zero = F.lit(0).cast("long")
+    guards: dict[tuple[str, str], int] = {}
+    number = lambda field, pattern: guards.setdefault((field, pattern), len(guards))
+    wanted = [([number(r.field, p) for p in r.must], [number(r.field, p) for p in r.must_not], [(number("text", a), number("text", b)) for a, b in r.unless]) for r in rules]
+    need = {g: needed(g[1]) or [] for g in guards if g[0] == "text"}
+    every = sorted({x for xs in need.values() for x in xs}, key=lambda x: (len(x), x))
+    # Of two literals the one within the other says enough, unless it is so short that most texts hold it.
+    short = {x: next(y for y in every if y == x or (len(y) > 3 and y in x)) for x in every}
+    literals: dict[str, int] = {}
+    asked = {g: sorted({literals.setdefault(short[x], len(literals)) for x in need.get(g, [])}) for g in guards}
+    held = F.filter(F.transform(F.array(*[F.lit(x) for x in literals]).cast("array<string>"), lambda x, i: F.when(F.contains(F.col("text"), x), i)), lambda i: i.isNotNull())
+    tests = []
+    for (field, pattern), near in asked.items():
+        match = F.coalesce(F.col(field).rlike("(?dU)" + pattern), F.lit(False))
+        tests.append(F.arrays_overlap("held", F.array(*[F.lit(i) for i in near])) & match if near else match)
+    guarded = base.withColumn("held", held).select("id", F.array(*tests).cast("array<boolean>").alias("guard"))
+    on: list[Column] = []
+    for i, (must, must_not, unless) in enumerate(wanted):
+        guard = lambda g: F.get("guard", F.lit(g))
+        terms = [guard(g) for g in must] + [~guard(g) for g in must_not] + [~(guard(a) & guard(b)) for a, b in unless]
+        terms += [~on[j] for j in range(i) if rules[i].group and rules[j].group == rules[i].group]
+        on.append(reduce(lambda a, b: a & b, terms, F.lit(True)))
+    ruled = guarded.select("id", F.array(*on).cast("array<boolean>").alias("on"))
     out = []
     for c, category in enumerate(categories):
-        terms = [F.when(on[i], F.lit(d)).otherwise(0) for i, r in enumerate(rules) for name, d in r.deltas if name == category]
-        resets = [on[i] for i, r in enumerate(rules) if category in r.reset]
-        out += [reduce(lambda a, b: a + b, terms, zero).cast("long").alias(f"delta_{c}"), reduce(lambda a, b: a | b, resets, F.lit(False)).alias(f"reset_{c}")]
-    return guarded.select("id", *out)
+        row = F.array(*[F.lit(sum(d for name, d in r.deltas if name == category)).cast("long") for r in rules]).cast("array<long>")
+        resets = [F.get("on", F.lit(i)) for i, r in enumerate(rules) if category in r.reset]
+        total = F.aggregate(F.zip_with("on", row, lambda x, d: F.when(x, d).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
+        out += [total.alias(f"delta_{c}"), reduce(lambda a, b: a | b, resets, F.lit(False)).alias(f"reset_{c}")]
+    return ruled.select("id", *out)
 
 
 def rules_from(table: DataFrame) -> tuple[Rule, ...]:
@@ -137,7 +225,7 @@ def classify(docs: DataFrame, lexicon: DataFrame, profile: Profile, bonus: DataF
     hits = keyword_hits(docs, lexicon, profile, **{k: v for k, v in columns.items() if k != "url_col"})
     scores = keyword_scores(hits, profile).groupBy("id").pivot("category", list(profile.categories)).agg(F.first("score"))
     scores = scores.toDF("id", *[f"kw_{i}" for i in range(len(profile.categories))])
-    out = rule_deltas(docs, profile.rules, profile.categories, **columns).join(scores, "id", "left")
+    out = rule_deltas(docs, profile.rules + profile.context, profile.categories, **columns).join(scores, "id", "left")
     if bonus is not None and weight:
         near = bonus.groupBy("id").pivot("category", list(profile.categories)).agg(F.max("similarity"))
         out = out.join(near.toDF("id", *[f"sim_{i}" for i in range(len(profile.categories))]), "id", "left")

@@ -4,24 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-
-@dataclass(frozen=True)
-class Rule:
-    """Adds ``deltas`` to category scores of texts that match every pattern of ``must`` and none of ``must_not``.
-
-    ``field``: text (title and body, lower-cased), title or url. Of the rules of one ``group`` only the first match counts.
-    ``reset`` names categories whose score becomes 0 after all deltas. ``unless``: pairs of patterns over the text; the
-    rule is off where the first of a pair matches and the second does not.
-    """
-
-    name: str
-    must: tuple[str, ...]
-    deltas: tuple[tuple[str, int], ...] = ()
-    must_not: tuple[str, ...] = ()
-    field: str = "text"
-    group: str = ""
-    reset: tuple[str, ...] = ()
-    unless: tuple[tuple[str, str], ...] = ()
+from newsloom.rules import CONTEXT_RULES, POWER_CUT, POWER_MADE, WATER_CUT, Rule
 
 
 @dataclass(frozen=True)
@@ -29,6 +12,7 @@ class Profile:
     categories: tuple[str, ...]
     display: dict[str, str] = field(default_factory=dict)
     rules: tuple[Rule, ...] = ()
+    context: tuple[Rule, ...] = ()  # rules of what else a text says, beside ``rules``
     letters: str = "a-zçğıöşü"
     longest_suffix: int = 8
     title_factor: int = 2
@@ -47,25 +31,6 @@ class Profile:
     district_names: tuple[str, ...] = ()
 
 
-#: News of power that is made (not cut), of cuts as such, of cuts of water.
-_POWER_MADE = (
-    r"elektrik.{0,60}(?:üret|uret|üretti|uretti|üreten|ureten|üretilen|uretilen|üretim|uretim|üretildi|uretildi)|"
-    r"(?:üretilen|uretilen|üretim|uretim).{0,40}elektrik|elektrik.{0,40}üretildi|atik.{0,30}elektrik|elektrik.{0,30}atik|"
-    r"milyonlarca\s*kwh|milyonlarcakwh|kwh.{0,40}(?:üret|uret|üretti|uretti|kapasite|katkı|kati|karşılan|karsilan)|"
-    r"(?:ges\b|güneş\s*(?:enerji|panel|santral)|gunes\s*(?:enerji|panel|santral)|ruzgar\s*türbin|ruzgâr\s*türbin|ruzgar\s*enerji|ruzgâr\s*enerji|"
-    r"jeotermal|biyogaz|biyometan|kojenerasyon|chp\b).{0,55}(?:elektrik|kwh|üret|uret|santral|kapasite)|"
-    r"(?<![a-zçğıöşü])isu(?![a-zçğıöşü]).{0,55}(?:kwh|elektrik|üret|uret|milyon)|(?:izaydaş|izaydas).{0,55}(?:kwh|elektrik|üret|uret|milyon)"
-)
-_POWER_CUT = (
-    r"elektrik\s+kesintisi|enerji\s+kesintisi|programl[ıi]\s+kesinti|planl[ıi]\s+kesinti|plans[ıi]z\s+kesinti|kesinti\s+duyurusu|kesinti\s+listesi|kesinti\s+saatleri|"
-    r"kesinti\s+yaşan|kesinti\s+yasan|kesinti\s+yaşayacak|kesinti\s+yasayacak|elektrik\s+kesildi|elektrik\s+kesilecek|elektriksiz|elektrik\s+yok|"
-    r"trafo.{0,18}(?:arıza|ariza|patlad|yangın|yangin)|elektrik\s+ne\s+zaman\s+gelecek|abonelerin\s+dikkat|kesinti\s+program"
-)
-_WATER_CUT = (
-    r"su\s+kesinti|sular\s+(?:ne\s+zaman|kesilecek|kesildi|gelecek)|su\s+kesilecek|su\s+kesildi|su\s+arızası|su\s+arizasi|"
-    r"(?<![a-zçğıöşü])isu(?![a-zçğıöşü]).{0,60}(?:kesinti|su\s+kesilecek|sular)|su\s+kesintisi|sular.{0,30}gelecek|su\s+kesintisi\s+alarm"
-)
-
 #: Fixed values of the Turkish profile.
 TURKISH = Profile(
     categories=("Trafik Kazasi", "Yangin", "Elektrik Kesintisi", "Suc ve Cinayet", "Hirsizlik", "Kulturel Etkinlikler"),  # of equal scores the first wins
@@ -96,7 +61,9 @@ TURKISH = Profile(
     country="Türkiye",
     center=(40.7654, 29.9408),
     center_label="Kocaeli (genel konum)",
+    context=CONTEXT_RULES,
     default_addresses=("İzmit, Kocaeli, Türkiye", "Izmit, Kocaeli, Turkey", "Kocaeli, Türkiye"),
+    # Patterns and deltas.
     rules=(
         Rule(
             "words of accidents",
@@ -112,7 +79,7 @@ TURKISH = Profile(
         Rule(
             "words of power cuts",
             (r"elektrik.{0,40}kesinti|kesinti.{0,30}elektrik|trafo.{0,20}arıza|trafo.{0,20}ariza|abone.{0,25}kesinti|mahalle.{0,40}kesinti|kesinti.{0,20}program|kesinti.{0,20}saat|elektrik.{0,25}ne\s+zaman",),
-            (("Elektrik Kesintisi", 14),), ("kesintisiz", _WATER_CUT), unless=((_POWER_MADE, _POWER_CUT),),
+            (("Elektrik Kesintisi", 14),), ("kesintisiz", WATER_CUT), unless=((POWER_MADE, POWER_CUT),),
         ),
         Rule(
             "words of theft",
@@ -136,16 +103,16 @@ TURKISH = Profile(
             "words of events",
             (r"etkinlik\s+düzenlendi|etkinlik\s+duzenlendi|etkinlik.{0,15}(?:açık|acik|ücretsiz|ucretsiz|davet|katılım|katilim)",), (("Kulturel Etkinlikler", 5),),
         ),
-        Rule("title of power made", (_POWER_MADE,), must_not=(_POWER_CUT,), field="title", reset=("Elektrik Kesintisi",)),
+        Rule("title of power made", (POWER_MADE,), must_not=(POWER_CUT,), field="title", reset=("Elektrik Kesintisi",)),
         Rule("url traffic", (r"trafik|(?<![a-zçğıöşü])kaza(?![a-zçğıöşü])",), (("Trafik Kazasi", 12),), field="url"),
         Rule(
             "url power cut",
             ("sedas|sedaş|gedas|gedaş|trafo-ariza|trafo-arıza|elektrik-kesintisi|elektrik-kesinti|enerji-kesintisi|kesinti-program|planli-kesinti|programli-kesinti|elektrik.{0,25}kesinti|kesinti.{0,20}elektrik",),
-            (("Elektrik Kesintisi", 14),), ("kesintisiz",), field="url", group="url power cut", unless=((_POWER_MADE, _POWER_CUT),),
+            (("Elektrik Kesintisi", 14),), ("kesintisiz",), field="url", group="url power cut", unless=((POWER_MADE, POWER_CUT),),
         ),
         Rule(
             "url cut", (r"(?<![a-zçğıöşü])kesinti(?!siz)[a-zçğıöşü]{0,8}(?![a-zçğıöşü])",), (("Elektrik Kesintisi", 8),), ("kesintisiz",), field="url", group="url power cut",
-            unless=((_POWER_MADE, _POWER_CUT),),
+            unless=((POWER_MADE, POWER_CUT),),
         ),
         Rule("url fire", ("yangin|yangın|itfaiye",), (("Yangin", 12),), field="url"),
         Rule("url public order", ("asayis|asayiş|3-sayfa|3sayfa|guvenlik|güvenlik|emniyet",), (("Trafik Kazasi", 7), ("Suc ve Cinayet", 8), ("Hirsizlik", 5)), field="url"),
