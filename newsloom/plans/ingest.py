@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import day_key
 from newsloom.functions.text import clean, title_ok
-from newsloom.operators import duplicates, geocode, graph, location, scoring, summaries
+from newsloom.operators import duplicates, embedding, geocode, graph, location, scoring, summaries
 from newsloom.profiles import Profile
 from newsloom.sources import snapshots
 
 
 @dataclass
 class Ingest:
-    """What a run needs beyond its input. ``embed`` adds the column embedding to rows with title and content."""
+    """What a run needs beyond its input.
+
+    ``embed`` adds the column embedding to rows with title and content. Without one (None) a hashed projection is fitted
+    to the stored and the arriving articles, and the stored ones are embedded anew, so that all vectors of a run compare;
+    a fitted ``embedding.HashedEmbedding`` spares that.
+    """
 
     profile: Profile
     lexicon: DataFrame
-    embed: Callable[[DataFrame], DataFrame]
+    embed: Callable[[DataFrame], DataFrame] | None
     as_of: dt.datetime
     gazetteer: DataFrame | None = None
     days: int = 3
@@ -57,7 +62,14 @@ def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest,
     """
     graph.checkpoint_folder(articles.sparkSession)
     ready = prepare(articles, run).checkpoint()
-    going = run.embed(ready.where("outcome is null")).checkpoint()
+    arriving = ready.where("outcome is null")
+    embed = run.embed
+    if embed is None:
+        texts = [x.select(F.concat_ws(" ", "title", "content").alias("t")) for x in (news, arriving)]
+        embed = embedding.fit(texts[0].unionByName(texts[1]), F.col("t"))
+        embed.weights = embed.weights.checkpoint()
+        news = embed(news, "_id").select(*news.columns).checkpoint()
+    going = embed(arriving).checkpoint()
     stored = in_order(news.withColumn("id", F.col("_id")), "published_at", "_id").select("id", "ord", "category", "embedding")
     arrivals = going.select(F.concat(F.lit("new:"), F.col("ord").cast("string")).alias("id"), F.col("ord").cast("long").alias("ord"), "category", "embedding")
     kept = duplicates.dedupe_sequence(arrivals, stored=stored).checkpoint()
@@ -74,8 +86,14 @@ def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest,
     # Repeats of a row without a place go with it: nothing was stored that they could join.
     placed = asked.join(found.where("lat is not null").drop("address"), "id")
     with_sentences = placed.withColumn("listed", summaries.sentences(F.col("content")))
+    similarity = None
+    if isinstance(embed, embedding.HashedEmbedding):
+        with_sentences = with_sentences.checkpoint()
+        near = embedding.sentence_similarity(with_sentences, embed, "ord", F.col("title"), F.col("listed")).withColumnRenamed("id", "_near")
+        with_sentences = with_sentences.join(near, F.col("ord").cast("string") == F.col("_near"), "left")
+        similarity = F.coalesce("similarity", F.array().cast("array<double>"))
     fresh = with_sentences.select(
-        F.sha2("url", 256).alias("_id"), "title", "content", summaries.summary(F.col("title"), F.col("content"), F.col("listed")).alias("summary"), "category",
+        F.sha2("url", 256).alias("_id"), "title", "content", summaries.summary(F.col("title"), F.col("content"), F.col("listed"), similarity).alias("summary"), "category",
         scoring.display_name(F.col("category"), run.profile).alias("category_display"),
         F.struct("lat", "lng", F.col("location_text").alias("text"), "district", "formatted", "geocode_fallback").alias("location"), "published_at", "url",
         F.array(F.struct("source_key", "source_name", "url")).alias("sources"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("ord").alias("_ord"),

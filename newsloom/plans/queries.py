@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text
 from newsloom.functions.similarity import cosine, jaccard
-from newsloom.operators import dimensions, duplicates, geocode, graph, listing, location, scoring, summaries
+from newsloom.operators import dimensions, duplicates, embedding, geocode, graph, listing, location, scoring, summaries
 from newsloom.profiles import Profile, Rule
 from newsloom.sources import pages, snapshots
 
@@ -313,6 +313,22 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VEC = "(SELECT vec_id AS ord, vec_id::VARCHAR AS id, (label % 3)::VARCHAR AS category, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
+_SIGNED = ", ".join(f"sum(CASE WHEN (low >> {d}) & 1 = 1 THEN w ELSE -w END) AS d{d}" for d in range(8))
+
+
+@query("hashed_vectors", rf"""WITH ws AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM ws),
+c AS (SELECT doc_id, gram, md5(gram) AS h, count(*) AS tf FROM g GROUP BY ALL),
+b AS (SELECT doc_id, tf, ('0x' || h[1:4])::INTEGER AS bucket, ('0x' || h[5:16])::BIGINT AS low FROM c),
+weights AS (SELECT bucket, ln(1 + (SELECT count(*) FROM documents) / count(DISTINCT doc_id)) AS weight FROM b GROUP BY bucket),
+s AS (SELECT doc_id, {_SIGNED} FROM (SELECT doc_id, low, (1 + ln(tf)) * weight AS w FROM b JOIN weights USING (bucket)) GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"round(d{d} / sqrt({'+'.join(f'd{e} * d{e}' for e in range(8))}), 6) AS d{d}" for d in range(8))} FROM s""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents")
+    vectors = embedding.fit(docs, F.col("text"), dims=8).vectors(docs, "doc_id", F.col("text"))
+    return vectors.select(F.col("id").alias("doc_id"), *[F.round(F.get("embedding", F.lit(d)), 6).alias(f"d{d}") for d in range(8)])
+
+
 @query("cosine_pairs", f"SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM {_VEC} x JOIN {_VEC} y ON x.ord < y.ord WHERE list_cosine_similarity(x.v, y.v) >= 0.3")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)

@@ -91,7 +91,8 @@ def test_hand_derived_deltas(spark):
         ("futbol", only(T=-200, Y=-200, E=-200, S=-200, H=-200, K=-200)),
         ("futbol, kesinti", only()),
         ("hava durumu", only(T=-150, Y=-150, E=-150, S=-150, H=-150, K=-150 - 260)),
-        ("hava durumu, konser", only(T=-150, Y=-150, E=-150, S=-150, H=-150, K=-150)),
+        ("hava durumu, tiyatro", only(T=-150, Y=-150, E=-150, S=-150, H=-150, K=-150)),
+        ("konser", only(T=-160, S=-100, K=-200)),  # R9: it holds "ons"
         ("sivil savunma tatbikat", only(Y=-720, K=62)),
         ("sivil savunma", only(Y=-720, K=-100)),
         ("tüpraş fidan dikti", only(Y=-520, E=-620, K=52)),  # R44, R45
