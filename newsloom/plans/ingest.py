@@ -55,10 +55,11 @@ def prepare(articles: DataFrame, run: Ingest) -> DataFrame:
     return text.withColumn("outcome", outcome)
 
 
-def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest, keep_cache: Callable[[DataFrame], object] | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest, keep_cache: Callable[[DataFrame], object] | None = None, on_merged: Callable[[DataFrame], object] | None = None) -> tuple[DataFrame, DataFrame]:
     """The new news table, and one row for each article: ord, url, outcome, geocode_fallback.
 
-    ``keep_cache`` is given the cache with the addresses that the provider resolved, if it was asked.
+    ``keep_cache`` is given the cache with the addresses that the provider resolved, if it was asked; ``on_merged`` the
+    rows of clusters (id, ord, cluster) of which all but one are deleted, if news are merged.
     """
     graph.checkpoint_folder(articles.sparkSession)
     ready = prepare(articles, run).checkpoint()
@@ -103,7 +104,9 @@ def ingest(articles: DataFrame, news: DataFrame, cache: DataFrame, run: Ingest,
     out = snapshots.add_sources(snapshots.upsert(news, fresh.drop("_ord")), more)
     if run.merge:
         ordered = in_order(out.withColumns({"id": F.col("_id"), "day": day_key(F.col("published_at"))}), "published_at", "_id")
-        clusters = duplicates.merge_clusters(ordered, duplicates.merge_pairs(ordered))
+        clusters = duplicates.merge_clusters(ordered, duplicates.merge_pairs(ordered)).checkpoint()
+        if on_merged:
+            on_merged(clusters)
         out = duplicates.merge_apply(ordered, clusters).select(*news.columns)
     lost = decided.join(failed.select(F.col("id").alias("kept")), "kept", "left_semi").select("ord", F.lit(True).alias("lost"))
     ended = ready.join(decided.select("ord", "repeats"), "ord", "left").join(lost, "ord", "left")

@@ -60,26 +60,29 @@ class StreamProgress(StreamingQueryListener):
 def run_pipeline(spark: SparkSession, articles: DataFrame, news: Snapshots, cache: Snapshots, run: Ingest, sources: Sequence[str] | None = None, progress: Progress | None = None, keep_days: int | None = None) -> DataFrame:
     """Ingest the articles of these sources (all, if none are named) into the news store; one row of counters.
 
-    With ``keep_days`` news older than that go first. Addresses that the provider resolves join the cache store.
+    With ``keep_days`` news older than that go first. Addresses that the provider resolves join the cache store. If another
+    run writes the news store meanwhile, this one ends with ``sources.snapshots.ConcurrentWrite`` and changes nothing.
     """
     progress = progress or Progress()
     started = dt.datetime.now(dt.timezone.utc)
     progress.set("embedding", "reading the stores")
-    old = news.read()
+    base = news.latest()
+    old = news.read(base)
     if keep_days is not None:
         old = purge(old, run.as_of - dt.timedelta(days=keep_days))
     progress.set("scraping", "classifying, placing and comparing articles")
     fresh_cache: list[DataFrame] = []
-    table, outcomes = ingest(of_sources(articles, sources), old, cache.read(), run, fresh_cache.append)
+    merged_rows: list[DataFrame] = []
+    table, outcomes = ingest(of_sources(articles, sources), old, cache.read(), run, fresh_cache.append, merged_rows.append)
     progress.set("merge", "merging news of one story")
     outcomes = outcomes.checkpoint()
-    news.write(table)
+    news.write(table, base)
     for rows in fresh_cache:
         cache.write(rows)
     counted = listing.run_counters(outcomes, F.col("geocode_fallback"))
-    merged = old.count() + outcomes.where("outcome = 'saved'").count() - news.read().count()
+    merged = sum(c.agg(F.count("*") - F.count_distinct("cluster")).first()[0] for c in merged_rows)
     row = counted.first().asDict()
     progress.set("done", "finished", row["scraped"])
     order = [c.split()[0] for c in COUNTERS.split(", ")]
-    row |= {"started_at": started, "ended_at": dt.datetime.now(dt.timezone.utc), "merged": max(0, merged)}
+    row |= {"started_at": started, "ended_at": dt.datetime.now(dt.timezone.utc), "merged": merged}
     return spark.createDataFrame([tuple(row[c] for c in order)], COUNTERS)

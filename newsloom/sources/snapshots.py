@@ -1,11 +1,14 @@
 """A table kept as Parquet snapshots: every write makes a new version, then moves the pointer to it.
 
-Readers never meet a half-written table, and a writer that dies leaves the old version in place. All file access goes
-through Hadoop's file systems, so a store may live wherever Spark can read.
+Readers never meet a half-written table, and a writer that dies leaves the old version in place. A writer claims the
+version it makes, so of two at a time one fails; one that names the version it read fails too if there is a newer one.
+All file access goes through Hadoop's file systems, so a store may live wherever Spark can read.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +26,15 @@ NEWS = T.StructType([
 CACHE = T.StructType([T.StructField("address", T.StringType()), T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType()), T.StructField("formatted", T.StringType()), T.StructField("cached_at", T.TimestampType())])
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer is at work, or was since the table was read."""
+
+
 class Snapshots:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 2):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+    """``claim_s``: seconds after which the claim of a writer that never ended is void."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 2, claim_s: float = 6 * 3600):
+        self.spark, self.path, self.schema, self.keep, self.claim_s = spark, path.rstrip("/"), schema, keep, claim_s
 
     def _fs(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -42,17 +51,40 @@ class Snapshots:
         names = [s.getPath().getName() for s in fs.listStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path))]
         return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(self._at(f"{n}/_SUCCESS")))
 
-    def read(self) -> DataFrame:
-        versions = self.versions()
-        if not versions:
+    def latest(self) -> int:
+        """The newest version, 0 for an empty store."""
+        return (self.versions() or [0])[-1]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, of the newest if none is named."""
+        version = self.latest() if version is None else version
+        if not version:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={versions[-1]}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+
+    def _claim(self, version: int):
+        fs, claim = self._fs(), self._at(f"_claim-{version}")
+        if fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > self.claim_s:
+            fs.delete(claim, False)
+        if not fs.createNewFile(claim):
+            raise ConcurrentWrite(f"version {version} of {self.path} is being written")
+        return claim
+
+    def write(self, df: DataFrame, base: int | None = None) -> int:
+        """A new version with these rows; older ones than the last ``keep`` are deleted.
 
-    def write(self, df: DataFrame) -> int:
-        """A new version with these rows; older ones than the last ``keep`` are deleted."""
+        ``base``: the version that the rows were made from.
+        """
         versions = self.versions()
-        new = (versions[-1] if versions else 0) + 1
-        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v={new}")
+        newest = versions[-1] if versions else 0
+        new, claim = newest + 1, self._claim(newest + 1)
+        try:
+            # The version may have been made between the listing and the claim.
+            if self.latest() != newest or (base is not None and base != newest):
+                raise ConcurrentWrite(f"{self.path} has version {self.latest()}, not {newest if base is None else base}")
+            df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v={new}")
+        finally:
+            self._fs().delete(claim, False)
         for old in versions[: -(self.keep - 1) or None]:
             self._fs().delete(self._at(f"v={old}"), True)
         return new

@@ -15,15 +15,16 @@ from newsloom.sources.snapshots import Snapshots
 def ingest_stream(articles: DataFrame, news: Snapshots, cache: Snapshots, run: Callable[[int], Ingest], checkpoint: str, watch: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
     """Start the stream. ``run`` gives the settings of a batch by its number; ``watch`` sees outcomes as they are made.
 
-    A batch that is run again after a failure finds its addresses in the snapshot and replaces them by the same rows.
+    A batch that is run again after its snapshot was written meets its own rows there: it ends as repeats of them and the
+    table stays as it is. If another writer is at work on the store, the batch fails and the stream with it.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         if rows.isEmpty():
             return
-        old = news.read()
-        table, outcomes = ingest(rows, old, cache.read(), run(number), cache.write)
-        news.write(table)
+        base = news.latest()
+        table, outcomes = ingest(rows, news.read(base), cache.read(), run(number), cache.write)
+        news.write(table, base)
         if watch:
             watch(number, outcomes)
 

@@ -109,3 +109,45 @@ def test_first_seen_and_progress_on_a_stream(spark, tmp_path):
     spark.streams.removeListener(listener)
     assert sorted(r.url for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["a", "b"]
     assert progress.get()["phase"] == "done" and progress.get()["articles_processed"] == 3
+
+
+def test_merges_are_counted_where_they_happen(spark, tmp_path):
+    news, cache = snapshots.Snapshots(spark, f"file://{tmp_path}/news", snapshots.NEWS), snapshots.Snapshots(spark, f"file://{tmp_path}/cache", snapshots.CACHE)
+    run = dataclasses.replace(settings(spark), merge=True)
+    first = [r for r in rows() if r[1] == "u1"]
+    assert runs.run_pipeline(spark, spark.createDataFrame(first, SCHEMA), news, cache, run).first().merged == 0
+    # The same address with another text takes the old row's place: nothing is merged.
+    changed = [(*first[0][:3], first[0][3].replace("v1", "v2"), *first[0][4:])]
+    row = runs.run_pipeline(spark, spark.createDataFrame(changed, SCHEMA), news, cache, run).first()
+    assert (row.saved, row.merged, news.read().count()) == (1, 0, 1)
+    # Two stories of a day whose vectors are as near as a merge asks, but not as near as a repeat.
+    angle = F.when(F.endswith("content", F.lit("v1")), 0.0).otherwise(0.66)
+    run = dataclasses.replace(run, embed=lambda df: df.withColumn("embedding", F.array(F.cos(angle), F.sin(angle))))
+    news.clear(confirm=True)
+    both = [first[0], (9, "u9", *first[0][2:3], first[0][3].replace("v1", "v2"), *first[0][4:])]
+    row = runs.run_pipeline(spark, spark.createDataFrame(both, SCHEMA), news, cache, run).first()
+    assert (row.saved, row.merged, news.read().count()) == (2, 1, 1)
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    store = snapshots.Snapshots(spark, f"file://{tmp_path}/s", snapshots.CACHE)
+    table = spark.createDataFrame([("a", 1.0, 2.0, "A", NOW)], snapshots.CACHE)
+    assert (store.latest(), store.read().count(), store.write(table), store.latest()) == (0, 0, 1, 1)
+    claim = store._claim(2)
+    with pytest.raises(snapshots.ConcurrentWrite):
+        store.write(table)
+    assert store.read().count() == 1
+    # A claim that was never given up is void after a while.
+    assert snapshots.Snapshots(spark, store.path, snapshots.CACHE, claim_s=-1).write(table, base=1) == 2
+    with pytest.raises(snapshots.ConcurrentWrite):
+        store.write(table, base=1)
+    assert store.write(table.union(table), base=2) == 3 and store.read().count() == 2 and store.read(2).count() == 1
+    store._fs().delete(claim, False)
+
+
+def test_a_failed_write_gives_its_claim_up(spark, tmp_path):
+    store = snapshots.Snapshots(spark, f"file://{tmp_path}/s", snapshots.CACHE)
+    broken = spark.createDataFrame([("a",)], "address string").selectExpr("address", "cast(raise_error('x') as double) lat", "0d lng", "'' formatted", "timestamp'2025-01-01' cached_at")
+    with pytest.raises(Exception, match="x"):
+        store.write(broken)
+    assert store.latest() == 0 and store.write(store.read()) == 1
