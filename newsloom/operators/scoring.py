@@ -191,7 +191,7 @@ def rule_deltas(docs: DataFrame, rules: tuple[Rule, ...], categories: tuple[str,
     on: list[Column] = []
     for i, (must, must_not, unless) in enumerate(wanted):
         guard = lambda g: F.get("guard", F.lit(g))
-        terms = [guard(g) for g in must] + [~guard(g) for g in must_not] + [~(guard(a) & guard(b)) for a, b in unless]
+        terms = [guard(g) for g in must] + [~guard(g) for g in must_not] + [~(guard(a) & ~guard(b)) for a, b in unless]
         terms += [~on[j] for j in range(i) if rules[i].group and rules[j].group == rules[i].group]
         on.append(reduce(lambda a, b: a & b, terms, F.lit(True)))
     ruled = guarded.select("id", F.array(*on).cast("array<boolean>").alias("on"))

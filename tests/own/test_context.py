@@ -122,3 +122,5 @@ def test_groups_and_shared_guards(spark):
     rules = (Rule("a", ("xx",), ((T, 1),), group="g"), Rule("b", ("xx|yy",), ((T, 10),), group="g"), Rule("c", ("xx",), ((Y, 5), (T, 100)), ("zz",)))
     assert deltas(spark, ["xx", "yy", "xx zz", "none"], rules) == [only(T=101, Y=5), only(T=10), only(T=1), only()]
     assert deltas(spark, ["xx"], ()) == [only()]
+    rules = (Rule("a", ("xx",), ((T, 1),), unless=(("made", "cut"),)),)
+    assert deltas(spark, ["xx", "xx made", "xx made cut", "xx cut"], rules) == [only(T=1), only(), only(T=1), only(T=1)]
