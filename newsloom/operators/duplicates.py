@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,139 +18,261 @@ SAME, SAME_CATEGORY = 0.88, 0.805
 MERGE, MERGE_LOOSE, MERGE_TITLE = 0.775, 0.71, 0.4
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int = 2048, ordered: bool = False) -> DataFrame:
-    """a, a_ord, a_category, b, b_ord, b_category, score: all pairs with cosine ``least`` or more.
+#: Bound of the cells that a join of vectors uses: their pivots and counts are all that the driver holds.
+MOST_CELLS = 1024
+_SLACK = 1e-6
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    """id, ord, category, embedding of the rows that have a vector."""
+    typed = df.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), F.col("category").cast("string").alias("category"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return typed.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
 
-    Both sides have (id, ord, category, embedding). Every vector of one side must meet every one of the other, so both
-    are dealt into blocks and a task multiplies one block pair as matrices: the work is quadratic by definition, but it
-    runs in BLAS, memory is bounded by the block, and only similar pairs leave the task. With ``ordered`` (a side joined
-    with itself) only pairs with a_ord < b_ord are made. Null and empty embeddings match nothing; zero vectors have 0.
-    """
-    usable = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), F.col("category").cast("string").alias("category"), F.col("embedding").cast("array<double>").alias("embedding"))
-    left, right = usable(left), usable(right)
-    many = lambda df: max(1, -(-df.count() // block))
-    nl, nr = many(left), many(right)
-    deal = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    a = deal(left, nl).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    b = deal(right, nr).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    # Names of its own for each side: the two may come from one table.
-    a = a.select(F.col("block").alias("l_block"), F.col("other").alias("l_other"), F.col("id").alias("l_id"), F.col("ord").alias("l_ord"), F.col("category").alias("l_category"), F.col("embedding").alias("l_embedding"))
-    b = b.select(F.col("other").alias("r_block"), F.col("block").alias("r_other"), F.col("id").alias("r_id"), F.col("ord").alias("r_ord"), F.col("category").alias("r_category"), F.col("embedding").alias("r_embedding"))
-    schema = "a string, a_ord long, a_category string, b string, b_ord long, b_category string, score double"
 
-    def unit(embeddings: pd.Series) -> np.ndarray:
-        m = np.array(embeddings.tolist(), np.float64)
+def heads(vectors: DataFrame) -> DataFrame:
+    """id, ord, category, embedding: of the rows (as ``_vectors`` gives them) of each distinct vector the first one."""
+    return vectors.groupBy("embedding").agg(F.min(F.struct("ord", "id", "category")).alias("h")).select("h.id", "h.ord", "h.category", "embedding")
+
+
+def _unit(embeddings: pd.Series) -> np.ndarray:
+    """Vectors of length 1; zero vectors stay, those with other than finite numbers have NaN."""
+    m = np.array(embeddings.tolist(), np.float64)
+    with np.errstate(invalid="ignore", over="ignore"):
         n = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+        return np.divide(m, n, out=np.zeros_like(m), where=n != 0)
+
+
+def cells(left: DataFrame, right: DataFrame, least: float, block: int = 2048) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
+    """``left`` with the cells that each vector visits, ``right`` with each vector's home, and (cell, visits, homes).
+
+    Cells are those of pivots on the unit sphere: vectors of ``right``, taken by hash, about one for each ``block`` of
+    them. A vector lives with its nearest pivot, and the farthest of a cell gives its radius. One at an angle from the
+    pivot of more than the radius and the angle of ``least`` together resembles nothing in the cell, by the triangle
+    inequality, and doesn't visit it. With ``least`` of 0 or under nothing can be left out, and there is one cell.
+    """
+    many = 1 if least <= 0 else min(MOST_CELLS, max(1, -(-right.count() // block)))
+    pivots = _unit(pd.Series([r.embedding for r in right.orderBy(F.xxhash64("embedding"), "id").select("embedding").limit(many).collect()] or [[0.0]]))
+    reach = float(np.arccos(np.clip(least, -1.0, 1.0))) + _SLACK
+    rows = "id string, ord long, category string, embedding array<double>"
+
+    def angles(embeddings: pd.Series) -> np.ndarray:
+        return np.arccos(np.clip(np.nan_to_num(_unit(embeddings)) @ np.nan_to_num(pivots).T, -1.0, 1.0))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                at = angles(x["embedding"])
+                home = at.argmin(1)
+                yield x.assign(cell=home.astype(np.int32), angle=at[np.arange(len(x)), home])
+
+    homes = (right.withColumns({"cell": F.lit(0), "angle": F.lit(0.0)}) if many == 1 else right.mapInPandas(settle, rows + ", cell int, angle double")).select("id", "ord", "category", "embedding", "cell", "angle")
+    found = {r.cell: r for r in homes.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # a row for each cell
+    radius = np.array([found[c].radius + reach if c in found else -1.0 for c in range(len(pivots))])
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                near = angles(x["embedding"]) <= radius
+                yield x.assign(cells=[np.flatnonzero(row).astype(np.int32) for row in near])
+
+    visits = left.withColumn("cells", F.array(F.lit(0))) if many == 1 else left.mapInPandas(visit, rows + ", cells array<int>")
+    visits = visits.select("id", "ord", "category", "embedding", F.explode("cells").alias("cell"))
+    came = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each cell
+    return visits, homes.drop("angle"), [(c, came[c], r.n) for c, r in sorted(found.items()) if c in came]
+
+
+def similar_heads(left: DataFrame, right: DataFrame, least: float, block: int = 2048, ordered: bool = False) -> DataFrame:
+    """a, a_ord, b, b_ord, b_category, score: all pairs of two tables of ``heads`` with cosine ``least`` or more.
+
+    A vector of ``left`` is sent to the cells that may hold one like it, a cell is dealt into blocks, and a task
+    multiplies one pair of blocks as matrices: memory is bounded by the block whatever a cell holds, and only similar
+    pairs leave the task. With ``ordered`` (a table joined with itself) only pairs with a_ord < b_ord are made. Zero
+    vectors have a similarity of 0, those with other than finite numbers none.
+    """
+    visits, homes, plan = cells(left, right, least, block)
+    sizes = left.sparkSession.createDataFrame([(c, -(-v // block), -(-h // block)) for c, v, h in plan], "cell int, nl int, nr int")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    # The plan has a row for each cell, of which there are at most MOST_CELLS.
+    a = visits.join(F.broadcast(sizes), "cell").withColumns({"block": deal("nl"), "other": F.explode(F.sequence(F.lit(0), F.col("nr") - 1))})
+    b = homes.join(F.broadcast(sizes), "cell").withColumns({"block": deal("nr"), "other": F.explode(F.sequence(F.lit(0), F.col("nl") - 1))})
+    # Names of its own for each side: the two may come from one table.
+    a = a.select(F.col("cell").alias("l_cell"), F.col("block").alias("l_block"), F.col("other").alias("l_other"), F.col("id").alias("l_id"), F.col("ord").alias("l_ord"), F.col("embedding").alias("l_embedding"))
+    b = b.select(F.col("cell").alias("r_cell"), F.col("other").alias("r_block"), F.col("block").alias("r_other"), F.col("id").alias("r_id"), F.col("ord").alias("r_ord"), F.col("category").alias("r_category"), F.col("embedding").alias("r_embedding"))
+    names = ("a", "a_ord", "b", "b_ord", "b_category", "score")
 
     def join(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "a_ord", "a_category", "b", "b_ord", "b_category", "score")})
-        s = unit(x["l_embedding"]) @ unit(y["r_embedding"]).T
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+        s = _unit(x["l_embedding"]) @ _unit(y["r_embedding"]).T
         hit = s >= least - 1e-12
         if ordered:
             hit &= x["l_ord"].to_numpy()[:, None] < y["r_ord"].to_numpy()[None, :]
         i, j = np.nonzero(hit)
         take = lambda p, at, c: p[c].to_numpy()[at]
         text = lambda p, at, c: pd.Series(p[c].to_numpy(object)[at], dtype=object)
-        return pd.DataFrame({
-            "a": text(x, i, "l_id"), "a_ord": take(x, i, "l_ord"), "a_category": text(x, i, "l_category"),
-            "b": text(y, j, "r_id"), "b_ord": take(y, j, "r_ord"), "b_category": text(y, j, "r_category"), "score": s[i, j],
-        })
+        return pd.DataFrame({"a": text(x, i, "l_id"), "a_ord": take(x, i, "l_ord"), "b": text(y, j, "r_id"), "b_ord": take(y, j, "r_ord"), "b_category": text(y, j, "r_category"), "score": s[i, j]})
+
+    return a.groupBy("l_cell", "l_block", "l_other").cogroup(b.groupBy("r_cell", "r_block", "r_other")).applyInPandas(join, "a string, a_ord long, b string, b_ord long, b_category string, score double")
+
+
+def _members(vectors: DataFrame, of: DataFrame) -> DataFrame:
+    """id, ord, category, head: each row with the id of the head that has its vector."""
+    return vectors.join(of.select("embedding", F.col("id").alias("head")), "embedding").select("id", "ord", "category", "head")
 
-    return a.groupBy("l_block", "l_other").cogroup(b.groupBy("r_block", "r_other")).applyInPandas(join, schema)
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int = 2048, ordered: bool = False) -> DataFrame:
+    """a, a_ord, a_category, b, b_ord, b_category, score: all pairs with cosine ``least`` or more.
+
+    Both sides have (id, ord, category, embedding); ids and, with ``ordered``, ords are unique. Distinct vectors are
+    compared cell by cell (``similar_heads``), and pairs of them then stand for the pairs of their rows, which are all
+    returned: n rows of one vector give n(n-1)/2 pairs. What only needs groups or best rows asks ``similar_heads``. With
+    ``ordered`` (a side joined with itself) only pairs with a_ord < b_ord are made. Null and empty embeddings match
+    nothing; zero vectors have 0.
+    """
+    graph.checkpoint_folder(left.sparkSession)
+    left, right = _vectors(left), _vectors(right)
+    lh = heads(left).checkpoint()
+    rh = lh if ordered else heads(right).checkpoint()
+    found = similar_heads(lh, rh, least, block, ordered).select("a", "b", "score")
+    side = lambda df, of, s: _members(df, of).toDF(s, f"{s}_ord", f"{s}_category", f"{s}_head")
+    x, y = side(left, lh, "a"), side(right, rh, "b")
+    if ordered:
+        # Rows of one vector, and of two in either order.
+        length = F.aggregate("embedding", F.lit(0.0), lambda t, v: t + v * v)
+        alike = lh.select(F.col("id").alias("a"), F.col("id").alias("b"), F.when(length > 0, 1.0).otherwise(0.0).alias("score")).where(~F.isnan(length) & (length < float("inf")) & (F.col("score") >= least))
+        found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(alike)
+    pairs = found.toDF("a_head", "b_head", "score").join(x, "a_head").join(y, "b_head")
+    if ordered:
+        pairs = pairs.where("a_ord < b_ord")
+    return pairs.select("a", "a_ord", "a_category", "b", "b_ord", "b_category", "score")
+
+
+def _best(left_heads: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """head, m (b, score, b_category): for each head of the left side the most similar row of ``right``, of equals the first."""
+    pairs = similar_heads(left_heads, heads(_vectors(right)).checkpoint(), least)
+    return pairs.groupBy(F.col("a").alias("head")).agg(F.max_by(F.struct("b", "score", "b_category"), F.struct("score", -F.col("b_ord"))).alias("m"))
 
 
 def find_duplicate(incoming: DataFrame, kept: DataFrame, same: float = SAME, same_category: float = SAME_CATEGORY) -> DataFrame:
     """id, match, score: for each incoming vector the kept one it repeats, if any.
 
     Only the most similar kept vector counts (of equals the first): at ``same`` or above it matches, at
-    ``same_category`` if the categories agree. Pairs under ``same_category`` can decide nothing and are not made.
+    ``same_category`` if the categories agree. Pairs under ``same_category`` can decide nothing and are not made; rows
+    of one vector are searched once, and meet the first kept row of a vector only.
     """
-    pairs = similar_pairs(incoming, kept, same_category)
-    best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "b_category", "score", "a_category"), F.struct("score", -F.col("b_ord"))).alias("m"))
-    ok = (F.col("m.score") >= same) | (F.col("m.a_category") == F.col("m.b_category"))
-    hits = best.select(F.col("a").alias("id"), F.when(ok, F.col("m.b")).alias("match"), F.when(ok, F.col("m.score")).alias("score"))
+    graph.checkpoint_folder(incoming.sparkSession)
+    rows = _vectors(incoming)
+    of = heads(rows).checkpoint()
+    found = _members(rows, of).join(_best(of, kept, same_category), "head")
+    ok = (F.col("m.score") >= same) | (F.col("m.b_category") == F.col("category"))
+    hits = found.select("id", F.when(ok, F.col("m.b")).alias("match"), F.when(ok, F.col("m.score")).alias("score"))
     return incoming.select(F.col("id").cast("string").alias("id")).join(hits, "id", "left")
 
 
 def replay(nodes: pd.DataFrame, edges: pd.DataFrame, same: float, same_category: float) -> pd.DataFrame:
     """In order of arrival: a row joins the kept one most similar to it, or is kept itself.
 
-    ``nodes``: id, ord, category and the best stored row (stored, stored_score, stored_category; null for none).
+    ``nodes``: id, ord, category, the best stored row (stored, stored_score, stored_category; null for none) and the
+    first ord of the row's vector (vector; without that column each row has one of its own). ``edges`` are between such
+    first ords: of the kept rows of a vector only the first can be a target.
     """
     near: dict[int, list[tuple[float, int]]] = {}
     for a, b, s in zip(edges["a_ord"], edges["b_ord"], edges["score"], strict=True):
         near.setdefault(int(b), []).append((-float(s), int(a)))
-    rows = {int(r.ord): r for r in nodes.itertuples(index=False)}
-    kept: dict[int, str] = {}
-    for o in sorted(rows):
-        own = rows[o]
-        score, a = min(((s, a) for s, a in near.get(o, ()) if kept[a] == str(rows[a].id)), default=(1.0, o))
-        name, category = str(rows[a].id), rows[a].category
+        near.setdefault(int(a), []).append((-float(s), int(b)))
+    vectors = nodes["vector"] if "vector" in nodes else nodes["ord"]
+    first: dict[int, tuple[int, str, object]] = {}
+    out = []
+    for own, v in sorted(zip(nodes.itertuples(index=False), map(int, vectors), strict=True), key=lambda x: x[0].ord):
+        options = [(s, *first[c]) for s, c in near.get(v, ()) if c in first] + ([(-1.0, *first[v])] if v in first else [])
+        score, _, name, category = min(options, key=lambda x: x[:2], default=(1.0, 0, None, None))
         if isinstance(own.stored, str) and -own.stored_score <= score:  # stored rows come first among equals
             score, name, category = -own.stored_score, own.stored, own.stored_category
         alike = isinstance(own.category, str) and category == own.category
-        kept[o] = name if -score >= same or (-score >= same_category and alike) else str(own.id)
-    return pd.DataFrame({"id": pd.Series([str(rows[o].id) for o in kept], dtype=object), "kept": pd.Series(list(kept.values()), dtype=object)})
+        if -score >= same or (-score >= same_category and alike):
+            out.append((str(own.id), name))
+        else:
+            out.append((str(own.id), str(own.id)))
+            first.setdefault(v, (int(own.ord), str(own.id), own.category))
+    return pd.DataFrame({"id": pd.Series([x for x, _ in out], dtype=object), "kept": pd.Series([x for _, x in out], dtype=object)})
 
 
 def _settle(nodes: DataFrame, edges: DataFrame, same: float, same_category: float) -> DataFrame:
     """The replay by joins, for groups too large for one task: id, kept.
 
-    A row is decided as soon as its most similar target is certain: the best of its earlier neighbours is known to be
-    kept, or none is left. Each round decides all such rows; the first undecided row is always among them. Rounds grow
-    with the longest chain of decisions that wait for each other. Each round is checkpointed.
+    What later rows need to know of a vector is its first kept row and up to where its rows are decided. A row's own
+    decision is certain as soon as the most similar of the other vectors that may have a kept row before it is known to
+    have one. Each round looks at all open rows: of each vector those before the first uncertain one are decided, and
+    if one of them is kept, all later rows of the vector join it. The first open row is always decided. Rounds grow with
+    the longest chain of vectors that wait for each other, not with the rows of one. Each round is checkpointed.
     """
-    base = nodes.select("id", "ord", "category", "stored", "stored_score", "stored_category")
-    # A neighbour's state: null while open, then whether it is kept.
-    open_edges = edges.select("a_ord", "b_ord", "score", F.lit(None).cast("boolean").alias("kept")).checkpoint()
-    waiting, decided = base.checkpoint(), []
+    both = edges.select(F.col("a_ord").alias("vector"), F.col("b_ord").alias("other"), "score")
+    both = both.unionByName(both.select(F.col("other").alias("vector"), F.col("vector").alias("other"), "score")).checkpoint()
+    waiting = nodes.select("id", "ord", "category", "vector", "stored", "stored_score", "stored_category").checkpoint()
+    kept_row = "struct<ord:bigint,id:string,category:string>"
+    states = waiting.groupBy("vector").agg(F.min("ord").alias("upto")).withColumn("first", F.lit(None).cast(kept_row)).checkpoint()
+    decided: list[DataFrame] = []
     while True:
-        best = open_edges.groupBy(F.col("b_ord").alias("ord")).agg(F.max_by(F.struct("a_ord", "score", "kept"), F.struct("score", -F.col("a_ord"))).alias("top"))
-        named = nodes.select(F.col("ord").alias("t_ord"), F.col("id").alias("t_id"), F.col("category").alias("t_category"))
-        seen = waiting.join(best, "ord", "left").join(named, F.col("top.a_ord") == F.col("t_ord"), "left")
+        near = waiting.select("ord", "vector").join(both, "vector").join(states.select(F.col("vector").alias("other"), "upto", "first"), "other")
+        known = F.coalesce(F.col("first.ord") < F.col("ord"), F.lit(False))
+        open_ = ~known & F.coalesce(F.col("upto") < F.col("ord"), F.lit(False))
+        near = near.withColumns({"known": known, "open": open_}).where("known or open")
+        top = near.groupBy("ord").agg(F.max_by(F.struct("score", "open", "first"), F.struct("score", "open", -F.coalesce("first.ord", F.lit(0)))).alias("top"))
+        seen = waiting.join(top, "ord", "left")
         by_stored = F.col("stored").isNotNull() & (F.col("top").isNull() | (F.col("stored_score") >= F.col("top.score")))
         score = F.when(by_stored, F.col("stored_score")).otherwise(F.col("top.score"))
-        category = F.when(by_stored, F.col("stored_category")).otherwise(F.col("t_category"))
+        category = F.when(by_stored, F.col("stored_category")).otherwise(F.col("top.first.category"))
         joins = F.coalesce((score >= same) | ((score >= same_category) & (category == F.col("category"))), F.lit(False))
-        ready = seen.where(F.col("top").isNull() | by_stored | F.coalesce("top.kept", F.lit(False)))
-        now = ready.select("id", "ord", F.when(joins, F.when(by_stored, F.col("stored")).otherwise(F.col("t_id"))).otherwise(F.col("id")).alias("kept")).checkpoint()
-        decided.append(now)
-        waiting = waiting.join(now.select("ord"), "ord", "left_anti").checkpoint()
+        target = F.when(joins, F.when(by_stored, F.col("stored")).otherwise(F.col("top.first.id")))
+        sure = F.coalesce(F.col("top").isNull() | by_stored | ~F.col("top.open"), F.lit(True))
+        seen = seen.select(*waiting.columns, sure.alias("sure"), F.when(sure, target).alias("target")).checkpoint()
+        turn = seen.groupBy("vector").agg(F.min(F.when(~F.col("sure"), F.col("ord"))).alias("t_upto"), F.min(F.when(F.col("sure") & F.col("target").isNull(), F.struct("ord", "id", "category"))).alias("t_first"))
+        turn = turn.withColumn("t_first", F.when(F.col("t_upto").isNull() | (F.col("t_first.ord") < F.col("t_upto")), F.col("t_first")))
+        turn = turn.withColumn("t_upto", F.when(F.col("t_first").isNull(), F.col("t_upto"))).checkpoint()
+        after = seen.join(turn, "vector")
+        kept = F.when(F.col("ord") > F.col("t_first.ord"), F.col("t_first.id")).otherwise(F.coalesce("target", "id"))
+        done = F.coalesce(F.col("ord") < F.col("t_upto"), F.lit(True))
+        decided.append(after.where(done).select("id", kept.alias("kept")).checkpoint())
+        waiting = after.where(~done).select(*waiting.columns).checkpoint()
+        if len(decided) > 8:
+            decided = [reduce(DataFrame.unionByName, decided).checkpoint()]
         if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, decided).select("id", "kept")
-        states = now.select(F.col("ord").alias("a_ord"), (F.col("kept") == F.col("id")).alias("now_kept"))
-        grown = open_edges.join(states, "a_ord", "left").withColumn("kept", F.coalesce("kept", "now_kept")).drop("now_kept")
-        still = waiting.select(F.col("ord").alias("b_ord"))
-        open_edges = grown.where("kept is null or kept").join(still, "b_ord", "left_semi").checkpoint()
+            return reduce(DataFrame.unionByName, decided)
+        fresh = turn.select("vector", "t_upto", "t_first", F.lit(True).alias("turned"))
+        states = states.join(fresh, "vector", "left").select("vector", F.when(F.col("turned"), F.col("t_upto")).otherwise(F.col("upto")).alias("upto"), F.when(F.col("turned"), F.col("t_first")).otherwise(F.col("first")).alias("first")).checkpoint()
 
 
 def dedupe_sequence(rows: DataFrame, same: float = SAME, same_category: float = SAME_CATEGORY, stored: DataFrame | None = None, most: int = 200_000) -> DataFrame:
     """id, kept: the row each one joins (itself, if it is kept), as if they arrived one by one in order of ``ord``.
 
     ``stored`` (same columns) are rows kept before: all of them are targets, whatever they have in common with each
-    other, and come first among equals. Rows of no category match by ``same`` alone.
+    other, and come first among equals. Rows of no category match by ``same`` alone. Ids and ords are unique.
 
     Whether a row is kept depends on what was kept before, so the replay is sequential by nature. It is made over the
-    sparse edges at ``same_category`` or more, and separately for each connected group of edges, in which alone
-    decisions depend on each other. Groups of up to ``most`` edges are replayed in a task each, larger ones together by
-    rounds of joins. Rows without an edge are decided by their best stored row alone.
+    sparse edges between distinct vectors at ``same_category`` or more, and separately for each connected group of
+    them, in which alone decisions depend on each other. Groups of up to ``most`` rows and edges are replayed in a task
+    each, larger ones together by rounds of joins. Of a vector without an edge the first row that no stored row takes is
+    kept, and later ones join it. Rows without a vector, and zero vectors, are kept.
     """
     graph.checkpoint_folder(rows.sparkSession)
     rows = rows.withColumn("id", F.col("id").cast("string"))
-    nodes = rows.select("id", "ord", "category")
+    usable = _vectors(rows).where(F.exists("embedding", lambda v: v != 0) & ~F.exists("embedding", lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
+    of = heads(usable).checkpoint()
+    nodes = rows.select("id", F.col("ord").cast("long").alias("ord"), F.col("category").cast("string").alias("category"))
+    vector = usable.join(of.select("embedding", F.col("ord").alias("vector"), F.col("id").alias("head")), "embedding").select("id", "vector", "head")
+    nodes = nodes.join(vector, "id", "left")
     if stored is not None:
-        best = similar_pairs(rows, stored, same_category).groupBy("a").agg(F.max_by(F.struct("b", "score", "b_category"), F.struct("score", -F.col("b_ord"))).alias("m"))
-        nodes = nodes.join(best.select(F.col("a").alias("id"), F.col("m.b").alias("stored"), F.col("m.score").alias("stored_score"), F.col("m.b_category").alias("stored_category")), "id", "left")
+        best = _best(of, stored, same_category).select("head", F.col("m.b").alias("stored"), F.col("m.score").alias("stored_score"), F.col("m.b_category").alias("stored_category"))
+        nodes = nodes.join(best, "head", "left").drop("head")
     else:
-        nodes = nodes.select("*", F.lit(None).cast("string").alias("stored"), F.lit(None).cast("double").alias("stored_score"), F.lit(None).cast("string").alias("stored_category"))
+        nodes = nodes.drop("head").select("*", F.lit(None).cast("string").alias("stored"), F.lit(None).cast("double").alias("stored_score"), F.lit(None).cast("string").alias("stored_category"))
     nodes = nodes.checkpoint()
-    edges = similar_pairs(rows, rows, same_category, ordered=True).select("a_ord", "b_ord", "score").checkpoint()
+    edges = similar_heads(of, of, same_category, ordered=True).select("a_ord", "b_ord", "score").checkpoint()
     groups = graph.components(edges.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))).toDF("member", "component")
     grouped = edges.join(groups, F.col("a_ord") == F.col("member")).select(F.col("component").alias("e_component"), "a_ord", "b_ord", "score")
-    large = grouped.groupBy("e_component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("e_component").checkpoint()
-    in_group = nodes.join(groups, F.col("ord") == F.col("member")).drop("member")
+    in_group = nodes.join(groups, F.col("vector") == F.col("member")).drop("member")
+    sizes = grouped.groupBy("e_component").count().unionByName(in_group.groupBy(F.col("component").alias("e_component")).count())
+    large = sizes.groupBy("e_component").agg(F.sum("count").alias("n")).where(F.col("n") > most).select("e_component").checkpoint()
     small_nodes = in_group.join(large, F.col("component") == F.col("e_component"), "left_anti")
     small_edges = grouped.join(large, "e_component", "left_anti")
 
@@ -157,9 +280,13 @@ def dedupe_sequence(rows: DataFrame, same: float = SAME, same_category: float =
         return replay(n, e, same, same_category)
 
     decided = small_nodes.groupBy("component").cogroup(small_edges.groupBy("e_component")).applyInPandas(run, "id string, kept string")
-    alone = nodes.join(groups, F.col("ord") == F.col("member"), "left_anti")
     fits = F.coalesce((F.col("stored_score") >= same) | (F.col("stored_category") == F.col("category")), F.lit(False))
-    decided = decided.unionByName(alone.select("id", F.when(fits, F.col("stored")).otherwise(F.col("id")).alias("kept")))
+    alone = nodes.join(groups, F.col("vector") == F.col("member"), "left_anti").withColumn("fits", fits)
+    # Only vectors of several rows have anything to look up.
+    first = alone.where("vector is not null").groupBy(F.col("vector").alias("f_vector")).agg(F.min(F.when(~F.col("fits"), F.struct("ord", "id"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    alone = alone.join(first.drop("n"), F.col("vector") == F.col("f_vector"), "left")
+    kept = F.when(F.col("ord") > F.col("first.ord"), F.col("first.id")).when(F.col("fits"), F.col("stored")).otherwise(F.col("id"))
+    decided = decided.unionByName(alone.select("id", kept.alias("kept")))
     if large.isEmpty():
         return decided
     big_nodes = in_group.join(large, F.col("component") == F.col("e_component"), "left_semi")
@@ -226,4 +353,4 @@ def titles_jaccard(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("jaccard", jaccard(title_tokens(F.col(a)), title_tokens(F.col(b))))
 
 
-__all__ = ["dedupe_sequence", "find_duplicate", "first_of", "merge_apply", "merge_clusters", "merge_pairs", "replay", "similar_pairs", "titles_jaccard"]
+__all__ = ["cells", "dedupe_sequence", "find_duplicate", "first_of", "heads", "merge_apply", "merge_clusters", "merge_pairs", "replay", "similar_heads", "similar_pairs", "titles_jaccard"]

@@ -156,6 +156,48 @@ def test_rounds_of_joins_equal_the_replay(spark):
             assert got == {str(k): str(v) for k, v in want.items()}, most
 
 
+def test_copies_among_arrivals(spark):
+    """Rows of one vector: of both categories, around other vectors, stored or not; in tasks and by joins."""
+    rng = np.random.default_rng(8)
+    schema = "id string, ord long, category string, embedding array<double>"
+    for stored in (0, 12):
+        few = rng.normal(size=(9, 3))
+        x = few[rng.integers(0, 9, 90)]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        m = u @ u.T
+        m[(x[:, None] == x[None]).all(2)] = 1.0
+        categories = rng.integers(0, 3, 90).astype(str)
+        df = spark.createDataFrame([(str(i), i, categories[i], x[i].tolist()) for i in range(90)] + [("zero", 90, "0", [0.0] * 3), ("zero too", 91, "0", [0.0] * 3), ("nan", 92, "0", [float("nan")] * 3)], schema)
+        old, new = (df.where(f"ord < {stored}") if stored else None), df.where(f"ord >= {stored}")
+        want = full_scan_stored(m, categories, 0.95, 0.6, stored)
+        for most in (200_000, 0):
+            got = {r.id: r.kept for r in duplicates.dedupe_sequence(new, 0.95, 0.6, stored=old, most=most).collect()}
+            assert got == {str(k): str(v) for k, v in want.items()} | {k: k for k in ("zero", "zero too", "nan")}, (stored, most)
+
+
+def test_cells_lose_no_pair(spark):
+    """Clustered vectors: most pairs are left out by the radii, none that is similar; copies meet once as a vector."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16))
+    x = centres[rng.integers(0, 20, 600)] + 0.1 * rng.normal(size=(600, 16))
+    x[500:] = x[0]  # 101 copies
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    schema = "id string, ord long, category string, embedding array<double>"
+    df = spark.createDataFrame([(str(i), i, "c", x[i].tolist()) for i in range(600)] + [("zero", 600, "c", [0.0] * 16), ("null", 601, "c", None)], schema)
+    got = {(int(r.a), int(r.b)): r.score for r in duplicates.similar_pairs(df, df, 0.8, block=16, ordered=True).collect()}
+    m = u @ u.T
+    want = {(a, b) for a, b in itertools.combinations(range(600), 2) if m[a, b] >= 0.8}
+    assert set(got) == want and all(abs(got[p] - m[p]) < 1e-9 for p in want)
+    of = duplicates.heads(df.where("embedding is not null")).cache()
+    assert of.count() == 501
+    plan = duplicates.cells(of, of, 0.8, 16)[2]
+    assert sum(v * h for _, v, h in plan) < 0.5 * 501 * 501
+    left, right = df.where("ord % 2 = 0"), df.where("ord % 2 = 1")
+    two = {(int(r.a), int(r.b)) for r in duplicates.similar_pairs(left, right, 0.8, block=16).collect()}
+    assert two == {(a, b) for a in range(0, 600, 2) for b in range(1, 600, 2) if m[a, b] >= 0.8}
+    assert {(r.a, r.b) for r in duplicates.similar_pairs(df.where("ord in (1, 600)"), df.where("ord = 600"), 0.0).collect()} == {("1", "zero"), ("zero", "zero")}
+
+
 def full_scan_stored(m, categories, same, same_category, stored):
     """Rows before ``stored`` are kept without a look at each other."""
     kept, target = list(range(stored)), {}
