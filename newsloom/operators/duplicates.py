@@ -349,8 +349,37 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+def similar_titles(rows: DataFrame, least: float) -> DataFrame:
+    """a, b, jaccard: the pairs of rows (id, bucket, tokens) of one bucket, a < b, whose token sets have ``least`` or more.
+
+    Exact, for ``least`` above 0. Equal sets are one; sets are compared only if one of their rarest tokens agrees, of
+    which each set has as many as it may lack, and the lengths and what is left after that token can still give the
+    overlap. A pair is met at its first common token alone, so none comes twice. Rows without tokens or bucket match
+    nothing.
+    """
+    typed = rows.where("bucket is not null and size(tokens) > 0").select("id", "bucket", F.array_sort(F.array_distinct("tokens")).alias("tokens"))
+    sets = typed.select("bucket", "tokens").distinct()
+    words = sets.select("bucket", "tokens", F.explode("tokens").alias("w"))
+    often = words.groupBy("bucket", "w").agg(F.count("*").alias("n"))
+    rare = words.join(often, ["bucket", "w"]).groupBy("bucket", "tokens").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r")).select("bucket", "tokens", F.col("r.w").alias("r"))
+    size = F.size("r")
+    prefix = F.slice("r", 1, F.greatest(size - F.ceil(least * size - 1e-9) + 1, F.lit(1)).cast("int"))
+    spots = rare.select("bucket", "tokens", "r", F.posexplode(prefix).alias("at", "w"))
+    x, y = spots.alias("x"), spots.alias("y")
+    nx, ny = F.size("x.r"), F.size("y.r")
+    need = F.ceil(least / (1 + least) * (nx + ny) - 1e-9)
+    able = (least * F.greatest(nx, ny) - 1e-9 <= F.least(nx, ny)) & (1 + F.least(nx - F.col("x.at"), ny - F.col("y.at")) - 1 >= need)
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.tokens") < F.col("y.tokens")) & able)
+    both = F.array_intersect("x.r", "y.r")
+    scored = met.where(F.get(both, F.lit(0)) == F.col("x.w")).select(F.col("x.bucket").alias("bucket"), F.col("x.tokens").alias("l"), F.col("y.tokens").alias("r"), (F.size(both) / (nx + ny - F.size(both))).alias("jaccard"))
+    scored = scored.where(F.col("jaccard") >= least)
+    found = scored.unionByName(scored.select("bucket", F.col("r").alias("l"), F.col("l").alias("r"), "jaccard")).unionByName(sets.select("bucket", F.col("tokens").alias("l"), F.col("tokens").alias("r"), F.lit(1.0).alias("jaccard")))
+    a, b = typed.select("bucket", F.col("tokens").alias("l"), F.col("id").alias("a")), typed.select("bucket", F.col("tokens").alias("r"), F.col("id").alias("b"))
+    return found.join(a, ["bucket", "l"]).join(b, ["bucket", "r"]).where("a < b").select("a", "b", "jaccard")
+
+
 def titles_jaccard(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("jaccard", jaccard(title_tokens(F.col(a)), title_tokens(F.col(b))))
 
 
-__all__ = ["cells", "dedupe_sequence", "find_duplicate", "first_of", "heads", "merge_apply", "merge_clusters", "merge_pairs", "replay", "similar_heads", "similar_pairs", "titles_jaccard"]
+__all__ = ["cells", "dedupe_sequence", "find_duplicate", "first_of", "heads", "merge_apply", "merge_clusters", "merge_pairs", "replay", "similar_heads", "similar_pairs", "similar_titles", "titles_jaccard"]

@@ -94,6 +94,22 @@ def stats(news: DataFrame) -> DataFrame:
     return news.select(F.explode(pairs).alias("p")).where("p is not null").groupBy("p.kind", "p.key").agg(F.count("*").alias("n"))
 
 
+def stats_by(news: DataFrame) -> DataFrame:
+    """category, source, day, level, n: counts by category and first source, by each alone, by day, and of all.
+
+    ``level`` tells the groupings apart: 1, 2 and 4 for a missing day, source and category, added up (as GROUPING_ID), so a
+    null key of a grouping differs from a key that it lacks. One scan; each task's partial step leaves a row for each
+    distinct key. News without a source count under none (null), those without a category as in ``stats``.
+    """
+    keys = news.select(
+        F.coalesce(F.nullif("category", F.lit("")), F.lit("Diger")).alias("category"),
+        F.when(F.size("sources") > 0, F.coalesce(F.get("sources", F.lit(0))["source_name"], F.lit("Bilinmeyen"))).alias("source"),
+        F.to_date("published_at").alias("day"),
+    )
+    c, s, d = F.col("category"), F.col("source"), F.col("day")
+    return keys.groupingSets([[c, s], [c], [s], [d], []], c, s, d).agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
 OUTCOMES = ("saved", "duplicate", "no_category", "no_location", "geocode_failed", "errors")
 
 

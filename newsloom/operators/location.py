@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import py_trim, tr_lower
+from newsloom.operators import graph
 from newsloom.profiles import Profile
 
 #: Patterns of addresses, to be matched in Unicode without case.
@@ -37,7 +42,7 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
 
     A variant in the title gives 100, each occurrence 1, with a locative ending 35 (40 more in the title); a place of the
     gazetteer (name, district) 80 in the title, else 30; a hint in the address of the page 20. Districts are few and
-    become columns; gazetteer names, which may be many, are tested in one pass over broadcast arrays.
+    become columns; gazetteer names, which may be many, are found in one pass.
     """
     text = docs.select(
         F.col(id_col).alias("id"),
@@ -46,7 +51,7 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
         (tr_lower(F.col(url_col)) if url_col else F.lit("")).alias("ul"),
     )
     if gazetteer is not None:
-        text = with_names(text, gazetteer)
+        text = with_names(text, gazetteer, {"in_title": F.col("tl"), "in_text": F.col("fl")})
     found = []
     for i, (district, variants) in enumerate(profile.districts):
         parts = []
@@ -55,28 +60,64 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
             parts += [F.when(F.contains("tl", F.lit(v)), 100).otherwise(0), occurrences(F.col("fl"), v), F.when(F.col("fl").rlike(locative), 35).otherwise(0), F.when(F.col("tl").rlike(locative), 40).otherwise(0)]
         parts += [F.when(F.contains("ul", F.lit(h)), 20).otherwise(0) for h, d in profile.url_hints if d == district]
         if gazetteer is not None:
-            one = lambda x: F.when(F.contains(F.col("tl"), x["name"]), 80).when(F.contains(F.col("fl"), x["name"]), 30).otherwise(0)
-            parts += [F.aggregate(F.filter(c, _of(district)), F.lit(0), lambda s, x: s + one(x)) for c in text.columns if c.startswith("names_")]
+            parts += [80 * F.size(F.filter("in_title", _of(district))), 30 * F.size(F.filter("in_text", lambda x: _of(district)(x) & ~F.array_contains("in_title", x)))]
         score = reduce(lambda a, b: a + b, parts, F.lit(0)).cast("long")
         found.append(F.struct(F.lit(district).alias("district"), F.lit(i).alias("ord"), score.alias("score")))
     return text.select("id", F.explode(F.array(*found)).alias("d")).select("id", "d.*").where("score > 0")
 
 
-BROADCAST_NAMES = 5_000
+#: Names in one automaton, and their letters: what a worker holds at a time.
+BROADCAST_NAMES, BROADCAST_LETTERS = 200_000, 8_000_000
+_automata: dict[str, ahocorasick.Automaton] = {}
 
 
-def with_names(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``texts`` with the gazetteer's names, lower-cased, in arrays names_0, names_1, ... of about ``BROADCAST_NAMES``.
+def _finder(names: Broadcast):
+    """A column function: for each text the names within it, each with its districts. A worker builds an automaton once."""
+    key = uuid.uuid4().hex
 
-    Each array is one row of a known size and is broadcast by itself, so a long gazetteer only adds arrays. Names keep
-    the order of name and district.
+    @F.pandas_udf("array<struct<name:string,district:string>>")
+    def find(texts: pd.Series) -> pd.Series:
+        automaton = _automata.get(key)
+        if automaton is None:
+            automaton = ahocorasick.Automaton()
+            for name, districts in names.value:
+                automaton.add_word(name, (name, tuple(districts)))
+            automaton.make_automaton()
+            _automata.clear()
+            _automata[key] = automaton
+        found = (dict(hit for _, hit in automaton.iter(x)) if isinstance(x, str) else {} for x in texts)
+        return pd.Series([[{"name": n, "district": d} for n in sorted(f) for d in f[n]] for f in found], dtype=object)
+
+    return find
+
+
+def with_names(texts: DataFrame, gazetteer: DataFrame, within: dict[str, Column]) -> DataFrame:
+    """``texts`` with, for each item of ``within``, the gazetteer's rows (name, district) whose lower-cased name it holds.
+
+    Rows keep the order of name and district, repeats included; null texts hold nothing, and rows of the gazetteer
+    without a name or district are left out. One pass of an automaton finds all names, so the time grows with the text
+    and with what is found, not with the gazetteer. An automaton has at most ``BROADCAST_NAMES`` names and about
+    ``BROADCAST_LETTERS`` letters, which are counted first; a longer gazetteer is dealt into shards, and the texts pass
+    one shard at a time, with a checkpoint after each.
     """
-    names = gazetteer.select(tr_lower(F.col("name")).alias("name"), "district").where("name is not null and name <> ''")
-    many = max(1, -(-names.count() // BROADCAST_NAMES))
-    for i in range(many):
-        part = names.where(F.pmod(F.xxhash64("name"), F.lit(many)) == i)
-        texts = texts.join(F.broadcast(part.agg(F.sort_array(F.collect_list(F.struct("name", "district"))).alias(f"names_{i}"))))
-    return texts
+    names = gazetteer.select(tr_lower(F.col("name")).alias("name"), "district").where("name <> '' and district is not null")
+    names = names.groupBy("name").agg(F.sort_array(F.collect_list("district")).alias("districts"))
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("letters")).first()
+    shards = max(1, -(-size.n // BROADCAST_NAMES), -(-size.letters // BROADCAST_LETTERS))
+    context = texts.sparkSession.sparkContext
+    texts = texts.withColumns(within)
+    looked = {out: f"_in_{out}" for out in within}
+    texts = texts.withColumnsRenamed(looked).withColumns({out: F.array().cast("array<struct<name:string,district:string>>") for out in within})
+    for i in range(shards):
+        part = context.broadcast([(r.name, r.districts) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == i).collect()])  # a shard of a known size
+        find = _finder(part)
+        texts = texts.withColumns({out: F.concat(out, find(looked[out])) for out in within} if part.value else {})
+        if shards > 1:
+            graph.checkpoint_folder(texts.sparkSession)
+            texts = texts.checkpoint()
+            part.unpersist()
+    order = {out: F.array_sort(out) for out in within} if shards > 1 else {}
+    return texts.withColumns(order).drop(*looked.values())
 
 
 def _of(district: str):
@@ -118,9 +159,8 @@ def extract_location(docs: DataFrame, profile: Profile, gazetteer: DataFrame | N
     out = out.withColumn("low", F.lower("raw")).withColumns({"mah": matched(NEIGHBOURHOOD), "street": py_trim(matched(STREET))})
     out = out.withColumns({"block": py_trim(F.regexp_extract("mah", _FLAGS + NEIGHBOURHOOD, 1)), "mah": py_trim(F.col("mah"))})
     if gazetteer is not None:
-        out = with_names(out, gazetteer)
-        within = [F.filter(c, lambda x: F.contains(tr_lower(F.col("block")), x["name"])) for c in out.columns if c.startswith("names_")]
-        inside = F.array_min(F.concat(*within))
+        out = with_names(out, gazetteer, {"within": tr_lower(F.col("block"))})
+        inside = F.get("within", F.lit(0))
         out = out.withColumn("district", F.coalesce("district", F.when(F.col("block") != "", inside["district"])))
     first = F.when(F.col("mah") == "", None).when(F.length("block") >= 2, F.concat("block", F.lit(" Mahallesi"))).otherwise(F.col("mah"))
     out = out.withColumn("first", first)

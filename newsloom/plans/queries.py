@@ -153,9 +153,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.keyword_matches(keyword_hits(spark, sf_dir)).withColumn("keywords", F.array_join("keywords", ","))
 
 
-@query("keywords_flat", "SELECT category, array_to_string(list_sort(list(DISTINCT keyword)), ',') AS keywords FROM " + _LEX + " GROUP BY category")
+@query("keywords_flat", "SELECT category, array_to_string(list_sort(list(DISTINCT keyword)), ',') AS keywords FROM (SELECT p_brand AS category, unnest(string_split(p_name, ' ')) AS keyword FROM part) GROUP BY category")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.keywords_flat(lexicon(spark)).withColumn("keywords", F.array_join("keywords", ","))
+    """The words of each brand's parts as its keywords."""
+    words = t(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.explode(F.split("p_name", " ")).alias("keyword"))
+    return listing.keywords_flat(words).withColumn("keywords", F.array_join("keywords", ","))
 
 
 _GUARDS = f"""guards AS (SELECT doc_id, contains(tx, '!!') AS r1, regexp_matches(tx, 'licen[sc]ed under') AND NOT contains(tx, 'apache') AS r2, contains(tx, 'token') AS r3,
@@ -263,17 +265,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.by_source(labelled_news(spark, sf_dir))
 
 
-_CATS = "(VALUES (0, 'alpha', 'Alpha'), (1, 'beta', 'beta'), (2, 'gamma', 'gamma')) AS c(ord, category, display)"
+def regions(spark: SparkSession, sf_dir: str) -> Profile:
+    """A profile of the world: regions as categories and districts, their nations as variants. Both tables are small by nature."""
+    names = t(spark, sf_dir, "region").join(t(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    rows = names.groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list(F.lower("n_name"))).alias("nations")).orderBy("r_regionkey").collect()
+    return Profile(categories=tuple(r.r_name for r in rows), display={r.r_name: r.r_name.title() for r in rows if " " not in r.r_name}, districts=tuple((r.r_name, tuple(r.nations)) for r in rows))
 
 
-@query("category_dimension", f"SELECT ord, category, display FROM {_CATS}")
+@query("category_dimension", "SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INTEGER AS ord, r_name AS category, CASE WHEN contains(r_name, ' ') THEN r_name ELSE upper(r_name[1]) || lower(r_name[2:]) END AS display FROM region")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions.categories(spark, NEUTRAL)
+    return dimensions.categories(spark, regions(spark, sf_dir))
 
 
-@query("district_dimension", "SELECT ord, district, variants FROM (VALUES (0, 'North', 'nor,eath'), (1, 'South', 'sou,tion'), (2, 'East', 'eas')) AS d(ord, district, variants)")
+@query("district_dimension", """SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INTEGER AS ord, r_name AS district, coalesce(string_agg(lower(n_name), ',' ORDER BY lower(n_name)), '') AS variants
+FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions.districts(spark, NEUTRAL).withColumn("variants", F.array_join("variants", ","))
+    return dimensions.districts(spark, regions(spark, sf_dir)).withColumn("variants", F.array_join("variants", ","))
+
+
+@query("stats_by", """WITH n AS (SELECT coalesce(nullif(CASE WHEN lang = 'fr' THEN '' ELSE lang END, ''), 'Diger') AS category, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE coalesce(source, 'Bilinmeyen') END AS source, (DATE '2024-01-01' + (doc_id % 9)::INTEGER) AS day FROM documents)
+SELECT category, source, day::VARCHAR AS day, GROUPING(category, source, day)::BIGINT AS level, count(*) AS n FROM n GROUP BY GROUPING SETS ((category, source), (category), (source), (day), ())""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news = labelled_news(spark, sf_dir).withColumn("published_at", F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("doc_id") % 9).cast("int")))
+    return listing.stats_by(news).withColumn("day", F.col("day").cast("string"))
 
 
 @query("run_counters", f"""{_CLASSIFIED}, o AS (SELECT CASE WHEN length(title) < 5 OR contains(lower(title), 'javascript') THEN 'errors' WHEN score < 8 THEN 'no_category' ELSE 'saved' END AS outcome FROM classified JOIN arts USING (doc_id))
@@ -402,11 +416,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("title_jaccard", """WITH p AS (SELECT p_partkey AS k, p_brand AS b, list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda w: length(w) > 2) AS tk FROM part)
 SELECT x.k AS a, y.k AS b, round(len(list_intersect(x.tk, y.tk)) / len(list_distinct(list_concat(x.tk, y.tk))), 6) AS jaccard FROM p x JOIN p y ON x.b = y.b AND x.k < y.k WHERE len(x.tk) > 0 AND len(y.tk) > 0 AND len(list_intersect(x.tk, y.tk)) / len(list_distinct(list_concat(x.tk, y.tk))) >= 0.5""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = t(spark, sf_dir, "part").select("p_partkey", "p_brand", text.title_tokens(F.col("p_name")).alias("tk"))
-    x, y = parts.alias("x"), parts.alias("y")
-    pairs = x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    scored = pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), jaccard(F.col("x.tk"), F.col("y.tk")).alias("jaccard"))
-    return scored.where("jaccard >= 0.5").withColumn("jaccard", F.round("jaccard", 6))
+    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("bucket"), text.title_tokens(F.col("p_name")).alias("tokens"))
+    return duplicates.similar_titles(parts, 0.5).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("similar_titles", f"""WITH p AS (SELECT doc_id AS k, source AS b, list_filter(list_distinct(regexp_split_to_array(regexp_replace({_LOWER.format('title')}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', ' ', 'g'), '\\s+')), lambda w: length(w) > 2) AS tk FROM ({_ARTICLES}))
+SELECT a, b, round(j, 6) AS jaccard FROM (SELECT x.k AS a, y.k AS b, len(list_intersect(x.tk, y.tk)) / len(list_distinct(list_concat(x.tk, y.tk))) AS j FROM p x JOIN p y ON x.b = y.b AND x.k < y.k WHERE len(x.tk) > 0 AND len(y.tk) > 0) WHERE j >= 0.4""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = articles(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("bucket"), text.title_tokens(F.col("title")).alias("tokens"))
+    return duplicates.similar_titles(titles, 0.4).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("cosine_to_first", f"SELECT y.id, round(coalesce(list_cosine_similarity(x.v, y.v), 0), 6) AS score FROM {_VEC} x, {_VEC} y WHERE x.ord = (SELECT min(vec_id) FROM embeddings)")
@@ -432,6 +450,17 @@ def district_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("district_scores", f"WITH {_DISTRICTS} SELECT id, district, ord, score FROM scored WHERE score > 0")(district_scores)
 
 
+@query("gazetteer_scores", f"""WITH arts AS ({_ARTICLES}), places AS (SELECT doc_id, {_LOWER.format('title')} AS tl, {_LOWER.format("trim(title || ' ' || body)")} AS fl FROM arts),
+g AS (SELECT DISTINCT w AS name, ['North', 'South', 'East'][length(w) % 3 + 1] AS district FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark))
+SELECT doc_id AS id, district, sum(CASE WHEN contains(tl, name) THEN 80 ELSE 30 END)::BIGINT AS score FROM places JOIN g ON contains(tl, name) OR contains(fl, name) GROUP BY ALL""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of benchmark passages as a gazetteer of places in three districts."""
+    words = t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("name")).distinct()
+    names = words.withColumn("district", F.get(F.array(*map(F.lit, ("North", "South", "East"))), F.length("name") % 3))
+    world = Profile(categories=("x",), districts=tuple((d, ()) for d in ("North", "South", "East")))
+    return location.district_scores(articles(spark, sf_dir), world, names).select("id", "district", "score")
+
+
 @query("best_district", f"WITH {_DISTRICTS} SELECT id, district, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return location.best_district(district_scores(spark, sf_dir))

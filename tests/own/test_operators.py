@@ -466,6 +466,52 @@ def test_addresses_to_try(spark):
     assert got == [["L, Kocaeli, Türkiye", "L, Kocaeli", "Gebze, Kocaeli, Türkiye", *last], last, ["q", *last]]
 
 
+def test_names_within_texts(spark, monkeypatch):
+    """Against a plain search: names within each other, repeated rows, one name in two districts, no text, no name."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("abç"), n))
+    rows = [(letters(rng.integers(1, 5)), str(rng.choice(["x", "y"]))) for _ in range(60)]
+    rows += [("ABC", "x"), ("abc", "x"), ("", "x"), (None, "y"), ("a", None)]
+    texts = [(i, letters(rng.integers(0, 30))) for i in range(40)] + [(40, None), (41, "")]
+    gazetteer = spark.createDataFrame(rows, "name string, district string")
+    docs = spark.createDataFrame(texts, "id int, t string")
+    named = [(n.lower(), d) for n, d in rows if n and d]
+    want = {i: sorted((n, d) for n, d in named if n in (s or "")) for i, s in texts}
+    for most in (200_000, 9):
+        monkeypatch.setattr(location, "BROADCAST_NAMES", most)
+        got = location.with_names(docs, gazetteer, {"found": F.col("t")}).collect()
+        assert {r.id: [(x.name, x.district) for x in r.found] for r in got} == want, most
+    none = location.with_names(docs, gazetteer.limit(0), {"found": F.col("t")}).collect()
+    assert all(r.found == [] for r in none) and len(none) == len(texts)
+
+
+def test_similar_titles(spark):
+    """Sets of all sizes, many alike, against all pairs of a bucket; none without tokens or bucket."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{i}" for i in range(14)])
+    rows = [(i, "ab"[i % 2], [str(w) for w in rng.choice(words, rng.integers(1, 8))]) for i in range(150)]
+    rows += [(200, None, ["w1"]), (201, None, ["w1"]), (202, "a", []), (203, "a", None)]
+    df = spark.createDataFrame(rows, "id int, bucket string, tokens array<string>")
+    for least in (0.3, 0.5, 2 / 3, 1.0):
+        got = [(r.a, r.b, round(r.jaccard, 9)) for r in duplicates.similar_titles(df, least).collect()]
+        want = {}
+        for (i, b, x), (j, c, y) in itertools.combinations([r for r in rows if r[1] and r[2]], 2):
+            score = len(set(x) & set(y)) / len(set(x) | set(y))
+            if b == c and score >= least:
+                want[i, j] = round(score, 9)
+        assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want, least
+
+
+def test_stats_by(spark):
+    source = "array<struct<source_name:string>>"
+    news = spark.createDataFrame([("a", [("s",)], dt.datetime(2024, 1, 1)), ("", [(None,)], None), (None, [], dt.datetime(2024, 1, 1, 5)), ("a", None, None)], f"category string, sources {source}, published_at timestamp")
+    got = {(r.level, r.category, r.source, str(r.day) if r.day else None): r.n for r in listing.stats_by(news).collect()}
+    assert got == {
+        (7, None, None, None): 4, (3, "a", None, None): 2, (3, "Diger", None, None): 2, (5, None, "s", None): 1, (5, None, "Bilinmeyen", None): 1, (5, None, None, None): 2,
+        (1, "a", "s", None): 1, (1, "Diger", "Bilinmeyen", None): 1, (1, "Diger", None, None): 1, (1, "a", None, None): 1, (6, None, None, "2024-01-01"): 2, (6, None, None, None): 2,
+    }
+
+
 def test_a_long_gazetteer(spark, monkeypatch):
     names = [(f"yer{i:03}x", "Gebze" if i % 2 else "Izmit") for i in range(40)]
     gazetteer = spark.createDataFrame(names, "name string, district string")
