@@ -1,13 +1,13 @@
 """Benchmark decontamination by word windows. Native: DataFrame functions only.
 
-Every window of ``window`` consecutive item words (a shorter item is one window) goes into a broadcast hash table. Its
-key is the hash of the window's first four words (its first two or one, if it is shorter); each document position
-probes the table inside one generated stage, and a position whose anchor hits compares the whole window word by word.
-Anchors fold case by ``lower``, which no pair of words equal after A-Z folding can tell apart; only confirmed hits fold
-exactly. So documents are scanned once without a shuffle. A sentinel position for each row brings its word count along,
-and all that a document yields is combined before it is shuffled. The broadcast holds at most ``broadcast_windows`` windows
-and mentions of items for each length of anchors; windows beyond that meet the documents' positions in one shuffle on
-the hash of the whole window.
+Every window of ``window`` consecutive item words (a shorter item is one window) goes into a broadcast hash table, keyed
+by the hash of the whole window, so windows that begin alike don't meet each other. Each document position probes the
+table inside one generated stage, once for each length that windows have (mostly one; ``window`` at most), and a
+position that hits compares the window word by word. Hashes fold case by ``lower``, which no pair of words equal after
+A-Z folding can tell apart; only confirmed hits fold exactly. So documents are scanned once without a shuffle. A
+sentinel position for each row brings its word count along, and all that a document yields is combined before it is
+shuffled. The broadcast holds at most ``broadcast_windows`` windows and mentions of items; more of them meet the
+documents' positions in one shuffle on the same hashes.
 """
 
 from __future__ import annotations
@@ -36,77 +36,55 @@ def _word_hash(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
-def _first_anchor(words: Column, length: int) -> Column:
-    """The hash of the first ``length`` (1, 2 or 4) words, put together pairwise."""
-    level = [_word_hash(F.element_at(words, i + 1)) for i in range(length)]
-    while len(level) > 1:
-        level = [F.xxhash64(x, y) for x, y in zip(level[::2], level[1::2], strict=True)]
-    return level[0]
+def _with_hashes(df: DataFrame, words: str, lengths: list[int], out: str) -> DataFrame:
+    """Add the hashes of the words from each position on, for one length after the other, each as many as there are words.
 
-
-def _with_anchors(df: DataFrame, words: str, length: int, out: str) -> DataFrame:
-    """Add for each position the hash of the ``length`` (1, 2 or 4) words from there on.
-
-    Each doubling is a projection of its own, or its input would be computed for every time it is named. The last
-    positions, which have fewer words, hash what there is and match no window.
+    A length that is no power of two is put together from two overlapping runs. Each step is a projection of its own, or
+    its input would be computed for every time it is named. The last positions, which have fewer words, hash what there
+    is and match no window.
     """
-    df = df.withColumn(out, F.transform(words, _word_hash))
-    for step in (1, 2)[: {1: 0, 2: 1, 4: 2}[length]]:
-        df = df.withColumn(out, F.zip_with(out, F.slice(out, step + 1, F.size(out)), lambda x, y: F.xxhash64(x, y)))
-    return df
-
-
-def _with_hashes(df: DataFrame, words: str, n: int, out: str) -> DataFrame:
-    """Add for each position the hash of the ``n`` words from there on, put together from runs of 1, 2, 4, ... words.
-
-    The last positions, which have fewer words, hash what there is.
-    """
-    df, level, sizes = df.withColumn("_h1", F.transform(words, _word_hash)), 1, [1]
-    while 2 * level <= n:
+    df, level = df.withColumn("_h1", F.transform(words, _word_hash)), 1
+    names = ["_h1"]
+    while 2 * level <= max(lengths):
         half = F.col(f"_h{level}")
         df = df.withColumn(f"_h{2 * level}", F.zip_with(half, F.slice(half, level + 1, F.size(half)), lambda x, y: F.xxhash64(x, y)))
         level *= 2
-        sizes.append(level)
-    df, upto = df.withColumn(out, F.col(f"_h{level}")), level
-    for size in reversed(sizes[:-1]):
-        if n - upto >= size:
-            part = F.col(f"_h{size}")
-            df = df.withColumn(out, F.zip_with(out, F.slice(part, upto + 1, F.size(part)), lambda x, y: F.xxhash64(x, y)))
-            upto += size
-    return df.drop(*[f"_h{x}" for x in sizes])
+        names.append(f"_h{level}")
+    parts = []
+    for n in lengths:
+        run = F.col(f"_h{1 << (n.bit_length() - 1)}")
+        rest = n - (1 << (n.bit_length() - 1))
+        parts.append(F.zip_with(run, F.slice(run, rest + 1, F.size(run)), lambda x, y: F.xxhash64(x, y)) if rest else run)
+    return df.withColumn(out, parts[0] if len(parts) == 1 else F.concat(*parts)).drop(*names)
 
 
-def _shuffled_hits(base: DataFrame, wins: DataFrame) -> DataFrame:
-    """Hits of windows too many to broadcast: one shuffle of position hashes for each length that windows have.
+def _shuffled_hits(base: DataFrame, wins: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits of windows too many to broadcast: one shuffle of position hashes.
 
     Whole windows are hashed, so a position meets one window at most (but for collisions), however many begin alike; a
     passage that many documents share makes long groups of one key on the documents' side only, which AQE splits. Hits
     are then compared word by word.
     """
-    found = None
     keyed = base.withColumn("key", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("none"), F.coalesce("text_hash", F.lit(0)).alias("hash")))
-    for n in sorted(r.n for r in wins.select(F.size("win").alias("n")).distinct().collect()):  # at most as many as a window has words
-        of = _with_hashes(wins.where(F.size("win") == n).select("win", "items"), "win", n, "hs").select("win", "items", F.element_at("hs", 1).alias("h"))
-        spots = _with_hashes(keyed.where(F.size("ws") >= n), "ws", n, "hs").select("key", F.posexplode(F.slice("hs", 1, F.size("ws") - n + 1)).alias("pos", "h"))
-        near = spots.join(of, "h").select("key", "pos", "win", "items")
-        found = near if found is None else found.unionByName(near)
-    found = common.materialise(found, "hits")
+    spots = _with_hashes(keyed, "ws", lengths, "hs").select("key", F.size("ws").alias("n"), F.posexplode("hs").alias("at", "h"))
+    near = spots.join(wins.select("h", "win", "items"), "h").select("key", F.pmod("at", "n").alias("pos"), "win", "items")
+    found = common.materialise(near, "hits")
     words = keyed.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     both = found.join(words, "key").where(F.slice(folded(F.col("ws")), F.col("pos") + 1, F.size("win")) == F.col("win"))
     return both.select("doc_id", "text_hash", F.struct("pos", (F.col("pos") + F.size("win")).alias("end")).alias("span"), "items", F.lit(None).cast("int").alias("n_words"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """anchor, a (its length), win (array of words), items (array of ids as strings): one row per distinct window."""
+    """h, win (array of words), items (array of ids as strings): one row per distinct window."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), folded(raw_words(F.col(text_col).cast("string"))).alias("ws"))
     items = items.where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
     wins = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("win"))
     wins = wins.groupBy("win").agg(F.collect_set("item").alias("items"))
-    wins = wins.withColumn("a", F.when(F.size("win") >= 4, 4).when(F.size("win") >= 2, 2).otherwise(1))
-    win = F.col("win")
-    hashed = F.when(F.col("a") == 4, _first_anchor(win, 4)).when(F.col("a") == 2, _first_anchor(win, 2)).otherwise(_first_anchor(win, 1))
-    return wins.select(hashed.alias("anchor"), "a", "win", "items")
+    lengths = list(range(1, window + 1))
+    # The hash of length n at the first word is the first of the n-th list.
+    hashed = _with_hashes(wins, "win", lengths, "hs")
+    return hashed.select(F.element_at("hs", (F.size("win") - 1) * F.size("win") + 1).alias("h"), "win", "items")
 
 
 def contamination(
@@ -129,31 +107,29 @@ def contamination(
     spark = docs.sparkSession
     wins = common.materialise(benchmark_windows(benchmark, window), "windows")
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), raw_words(F.col(text_col).cast("string")).alias("ws"))
-    lengths = {r.a: r.n for r in wins.groupBy("a").agg(F.sum(F.size("items") + 1).alias("n")).collect()}  # three rows at most
-    # The sentinel: an anchor of its own that matches an empty window, once in each row, in the first pass only.
-    sentinel = spark.range(1).select(F.lit(_SENTINEL).alias("anchor"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
-    many = [a for a, n in lengths.items() if n > broadcast_windows]
-    hits = None
-    for turn, a in enumerate(sorted(set(lengths) - set(many), reverse=True) or [4]):
-        of = wins.where(F.col("a") == a).where(~F.col("a").isin(*many)).drop("a") if many else wins.where(F.col("a") == a).drop("a")
-        anchored = _with_anchors(base, "ws", a, "anchors")
-        if turn == 0:
-            of, anchored = of.unionByName(sentinel), anchored.withColumn("anchors", F.array_append("anchors", F.lit(_SENTINEL)))
-        # From the generator on, no expression may leave generated code: each position would copy its document's words.
-        grams = anchored.select("doc_id", "text_hash", "ws", F.posexplode_outer("anchors").alias("pos", "anchor"))
-        of = of.select("anchor", "win", "items", F.array_join("win", " ").alias("win_text"))
-        here = F.array_join(F.slice("ws", F.col("pos") + 1, F.size("win")), " ")
-        found = grams.join(F.broadcast(of), "anchor").where(F.translate(here, common.ASCII_UPPER, common.ASCII_LOWER) == F.col("win_text"))
-        real = F.size("win") > 0
-        found = found.select(
-            "doc_id", "text_hash",
-            F.when(real, F.struct("pos", (F.col("pos") + F.size("win")).alias("end"))).alias("span"),
-            F.when(real, F.col("items")).alias("items"),
-            F.when(~real, F.size("ws")).alias("n_words"),
-        )
-        hits = found if hits is None else hits.unionByName(found)
+    sizes = {r.l: r.n for r in wins.groupBy(F.size("win").alias("l")).agg(F.sum(F.size("items") + 1).alias("n")).collect()}  # at most as many as a window has words
+    lengths, many = sorted(sizes, reverse=True), sum(sizes.values()) > broadcast_windows
+    # The sentinel: a hash of its own that matches an empty window, once in each row.
+    table = spark.range(1).select(F.lit(_SENTINEL).alias("h"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
+    probes = base.withColumn("hs", F.array(F.lit(_SENTINEL)))
+    if lengths and not many:
+        table = wins.unionByName(table)
+        probes = _with_hashes(base, "ws", lengths, "hs").withColumn("hs", F.array_append("hs", F.lit(_SENTINEL)))
+    # From the generator on, no expression may leave generated code: each position would copy its document's words.
+    grams = probes.select("doc_id", "text_hash", "ws", F.posexplode_outer("hs").alias("at", "h"))
+    table = table.select("h", "win", "items", F.array_join("win", " ").alias("win_text"))
+    pos = F.pmod(F.col("at"), F.greatest(F.size("ws"), F.lit(1)))
+    here = F.array_join(F.slice("ws", pos + 1, F.size("win")), " ")
+    found = grams.join(F.broadcast(table), "h").where(F.translate(here, common.ASCII_UPPER, common.ASCII_LOWER) == F.col("win_text"))
+    real = F.size("win") > 0
+    hits = found.select(
+        "doc_id", "text_hash",
+        F.when(real, F.struct(pos.alias("pos"), (pos + F.size("win")).alias("end"))).alias("span"),
+        F.when(real, F.col("items")).alias("items"),
+        F.when(~real, F.size("ws")).alias("n_words"),
+    )
     if many:
-        hits = hits.unionByName(_shuffled_hits(base, wins.where(F.col("a").isin(*many))))
+        hits = hits.unionByName(_shuffled_hits(base, wins, lengths))
     # All that one pass finds in a document lies in one task, so it is combined before the shuffle.
     merged = hits.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("span")).alias("spans"),

@@ -82,3 +82,17 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b", "", 0, "")], SCHEMA)
     row = decontaminate.contamination(one, bench).collect()[0]
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
+
+
+@pytest.mark.parametrize("bound", [200_000, 7])
+def test_items_that_begin_alike(spark, bound):
+    """Windows of one opening are told apart by the whole of them: a position of the opening meets its own alone."""
+    opening = "a b c d e f g h i j k l"
+    items = [(i, f"{opening} end{i}") for i in range(300)] + [(400, "a b c d"), (401, "a b c d e")]
+    docs = [(i, f"{opening} end{i} " * 3 + f"{opening} other") for i in range(5)] + [(9, opening)]
+    df = spark.createDataFrame([(*d, "x", 1, "y") for d in docs], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(df, bench, broadcast_windows=bound).drop("text_hash")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
+    wins = decontaminate.benchmark_windows(bench)
+    assert wins.select("h").distinct().count() == wins.count() == 302
