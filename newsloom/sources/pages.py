@@ -69,9 +69,9 @@ def _json_dates(data: object) -> Iterator[str]:
             stack += reversed(item)
 
 
-def parse_page(html: str | None) -> dict:
-    """All candidates of one page."""
-    nodes = list(parse(html).walk())
+def parse_page(html: str | None, least: int = 60, closed: bool = False) -> dict:
+    """All candidates of one page. Texts count as content with more than ``least`` characters; ``closed`` as in ``parse``."""
+    nodes = list(parse(html, closed).walk())
     of = lambda *tags: [n for n in nodes if n.tag in tags]
     metas, divs = of("meta"), of("div")
 
@@ -103,9 +103,9 @@ def parse_page(html: str | None) -> dict:
     descriptions = ((m.attrs.get("content") or "").strip() for m in (meta(*d) for d in DESCRIPTIONS) if m)
     return {
         "h1": h1[0].text() if h1 else None,
-        "selector": long((_tag_text(n) for n in selected()), 60),
-        "by_class": long((_tag_text(d) for d in divs if CONTENT_PATTERN.search(d.attrs.get("class", "") + " " + d.attrs.get("id", ""))), 60),
-        "paragraphs": long([" ".join(paragraphs)], 60),
+        "selector": long((_tag_text(n) for n in selected()), least),
+        "by_class": long((_tag_text(d) for d in divs if CONTENT_PATTERN.search(d.attrs.get("class", "") + " " + d.attrs.get("id", ""))), least),
+        "paragraphs": long([" ".join(paragraphs)], least),
         "description": long(descriptions, 15),
         "json_dates": found_json,
         "meta_dates": [m.attrs["content"] for m in (meta(*d) for d in META_DATES) if m and m.attrs.get("content")],
@@ -114,22 +114,26 @@ def parse_page(html: str | None) -> dict:
     }
 
 
-@F.pandas_udf(PARSED)
-def parsed(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(h) for h in html], columns=PARSED.fieldNames())
+def _parsed(least: int, closed: bool):
+    @F.pandas_udf(PARSED)
+    def parsed(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_page(h, least, closed) for h in html], columns=PARSED.fieldNames())
+
+    return parsed
 
 
 def _first_date(texts: Column) -> Column:
     return F.get(F.filter(F.transform(texts, lambda x: try_parse(x)), lambda d: d.isNotNull()), F.lit(0))
 
 
-def parse_articles(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+def parse_articles(pages: DataFrame, html_col: str = "html", url_col: str = "url", least: int = 60, closed: bool = False) -> DataFrame:
     """``pages`` with title, content, published_at; pages without an h1 are dropped.
 
     Content is the first tier that has enough text: selectors, classes, paragraphs, description, title. The date is the
-    first that parses of JSON-LD, meta, time elements, date classes and the address of the page.
+    first that parses of JSON-LD, meta, time elements, date classes and the address of the page. ``least`` is the length
+    that the first three tiers must exceed; with ``closed`` references without a semicolon stay as they are written.
     """
-    out = pages.withColumn("_p", parsed(F.col(html_col))).where("_p.h1 is not null")
+    out = pages.withColumn("_p", _parsed(least, closed)(F.col(html_col))).where("_p.h1 is not null")
     content = F.coalesce("_p.selector", "_p.by_class", "_p.paragraphs", F.when(F.length("_p.description") > 20, F.col("_p.description")), "_p.h1")
     dates = [_first_date(F.col(f"_p.{c}")) for c in ("json_dates", "meta_dates", "time_dates", "class_dates")]
     out = out.withColumns({"title": F.col("_p.h1"), "content": content, "published_at": F.coalesce(*dates, date_from_url(F.col(url_col)))})

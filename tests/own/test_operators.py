@@ -521,3 +521,11 @@ def test_a_long_gazetteer(spark, monkeypatch):
     assert whole == {(1, "Gebze"): 110, (1, "Izmit"): 30, (2, "Gebze"): 30, (2, "Izmit"): 30}
     monkeypatch.setattr(location, "BROADCAST_NAMES", 7)
     assert read() == whole and location.extract_location(docs, TURKISH, gazetteer).where("address is not null").first().address.endswith("Yer006x Mahallesi")
+
+
+def test_short_articles_and_open_references(spark):
+    html = "<article><h1>a &amp;&amp b</h1><p>c&lt;d &copy e &ampx; &#39;</p><script>'&amp'</script></article>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+    short = pages.parse_articles(df, least=0, closed=True).first()
+    assert (short.title, short.content) == ("a &&amp b", "a &&amp b c<d &copy e &ampx; '")
+    assert pages.parse_articles(df).first().content == "a && b"
