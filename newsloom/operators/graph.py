@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is checkpointed to the shared folder, from where lost executors' parts are read again.
     """
     checkpoint_folder(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # the edges are made once
+    both = edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
     while True:
         near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))

@@ -536,3 +536,39 @@ def test_sentences_begin_with_one_capital(spark):
     df = spark.createDataFrame([(i, f"{c}abc def ghi jkl mno pqr stu.") for i, c in enumerate(letters)], "i int, t string")
     got = [r.s[0][0] for r in df.orderBy("i").select(summaries.sentences(F.col("t")).alias("s")).collect()]
     assert got == ["ẞ", "ŉ", "ﬁ", "ᾼ", "É", "Ǆ", "X", "1"]
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_merge_pairs_over_blocks(spark, monkeypatch, block):
+    """Against all pairs one by one: zero and odd vectors, no category, titles between the bounds, a cosine at a bound."""
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    monkeypatch.setattr(duplicates, "CHUNK", 3)
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        v = [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] if i % 11 else [0.0] * 3
+        rows.append((str(i), i, rng.choice("de"), rng.choice(["x", "y", None]), " ".join(rng.choice(["bir", "iki", "üçü", "dört", "ab"]) for _ in range(3)), "t", f"u{i}", None, v))
+    rows += [("100", 100, "d", "x", "bir", "t", "u", None, [1.0, float("nan"), 0.0]), ("101", 101, "d", "x", None, "t", "u", None, None), ("102", 102, "d", "x", "bir", "t", "u", None, [1.0, 0.0])]
+    words = lambda t: {w for w in t.split() if len(w) > 2}
+
+    def alike(p, q):
+        length = sum(x * x for x in p[8]) ** 0.5 * sum(x * x for x in q[8]) ** 0.5
+        s = sum(x * y for x, y in zip(p[8], q[8], strict=True)) / length if length else 0.0
+        t, u = words(p[4]), words(q[4])
+        return s >= 0.8 or (s >= 0.5 and bool(t and u) and len(t & u) / len(t | u) >= 0.5)
+
+    want = {(p[1], q[1]) for p, q in itertools.combinations(rows[:60], 2) if p[2:4] == q[2:4] and alike(p, q)}
+    got = [tuple(r) for r in duplicates.merge_pairs(news_rows(spark, rows), 0.8, 0.5, 0.5).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_merged_sources_of_a_large_cluster(spark):
+    """A row without sources takes part; the time doesn't grow with the square of the addresses."""
+    src = lambda *urls: [("k", None, u) for u in urls]
+    rows = [(str(i), i, "d", "c", "t", "x" * (i == 7), f" u{i} ", src(f"s{i % 3}", "", f"u{i - 1}") if i % 2 else None, [1.0]) for i in range(3000)]
+    news = news_rows(spark, rows)
+    clusters = news.selectExpr("id", "ord", "0L as cluster")
+    (got,) = duplicates.merge_apply(news, clusters).collect()
+    want = list(dict.fromkeys([u for i in range(1, 3000, 2) for u in (f"s{i % 3}", f"u{i - 1}")] + [f"u{i}" for i in range(3000)]))
+    assert [s.url for s in got.sources] == want and got.id == "7"
+    assert {(s.url, s.source_name) for s in got.sources if s.url in ("u1", "s1")} == {("u1", "Haber"), ("s1", "Kaynak")}
