@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ def checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="newsloom-"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table beside the checkpoints. A checkpoint would keep the plan's constraints, which grow from round to round."""
+    checkpoint_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the least id reachable, for each end of the edges (a, b).
 

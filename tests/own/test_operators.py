@@ -572,3 +572,12 @@ def test_merged_sources_of_a_large_cluster(spark):
     want = list(dict.fromkeys([u for i in range(1, 3000, 2) for u in (f"s{i % 3}", f"u{i - 1}")] + [f"u{i}" for i in range(3000)]))
     assert [s.url for s in got.sources] == want and got.id == "7"
     assert {(s.url, s.source_name) for s in got.sources if s.url in ("u1", "s1")} == {("u1", "Haber"), ("s1", "Kaynak")}
+
+
+def test_replay_with_rows_known_to_be_kept():
+    """A forced row is a target from its place on and is not returned."""
+    row = lambda i, forced: (i, i_, "c", None, None, None, i_, forced) if (i_ := int(i)) is not None else None
+    nodes = pd.DataFrame([row("3", False), row("1", False), row("2", True)], columns=["id", "ord", "category", "stored", "stored_score", "stored_category", "vector", "forced"])
+    edges = pd.DataFrame([(2, 3, 0.9), (1, 2, 0.95)], columns=["a_ord", "b_ord", "score"])
+    got = duplicates.replay(nodes, edges, 0.88, 0.8)
+    assert dict(zip(got["id"], got["kept"], strict=True)) == {"1": "1", "3": "2"}
