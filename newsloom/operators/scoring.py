@@ -1,15 +1,21 @@
 """Rule-based scoring of texts into categories.
 
-Keywords count as beginnings of words (up to a longest suffix) or as phrases of whole words. Both are equi-joins with
-the lexicon: words are exploded with their beginnings of lengths that keywords have, runs of single-spaced words as they are, so
-the cost is linear in the text and does not depend on the lexicon's size. A lexicon of (category, keyword, weight) rows
-is broadcast only up to a checked number of rows. Rules add to scores by guards over the text.
+Keywords count as beginnings of words (up to a longest suffix) or as phrases of whole words. A lexicon of (category,
+keyword, weight) rows up to a checked number is looked up word by word, and only what is found leaves a text. For a longer
+one both are equi-joins: words are exploded with their beginnings of lengths that keywords have, runs of single-spaced
+words as they are. Either way the cost is linear in the text and does not depend on the lexicon's size. Rules add to
+scores by guards over the text.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +32,47 @@ def _tokens(text: Column, letters: str) -> Column:
     return F.array_remove(F.split(marked, " +"), "")
 
 
+def _lookup(keywords: Broadcast, letters: str, longest: int):
+    """A column function: the keywords (k, never) of a lower-cased text as (k, n), n times each."""
+
+    @F.pandas_udf("array<struct<k:string,n:long>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        single = {k: never for k, never in keywords.value if " " not in k}
+        lengths = sorted({len(k) for k in single})
+        phrases: dict[str, list[tuple[str, list[str]]]] = {}
+        for k, _ in keywords.value:
+            if " " in k:
+                phrases.setdefault(k.split()[0], []).append((k, k.split()))
+        breaks = re.compile(f"[^{letters} ]| {{2,}}")
+        known: dict[str, list[str]] = {}
+
+        def of(word: str) -> list[str]:
+            begun = [word[:n] for n in lengths if n <= len(word) <= n + longest]
+            return [k for k in begun if k in single and not (single[k] is not None and word.startswith(single[k]))]
+
+        def one(text: str) -> list[dict]:
+            runs, hits = [r.split() for r in breaks.split(text)], Counter()
+            for word, n in Counter([w for r in runs for w in r]).items():
+                ks = known.get(word)
+                if ks is None:
+                    if len(known) >= 1_000_000:
+                        known.clear()
+                    ks = known[word] = of(word)
+                for k in ks:
+                    hits[k] += n
+            for r in runs if phrases else ():
+                for i, word in enumerate(r):
+                    for k, ws in phrases.get(word, ()):
+                        if r[i : i + len(ws)] == ws:
+                            hits[k] += 1
+            return [{"k": k, "n": n} for k, n in hits.items()]
+
+        for batch in batches:
+            yield pd.Series([one(t) for t in batch], dtype=object)
+
+    return find
+
+
 def keyword_hits(docs: DataFrame, lexicon: DataFrame, profile: Profile, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body") -> DataFrame:
     """id, category, keyword, weight, n_title, n_body: the keywords found, as often as they occur.
 
@@ -43,7 +90,8 @@ def keyword_hits(docs: DataFrame, lexicon: DataFrame, profile: Profile, id_col:
     sizes = F.array(*[F.lit(n) for n in sorted({r.len for r in shapes if r.words == 1})]).cast("array<int>")
     never = F.create_map(*[F.lit(x) for kv in profile.never.items() for x in kv]) if profile.never else F.lit(None).cast("map<string,string>")
     lex = lex.withColumn("never", F.try_element_at(never, F.col("k")))
-    if lexicon.count() <= BROADCAST_KEYWORDS:
+    small = lexicon.count() <= BROADCAST_KEYWORDS
+    if small:
         lex, odd = F.broadcast(lex), F.broadcast(odd)
     texts = F.array(*[F.struct(F.lit(f).alias("field"), tr_lower(F.col(c)).alias("text")) for f, c in (("title", title_col), ("body", body_col))])
     whole = docs.select(F.col(id_col).alias("id"), F.explode(texts).alias("t")).select("id", "t.*")
@@ -57,7 +105,12 @@ def keyword_hits(docs: DataFrame, lexicon: DataFrame, profile: Profile, id_col:
         # What is found somewhere is counted by one expression over the text.
         whole_word = F.concat(F.lit(rf"(?<![{profile.letters}])\Q"), F.col("k"), F.lit(rf"\E{suffix}(?![{profile.letters}])"))
         found.append(hits.select("id", "category", "keyword", "weight", "field", F.regexp_count("text", whole_word).alias("n")))
-    for n in lengths or [1]:
+    if small:
+        keywords = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in lex.select("k", "never").distinct().collect()])  # a checked number
+        listed = _lookup(keywords, profile.letters, profile.longest_suffix)(F.col("text"))
+        hits = whole.select("id", "field", F.explode_outer(listed).alias("h")).select("id", "field", "h.k", "h.n").join(lex, "k")
+        found.append(hits.select("id", "category", "keyword", "weight", "field", "n"))
+    for n in [] if small else lengths or [1]:
         if n == 1:
             grams = words.select("id", "field", F.explode_outer("ws").alias("token")).where("token <> '|'")
             fits = F.filter(sizes, lambda n: (n <= F.length("token")) & (n >= F.length("token") - profile.longest_suffix))

@@ -581,3 +581,16 @@ def test_replay_with_rows_known_to_be_kept():
     edges = pd.DataFrame([(2, 3, 0.9), (1, 2, 0.95)], columns=["a_ord", "b_ord", "score"])
     got = duplicates.replay(nodes, edges, 0.88, 0.8)
     assert dict(zip(got["id"], got["kept"], strict=True)) == {"1": "1", "3": "2"}
+
+
+def test_words_looked_up_equal_the_joins(spark, monkeypatch):
+    """Both ways to find keywords agree, and a short lexicon sends no words, only what is found."""
+    rng = random.Random(9)
+    pieces = ["kaza", "kazası", "kesinti", "kesintisiz", "yangın çıktı", "ab", "abc", " ", "  ", ",", "\n", "|", "a", "9"]
+    rows = [("".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(4)), "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(25)), "") for _ in range(120)] + [(None, "KAZA", "")]
+    lexicon = [("T", "kaza", 5), ("E", "kesinti", 3), ("Y", "yangın çıktı", 4), ("Y", "a", 1), ("T", "ab", 1), ("T", "AB", 2), ("E", "a ab abc", 2), ("E", "ab ab", 2)]
+    looked = scored(spark, rows, lexicon)[2]
+    assert "ArrowEvalPython" in looked._jdf.queryExecution().toString()
+    got = sorted(map(tuple, looked.collect()))
+    monkeypatch.setattr(scoring, "BROADCAST_KEYWORDS", 0)
+    assert got == sorted(map(tuple, scored(spark, rows, lexicon)[2].collect())) and len(got) > 200
