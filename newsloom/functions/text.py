@@ -27,8 +27,14 @@ SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}
 
 
 def tr_lower(text: Column) -> Column:
-    """Lower case with dotted and dotless i kept apart; null becomes empty."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), "IİĞÜŞÖÇ", "ıiğüşöç"))
+    """Lower case with dotted and dotless i kept apart; null becomes empty.
+
+    A replacement for each letter goes over bytes; Spark's translate looks up every letter of a text by itself.
+    """
+    text = F.coalesce(text, F.lit(""))
+    for upper, lower in zip("IİĞÜŞÖÇ", "ıiğüşöç", strict=True):
+        text = F.replace(text, F.lit(upper), F.lit(lower))
+    return F.lower(text)
 
 
 def py_trim(text: Column) -> Column:

@@ -84,3 +84,9 @@ def test_properties(spark, pairs):
     once = text.tr_lower(F.col("a"))
     for r in df.select(j("a", "b").alias("ab"), j("b", "a").alias("ba"), once.alias("l"), text.tr_lower(once).alias("ll")).collect():
         assert r.ab == r.ba and 0 <= r.ab <= 1 and not math.isnan(r.ab) and r.l == r.ll
+
+
+def test_lower_case_goes_by_bytes_not_by_letters(spark):
+    rows = spark.createDataFrame([("IİĞÜŞÖÇ Işık İl ÄÉ",), (None,), ("",)], "t string").select(text.tr_lower(F.col("t")).alias("t"))
+    assert [r.t for r in rows.collect()] == ["ıiğüşöç ışık il äé", "", ""]
+    assert "translate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
