@@ -56,8 +56,10 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
     for i, (district, variants) in enumerate(profile.districts):
         parts = []
         for v in variants:
-            locative = rf"(?dU)(?<![{profile.letters}]){re.escape(v)}{profile.suffixes}"
-            parts += [F.when(F.contains("tl", F.lit(v)), 100).otherwise(0), occurrences(F.col("fl"), v), F.when(F.col("fl").rlike(locative), 35).otherwise(0), F.when(F.col("tl").rlike(locative), 40).otherwise(0)]
+            # The name comes first and what may not precede it after it, or every letter would be looked back from.
+            locative = rf"(?dU){re.escape(v)}(?<![{profile.letters}]{re.escape(v)}){profile.suffixes}"
+            named = lambda c: F.contains(c, F.lit(v)) & F.col(c).rlike(locative)  # noqa: B023, E731
+            parts += [F.when(F.contains("tl", F.lit(v)), 100).otherwise(0), occurrences(F.col("fl"), v), F.when(named("fl"), 35).otherwise(0), F.when(named("tl"), 40).otherwise(0)]
         parts += [F.when(F.contains("ul", F.lit(h)), 20).otherwise(0) for h, d in profile.url_hints if d == district]
         if gazetteer is not None:
             parts += [80 * F.size(F.filter("in_title", _of(district))), 30 * F.size(F.filter("in_text", lambda x: _of(district)(x) & ~F.array_contains("in_title", x)))]
@@ -129,12 +131,17 @@ def best_district(scores: DataFrame) -> DataFrame:
     return scores.groupBy("id").agg(F.max_by(F.struct("district", "score"), F.struct("score", -F.col("ord"))).alias("b")).select("id", "b.*")
 
 
-def foreign_veto(title: Column, full: Column, district: Column, profile: Profile) -> Column:
-    """Whether a text without district or province names a foreign city in its title, or twice."""
+def foreign_text(title: Column, full: Column, profile: Profile) -> Column:
+    """Whether a text doesn't name the province, and a foreign city in its title, or twice."""
     cities = [F.contains(title, F.lit(c)) | (occurrences(full, c) >= 2) for c in profile.foreign]
     hit = reduce(lambda a, b: a | b, cities, F.lit(False))
     province = tr_lower(F.lit(profile.province))
-    return district.isNull() & ~F.contains(full, province) & hit
+    return ~F.contains(full, province) & hit
+
+
+def foreign_veto(title: Column, full: Column, district: Column, profile: Profile) -> Column:
+    """Whether a text without district or province names a foreign city in its title, or twice."""
+    return district.isNull() & foreign_text(title, full, profile)
 
 
 def extract_location(docs: DataFrame, profile: Profile, gazetteer: DataFrame | None = None, assume_local: bool = True, category_col: str | None = None, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", url_col: str | None = None) -> DataFrame:

@@ -594,3 +594,14 @@ def test_words_looked_up_equal_the_joins(spark, monkeypatch):
     got = sorted(map(tuple, looked.collect()))
     monkeypatch.setattr(scoring, "BROADCAST_KEYWORDS", 0)
     assert got == sorted(map(tuple, scored(spark, rows, lexicon)[2].collect())) and len(got) > 200
+
+
+def test_veto_moves_no_texts_and_names_begin_words(spark):
+    docs = spark.createDataFrame([(1, "Gebze'de", "xgebzede"), (2, "a", "xgebzede gebzede"), (3, "a", "xgebzede")], "doc_id long, title string, body string")
+    world = Profile(categories=("x",), districts=(("Gebze", ("gebze",)),))
+    assert {r.id: r.score for r in location.district_scores(docs, world).collect()} == {1: 100 + 2 + 35 + 40, 2: 2 + 35, 3: 1}
+    veto = queries.queries()["foreign_city_veto"](spark, "/root/testdata/sf0.001")
+    plan = veto._jdf.queryExecution().optimizedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().head()
+    assert [f.name() for f in [plan.children().head().schema().apply(i) for i in range(plan.children().head().schema().size())]] == ["doc_id", "named"]
