@@ -7,7 +7,8 @@ import uuid
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,25 +71,34 @@ def district_scores(docs: DataFrame, profile: Profile, gazetteer: DataFrame | No
 
 #: Names in one automaton, and their letters: what a worker holds at a time.
 BROADCAST_NAMES, BROADCAST_LETTERS = 200_000, 8_000_000
-_automata: dict[str, ahocorasick.Automaton] = {}
+_automata: dict[str, tuple[ahocorasick.Automaton, np.ndarray, pa.StructArray]] = {}
 
 
 def _finder(names: Broadcast):
     """A column function: for each text the names within it, each with its districts. A worker builds an automaton once."""
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("array<struct<name:string,district:string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        automaton = _automata.get(key)
-        if automaton is None:
+    @F.arrow_udf("array<struct<name:string,district:string>>")
+    def find(texts: pa.Array) -> pa.Array:
+        if key not in _automata:
+            listed = sorted(names.value)
             automaton = ahocorasick.Automaton()
-            for name, districts in names.value:
-                automaton.add_word(name, (name, tuple(districts)))
+            for i, (name, _) in enumerate(listed):
+                automaton.add_word(name, i)
             automaton.make_automaton()
+            rows = [pa.array([n for n, ds in listed for _ in ds], pa.string()), pa.array([d for _, ds in listed for d in ds], pa.string())]
             _automata.clear()
-            _automata[key] = automaton
-        found = (dict(hit for _, hit in automaton.iter(x)) if isinstance(x, str) else {} for x in texts)
-        return pd.Series([[{"name": n, "district": d} for n in sorted(f) for d in f[n]] for f in found], dtype=object)
+            _automata[key] = automaton, np.cumsum([0] + [len(ds) for _, ds in listed]), pa.StructArray.from_arrays(rows, ["name", "district"])
+        automaton, begins, rows = _automata[key]
+        found, sizes = [np.empty(0, np.int64)], np.zeros(len(texts) + 1, np.int32)
+        for i, x in enumerate(texts):
+            x = x.as_py()
+            at = np.array(sorted({hit for _, hit in automaton.iter(x)}) if x else [], np.int64)
+            many = begins[at + 1] - begins[at]  # districts of each name
+            found.append((np.repeat(begins[at] - np.cumsum(many) + many, many) + np.arange(many.sum())).astype(np.int32))
+            sizes[i + 1] = many.sum()
+        # Numbers of rows until the end: as objects the finds of a batch took gigabytes.
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), rows.take(pa.array(np.concatenate(found))))
 
     return find
 

@@ -4,9 +4,11 @@ import itertools
 import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -605,3 +607,14 @@ def test_veto_moves_no_texts_and_names_begin_words(spark):
     while "Join" not in plan.nodeName():
         plan = plan.children().head()
     assert [f.name() for f in [plan.children().head().schema().apply(i) for i in range(plan.children().head().schema().size())]] == ["doc_id", "named"]
+
+
+def test_finds_of_a_batch_take_little_memory(spark):
+    listed = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 7)}x" for i in range(500)]
+    find = location._finder(spark.sparkContext.broadcast([(n, ["A", "B"] if i == 3 else ["A"]) for i, n in enumerate(listed)]))
+    tracemalloc.start()
+    found = find.func(pa.array([" ".join(listed), None, *[" ".join(listed)] * 1000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.value_lengths().to_pylist() == [501, 0, *[501] * 1000] and found[0][0].as_py() == {"name": min(listed), "district": "A"}
+    assert peak < 20_000_000  # a dictionary for each find takes 200 MB
