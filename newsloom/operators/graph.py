@@ -26,6 +26,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def moves(step: DataFrame) -> DataFrame:
+    """c, cc: the labels in use that have a lower label themselves, of nodes (id, c).
+
+    They are few once most nodes have their component's own label, which isn't one of them: Spark then sends them to the
+    nodes, and the nodes of a large component need not meet in one task.
+    """
+    used = step.select(F.col("c").alias("id")).distinct()
+    return step.where("id <> c").join(used, "id", "left_semi").select(F.col("id").alias("c"), F.col("c").alias("cc"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the least id reachable, for each end of the edges (a, b).
 
@@ -40,8 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         step = labels.join(near, "id").select("id", "component", F.least("component", "c").alias("c"))
-        jump = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        after = step.join(jump, "c").select("id", F.col("component").alias("old"), F.least("c", "cc").alias("component")).checkpoint()
+        after = step.join(moves(step), "c", "left").select("id", F.col("component").alias("old"), F.least("c", "cc").alias("component")).checkpoint()
         changed = not after.where("old <> component").isEmpty()
         labels = after.select("id", "component")
         if not changed:

@@ -618,3 +618,10 @@ def test_finds_of_a_batch_take_little_memory(spark):
     tracemalloc.stop()
     assert found.value_lengths().to_pylist() == [501, 0, *[501] * 1000] and found[0][0].as_py() == {"name": min(listed), "district": "A"}
     assert peak < 20_000_000  # a dictionary for each find takes 200 MB
+
+
+def test_labels_that_are_components_do_not_move(spark):
+    step = spark.createDataFrame([(1, 1), *[(i, 1) for i in range(2, 50)], (60, 59), (59, 58), (58, 58)], "id long, c long")
+    assert [tuple(r) for r in graph.moves(step).collect()] == [(59, 58)]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 240)] + [(120, 230)], "a long, b long")
+    assert {r.component for r in graph.components(edges).collect()} == {100}
