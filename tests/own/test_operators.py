@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as text_functions
 from newsloom.operators import dimensions, duplicates, geocode, graph, listing, location, scoring, summaries
 from newsloom.plans import queries
 from newsloom.profiles import TURKISH, Profile, Rule
@@ -332,6 +333,27 @@ def test_summaries(spark):
     assert df.select(summaries.finalize(F.get("x", F.lit(0)))).collect()[0][0] == "metin..."
 
 
+def test_summaries_look_once(spark):
+    """A text's sentences are scored once, cheap tests before expressions; trims, heads and openings as the plain expressions have them."""
+    df = spark.createDataFrame([("t", ["a"], "b")], "title string, listed array<string>, content string")
+    plan = df.select(summaries.summary(F.col("title"), F.col("content"), F.col("listed")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Jandarma") == 1
+    spaces = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    rng = random.Random(3)
+    texts = ["", spaces, f"{spaces}a\u200b {spaces}b{spaces}", "A" + " " * 40 + "a", "fotoğraf" + " " * 30 + ":", "Haberin devamı", "x haberin devamı", "AbC 1234567890 1234567890", "A. 1234567890 1234567890", "aB", "ab", "İlgili habere göre, bir şey oldu ve bitti", "ilgili habere göre bitti", "EDİNİLEN BİLGİLERE GÖRE: ANKARA, 12 MART Bir şey", "KOCAELİ, 12 Bir şey oldu", "KOCAELİ Bir şey"]
+    texts += ["".join(rng.choice("ABcdé1 .") for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    x = F.col("x")
+    trim = lambda c: F.regexp_replace(c, f"^[{spaces}]+|[{spaces}]+$", "")
+    letters, upper = F.length(F.regexp_replace(x, r"[^\p{L}]", "")), F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
+    cut = trim(F.regexp_replace(trim(F.regexp_replace(x, summaries.FILLER, "")), summaries.DATELINE, ""))
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert rows.where(~trim(x).eqNullSafe(text_functions.py_trim(x))).count() == 0
+    rows = rows.select(trim(x).alias("x"))
+    assert rows.where(~x.rlike(summaries.JUNK).eqNullSafe(summaries.is_junk(x))).count() == 0
+    assert rows.where(~((letters > 0) & (upper > 0.65 * letters) & (F.length(x) < 120)).eqNullSafe(summaries.is_header(x))).count() == 0
+    assert rows.where(~cut.eqNullSafe(summaries.without_openings(x))).count() == 0
+
+
 # --- pages and store ---
 
 PAGE = """<html><head><meta property="og:description" content="Bir açıklama metni burada duruyor ve uzun."><script type="application/ld+json">{"@graph":[{"datePublished":"2025-03-04T10:00:00+03:00"}]}</script></head>
