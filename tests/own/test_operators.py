@@ -178,6 +178,95 @@ def test_copies_among_arrivals(spark):
             assert got == {str(k): str(v) for k, v in want.items()} | {k: k for k in ("zero", "zero too", "nan")}, (stored, most)
 
 
+def edges_made(monkeypatch):
+    """Of each table of edges that is made how many there are."""
+    made, similar = [], duplicates.similar_heads
+
+    def count(*args, **kwargs):
+        made.append((out := similar(*args, **kwargs)).count())
+        return out
+
+    monkeypatch.setattr(duplicates, "similar_heads", count)
+    return made
+
+
+def test_edges_are_made_within_candidates_alone(spark, monkeypatch):
+    """Arrivals in waves: the decisions are those of a full scan, but of all pairs that are alike few are made."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 4)).astype(np.float32)
+    x[rng.integers(0, 400, 70)] = x[5]
+    x[rng.integers(0, 400, 40)] = x[rng.integers(0, 400, 40)]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    m = u @ u.T
+    m[(x[:, None] == x[None]).all(2)] = 1.0
+    categories = rng.integers(0, 3, 400).astype(str)
+    rows = [(str(i), i, categories[i] if i % 50 else None, x[i].tolist()) for i in range(400)] + [("zero", 40000, "0", [0.0] * 4), ("none", -1, "0", None), ("inf", -2, "0", [float("inf")] * 4)]
+    named = np.array([c if i % 50 else f"no {i}" for i, c in enumerate(categories)])
+    pairs = len({(x[a].tobytes(), x[b].tobytes()) for a, b in itertools.combinations(range(400), 2) if m[a, b] >= 0.7 and (x[a] != x[b]).any()})
+    made = edges_made(monkeypatch)
+    monkeypatch.setattr(duplicates, "UNIT", 60, raising=False)
+    for kind, sent, stored in (("float", 4_000_000, 0), ("double", 100, 30)):
+        monkeypatch.setattr(duplicates, "SENT", sent, raising=False)
+        made.clear()
+        df = spark.createDataFrame(rows, f"id string, ord long, category string, embedding array<{kind}>")
+        old, new = (df.where("ord between 0 and 29") if stored else None), (df.where("ord not between 0 and 29") if stored else df)
+        got = {r.id: r.kept for r in duplicates.dedupe_sequence(new, 0.9, 0.7, stored=old, most=2000).collect()}
+        want = full_scan_stored(m, named, 0.9, 0.7, stored)
+        assert got == {str(k): str(v) for k, v in want.items()} | {k: k for k in ("zero", "none", "inf")}, (kind, sent, stored)
+        assert len(made) > 1 and sum(made) < pairs / 4, (pairs, made)
+
+
+def test_groups_are_replayed_in_a_task_each(spark):
+    """More edges than a task takes, in groups that a task takes: the groups are replayed apart."""
+    rng = np.random.default_rng(24)
+    x = np.repeat(np.eye(4), 10, 0) + 0.25 * rng.normal(size=(40, 4))
+    x[3::10] = x[2::10]
+    x = x[rng.permutation(40)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = u @ u.T
+    m[(x[:, None] == x[None]).all(2)] = 1.0
+    categories = rng.integers(0, 2, 40).astype(str)
+    df = spark.createDataFrame([(str(i), i, categories[i], x[i].tolist()) for i in range(40)], "id string, ord long, category string, embedding array<double>")
+    got = {r.id: r.kept for r in duplicates.dedupe_sequence(df, 0.95, 0.85, most=60).collect()}
+    assert got == {str(k): str(v) for k, v in full_scan_stored(m, categories, 0.95, 0.85, 0).items()}
+
+
+def test_a_wave_of_far_more_edges_is_cut(spark, monkeypatch):
+    """Nothing alike at first, then much: the wave has grown and is cut before its edges are made."""
+    rng = np.random.default_rng(22)
+    x = np.concatenate([np.eye(80)[:20], np.eye(80)[79:] + 0.35 * rng.normal(size=(80, 80)) / 80**0.5])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(str(i), i, str(i), x[i].tolist()) for i in range(100)], "id string, ord long, category string, embedding array<double>")
+    made = edges_made(monkeypatch)
+    monkeypatch.setattr(duplicates, "UNIT", 20, raising=False)
+    found = {r.id: r.kept for r in duplicates.dedupe_sequence(df, 0.99, 0.5, most=400).collect()}
+    want = full_scan_stored(u @ u.T, np.arange(100).astype(str), 0.99, 0.5, 0)
+    assert found == {str(k): str(v) for k, v in want.items()}
+    assert len(made) > 3 and max(made) <= 400, made
+
+
+def test_nearest_equals_a_full_scan(spark, monkeypatch):
+    """By what is sent and by blocks; ties go to the first, also of lower ords alone; numbers that aren't finite match nothing."""
+    rng = np.random.default_rng(23)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=(40, 3))
+    y[20:30], y[7], x[9] = y[3], np.nan, np.inf
+    schema = "id string, ord long, category string, embedding array<double>"
+    left = spark.createDataFrame([(f"x{i}", i, "a", x[i].tolist()) for i in range(60)], schema)
+    right = spark.createDataFrame([(f"y{i}", i, str(i % 2), y[i].tolist()) for i in range(40)][::-1], schema)
+    with np.errstate(invalid="ignore"):
+        m = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    m[:, 20:30] = m[:, 3:4]
+    for before in (False, True):
+        want = {}
+        for i in range(60):
+            best = max(((m[i, j], -j) for j in range(i if before else 40) if j < 40 and m[i, j] >= 0.7), default=None)
+            want[f"x{i}"] = (None, None) if best is None else (f"y{-best[1]}", str(-best[1] % 2))
+        for sent in (4_000_000, 0):
+            monkeypatch.setattr(duplicates, "SENT", sent)
+            got = {r.id: (r.near, r.near_category) for r in duplicates.nearest(left, right, 0.7, block=16, before=before).collect()}
+            assert got == want, (before, sent)
+
+
 def test_cells_lose_no_pair(spark):
     """Clustered vectors: most pairs are left out by the radii, none that is similar; copies meet once as a vector."""
     rng = np.random.default_rng(9)
